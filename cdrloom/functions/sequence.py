@@ -51,6 +51,8 @@ def parker(seq: Column) -> Column:
 
 def windows(seq: Column, k: int) -> Column:
     """All k-residue windows of ``seq`` in order; empty array if it is shorter."""
+    if k == 1:
+        return F.when(F.length(seq) > 0, F.split(seq, "")).otherwise(F.array().cast("array<string>"))
     starts = F.sequence(F.lit(1), F.length(seq) - (k - 1))
     cut = F.transform(starts, lambda i: F.substring(seq, i, F.lit(k)))
     return F.when(F.length(seq) >= k, cut).otherwise(F.array().cast("array<string>"))
@@ -63,28 +65,39 @@ def min_window_parker(seq: Column, k: int) -> Column:
 
 # --- pair tables ----------------------------------------------------------
 
-def residue_index(residue: Column) -> Column:
-    """1..20 in alphabetical order, 0 for anything else."""
-    return F.when(residue == "", 0).otherwise(F.position(residue, F.lit(K.AMINO_ACIDS)))
+OTHER = 26  # code of anything that is not A-Z
 
 
-def pair_value(a: Column, b: Column, table: dict[tuple[str, str], float], default: float) -> Column:
-    """Constant-time lookup of a residue pair; ``default`` outside the 20 letters."""
-    flat = [float(table.get((x, y), default)) for x in K.AMINO_ACIDS for y in K.AMINO_ACIDS]
-    cells = F.array(*[F.lit(v) for v in flat])
-    i, j = residue_index(a), residue_index(b)
-    known = (i > 0) & (j > 0)
-    slot = F.when(known, (i - 1) * 20 + j).otherwise(F.lit(1))
-    return F.when(known, F.element_at(cells, slot)).otherwise(F.lit(float(default)))
+def letter_codes(seq: Column) -> Column:
+    """0..25 for A-Z, 26 for anything else, as an array in residue order."""
+
+    def code(ch: Column) -> Column:
+        place = F.ascii(ch) - 65
+        return F.when(place.between(0, 25), place).otherwise(F.lit(OTHER))
+
+    return F.transform(F.split(seq, ""), code)
+
+
+def pair_cells(table: dict[tuple[str, str], float], default: float) -> Column:
+    """Flat 27 x 27 literal array of a residue pair table."""
+    letters = [chr(65 + i) for i in range(OTHER)] + ["?"]
+    return F.array(*[F.lit(float(table.get((x, y), default))) for x in letters for y in letters])
+
+
+def pair_cell(cells: Column, a: Column, b: Column) -> Column:
+    return F.element_at(cells, a * (OTHER + 1) + b + 1)
 
 
 def neighbour_sum(seq: Column, table: dict[tuple[str, str], float], default: float) -> Column:
-    """Sum of a pair table over adjacent residues."""
-    return F.aggregate(
-        windows(seq, 2),
-        F.lit(0.0),
-        lambda acc, w: acc + pair_value(F.substring(w, 1, 1), F.substring(w, 2, 1), table, default),
-    )
+    """Sum of a pair table over adjacent residues, in one pass along the string."""
+    cells = pair_cells(table, default)
+
+    def step(state: Column, code: Column) -> Column:
+        value = F.when(state["prev"] >= 0, pair_cell(cells, state["prev"], code)).otherwise(F.lit(0.0))
+        return F.struct(code.alias("prev"), (state["total"] + value).alias("total"))
+
+    start = F.struct(F.lit(-1).alias("prev"), F.lit(0.0).alias("total"))
+    return F.aggregate(letter_codes(seq), start, step, lambda state: state["total"])
 
 
 # --- published protein parameters ----------------------------------------
@@ -112,64 +125,74 @@ def _terminal_pk(residue: Column, table: dict[str, float], default: float) -> Co
     return out.otherwise(F.lit(default))
 
 
-def _bjellqvist_parts(seq: Column) -> dict[str, Column]:
-    """Counts and terminal pKa of one sequence, so charge needs no string."""
-    parts = {r: residues(seq, r).cast("double") for r in "KRHDECY"}
-    parts["nterm"] = _terminal_pk(F.substring(seq, 1, 1), K.BJELLQVIST_NTERM_BY_RESIDUE, K.BJELLQVIST_NTERM)
-    parts["cterm"] = _terminal_pk(F.substring(seq, -1, 1), K.BJELLQVIST_CTERM_BY_RESIDUE, K.BJELLQVIST_CTERM)
-    return parts
+# Charge is evaluated on h = 10 ** pH, so a group with acid constant k adds
+# 1 / (h / 10**k + 1) if basic and h / (10**k + h) if acidic: no powers inside
+# the search for the neutral point.
+
+def _bjellqvist_parts(seq: Column) -> Column:
+    """Counts and terminal constants of one sequence, so charge needs no string."""
+    nterm = _terminal_pk(F.substring(seq, 1, 1), K.BJELLQVIST_NTERM_BY_RESIDUE, K.BJELLQVIST_NTERM)
+    cterm = _terminal_pk(F.substring(seq, -1, 1), K.BJELLQVIST_CTERM_BY_RESIDUE, K.BJELLQVIST_CTERM)
+    counts = [residues(seq, r).cast("double").alias(r) for r in "KRHDECY"]
+    ten = F.lit(10.0)
+    return F.struct(*counts, F.pow(ten, nterm).alias("nterm"), F.pow(ten, cterm).alias("cterm"))
 
 
-def _ionised(exponent: Column) -> Column:
-    return F.lit(1.0) / (F.pow(F.lit(10.0), exponent) + 1.0)
+def _basic(h: Column, constant: Column) -> Column:
+    return F.lit(1.0) / (h / constant + 1.0)
 
 
-def _bjellqvist_charge(get, ph: Column) -> Column:
-    positive = _ionised(ph - get("nterm"))
+def _acidic(h: Column, constant: Column) -> Column:
+    return h / (constant + h)
+
+
+def _bjellqvist_charge(parts: Column, h: Column) -> Column:
+    net = _basic(h, parts["nterm"]) - _acidic(h, parts["cterm"])
     for residue, pk in K.BJELLQVIST_POSITIVE.items():
-        positive = positive + get(residue) * _ionised(ph - F.lit(pk))
-    negative = _ionised(get("cterm") - ph)
+        net = net + parts[residue] * _basic(h, F.lit(10.0**pk))
     for residue, pk in K.BJELLQVIST_NEGATIVE.items():
-        negative = negative + get(residue) * _ionised(F.lit(pk) - ph)
-    return positive - negative
+        net = net - parts[residue] * _acidic(h, F.lit(10.0**pk))
+    return net
+
+
+def _with_parts(parts: Column, use) -> Column:
+    """``use(parts)`` with the struct computed once per row."""
+    return F.element_at(F.transform(F.array(parts), use), 1)
 
 
 def protein_charge(seq: Column, ph: float = 7.4) -> Column:
     s = _standard(seq)
-    parts = _bjellqvist_parts(s)
-    return _zero_unless(F.length(s) > 0, _bjellqvist_charge(parts.__getitem__, F.lit(ph)))
+    value = _with_parts(_bjellqvist_parts(s), lambda p: _bjellqvist_charge(p, F.lit(10.0**ph)))
+    return _zero_unless(F.length(s) > 0, value)
 
 
-def _bisect(counts: Column, charge, lo: float, hi: float, first: float, steps: int) -> Column:
-    """Point where ``charge(counts, ph)`` turns negative, by repeated halving."""
+def _steps(first: float, count: int) -> Column:
+    """10 ** (first / 2**i): the shrinking moves of a search by halving."""
+    return F.array(*[F.lit(10.0 ** (first / 2**i)) for i in range(count)])
 
-    def halve(state: Column, _step: Column) -> Column:
-        up = charge(counts, state["ph"]) > 0
-        low = F.when(up, state["ph"]).otherwise(state["lo"])
-        high = F.when(up, state["hi"]).otherwise(state["ph"])
-        return F.struct(low.alias("lo"), high.alias("hi"), ((low + high) / 2).alias("ph"))
 
-    start = F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(first).alias("ph"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: s["ph"])
+def _walk(charge, start: Column, steps: Column) -> Column:
+    """Follow the sign of the charge: up while positive, down otherwise."""
+    return F.aggregate(steps, start, lambda h, f: F.when(charge(h) > 0, h * f).otherwise(h / f))
 
 
 def protein_pi(seq: Column) -> Column:
     """Isoelectric point between 4.05 and 12, first probe 7.4, width below 1e-4.
 
-    Seventeen halvings bring either side of the first probe below that width.
-    The counts travel as a one-element array, so the halving never sees the
-    string.
+    After the first probe the remaining side (4.6 or 3.35 wide) is halved; both
+    sides need sixteen more probes to get below that width.
     """
     s = F.upper(seq)
-    packed = F.struct(*[c.alias(n) for n, c in _bjellqvist_parts(s).items()])
-    value = F.element_at(
-        F.transform(
-            F.array(packed),
-            lambda p: _bisect(p, lambda c, ph: _bjellqvist_charge(lambda n: c[n], ph), 4.05, 12.0, 7.4, 17),
-        ),
-        1,
-    )
-    return _zero_unless(F.length(s) > 0, value)
+    low, first, high = 4.05, 7.4, 12.0
+
+    def solve(parts: Column) -> Column:
+        charge = lambda h: _bjellqvist_charge(parts, h)
+        up = charge(F.lit(10.0**first)) > 0
+        start = F.when(up, F.lit(10.0 ** ((first + high) / 2))).otherwise(F.lit(10.0 ** ((low + first) / 2)))
+        steps = F.when(up, _steps((high - first) / 4, 16)).otherwise(_steps((first - low) / 4, 16))
+        return F.log10(_walk(charge, start, steps))
+
+    return _zero_unless(F.length(s) > 0, _with_parts(_bjellqvist_parts(s), solve))
 
 
 def protein_mass(seq: Column) -> Column:
@@ -223,19 +246,19 @@ def feature_gravy(seq: Column, digits: int | None = 4) -> Column:
 def feature_pi(seq: Column, digits: int | None = 3) -> Column:
     """Isoelectric point on [0, 14] with termini; 60 halvings exhaust a double."""
 
-    def charge(counts: Column, ph: Column) -> Column:
-        net = _ionised(ph - F.lit(K.FEATURE_PKA_NTERM)) - _ionised(F.lit(K.FEATURE_PKA_CTERM) - ph)
-        for r, pk in K.FEATURE_PKA_ACID.items():
-            net = net - counts[r] * _ionised(F.lit(pk) - ph)
-        for r, pk in K.FEATURE_PKA_BASE.items():
-            net = net + counts[r] * _ionised(ph - F.lit(pk))
-        return net
+    def solve(counts: Column) -> Column:
+        def charge(h: Column) -> Column:
+            net = _basic(h, F.lit(10.0**K.FEATURE_PKA_NTERM)) - _acidic(h, F.lit(10.0**K.FEATURE_PKA_CTERM))
+            for r, pk in K.FEATURE_PKA_ACID.items():
+                net = net - counts[r] * _acidic(h, F.lit(10.0**pk))
+            for r, pk in K.FEATURE_PKA_BASE.items():
+                net = net + counts[r] * _basic(h, F.lit(10.0**pk))
+            return net
+
+        return F.log10(_walk(charge, F.lit(1e7), _steps(3.5, 60)))
 
     packed = F.struct(*[residues(seq, r).cast("double").alias(r) for r in "DEHKR"])
-    value = F.element_at(
-        F.transform(F.array(packed), lambda p: _bisect(p, charge, 0.0, 14.0, 7.0, 60)), 1
-    )
-    return _rounded(value, digits)
+    return _rounded(_with_parts(packed, solve), digits)
 
 
 def feature_instability(seq: Column, digits: int | None = 3) -> Column:

@@ -7,7 +7,7 @@ from itertools import product
 from pyspark.sql import Column, functions as F
 
 from ..constants import AMINO_ACIDS, BLOSUM62, triangle
-from .sequence import feature_text, pair_value, windows
+from .sequence import feature_text, letter_codes, pair_cell, pair_cells, windows
 
 
 def kmer_vocabulary(k_list: list[int]) -> list[str]:
@@ -56,13 +56,10 @@ def average_chains(heavy: Column, light: Column) -> Column:
 def _pairwise_blosum(a: Column, b: Column) -> Column:
     """BLOSUM62 sum over the positions both strings have."""
     n = F.least(F.length(a), F.length(b))
-    table = triangle(BLOSUM62)
-    positions = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(
-        positions,
-        F.lit(0.0),
-        lambda acc, i: acc + pair_value(F.substring(a, i, F.lit(1)), F.substring(b, i, F.lit(1)), table, -4),
-    )
+    cells = pair_cells(triangle(BLOSUM62), -4)
+    head = lambda s: F.slice(letter_codes(s), F.lit(1), n)
+    values = F.zip_with(head(a), head(b), lambda x, y: pair_cell(cells, x, y))
+    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
 
 
 def prefix_similarity(a: Column, b: Column) -> Column:

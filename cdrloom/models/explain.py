@@ -46,10 +46,12 @@ def permutation_importance(df: DataFrame, model, label: str, names: list[str], k
     # at most ``sample`` rows from here on
     base = random_subsample(df.select(key, label, "features"), key, sample, seed)
     base = base.select(key, label, vector_to_array("features").alias("x")).persist()
-    tasks = df.sparkSession.createDataFrame(
-        [(i, names[i], r) for i in keep for r in range(repeats)], "i int, feature string, repeat int"
+    slots = F.array(*[F.lit(i) for i in keep])
+    task = F.explode(F.sequence(F.lit(0), F.lit(len(keep) * repeats - 1))).alias("_task")
+    copies = base.select(key, label, "x", task).select(  # sample x features x repeats rows
+        key, label, "x", F.element_at(slots, F.col("_task") % len(keep) + 1).alias("i"),
+        F.floor(F.col("_task") / len(keep)).alias("repeat"),
     )
-    copies = base.join(F.broadcast(tasks))  # sample x features x repeats rows
     per_task = Window.partitionBy("i", "repeat")
     own = F.row_number().over(per_task.orderBy(key))
     other = F.row_number().over(per_task.orderBy(F.xxhash64(F.col(key), "i", "repeat", F.lit(seed)), key))
@@ -58,11 +60,11 @@ def permutation_importance(df: DataFrame, model, label: str, names: list[str], k
     donors = placed.select("i", "repeat", F.col("_other").alias("_own"), F.col("_value").alias("_new"))
     swapped = placed.join(donors, ["i", "repeat", "_own"])
     changed = F.transform("x", lambda v, j: F.when(j == F.col("i"), F.col("_new")).otherwise(v))
-    vectors = swapped.select("feature", "repeat", label, array_to_vector(changed).alias("features"))
+    vectors = swapped.select("i", "repeat", label, array_to_vector(changed).alias("features"))
     after = scored(model, vectors, "classification", "prob")
-    areas = curve_areas(roc_points(after, "prob", label, ["feature", "repeat"]), ["feature", "repeat"])
+    areas = curve_areas(roc_points(after, "prob", label, ["i", "repeat"]), ["i", "repeat"])
     before = scored(model, base.select(label, array_to_vector("x").alias("features")), "classification", "prob")
     whole = curve_areas(roc_points(before, "prob", label)).select("auc_roc").scalar()
-    return areas.groupBy("feature").agg(F.avg("auc_roc").alias("_a")).select(
-        "feature", (whole - F.col("_a")).alias("importance")
-    )
+    table = df.sparkSession.createDataFrame([(i, names[i]) for i in keep], "i int, feature string")
+    mean = areas.groupBy("i").agg(F.avg("auc_roc").alias("_a")).join(F.broadcast(table), "i")
+    return mean.select("feature", (whole - F.col("_a")).alias("importance"))

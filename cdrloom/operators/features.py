@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..constants import AMINO_ACIDS, BLOSUM62, triangle
 from ..functions.sequence import biophysical_feature, feature_text, neighbour_sum
 from ..functions.vectors import kmer_tokens, kmer_vocabulary, one_hot_names, one_hot_tokens, windows
+from .ordered import join_small
 
 UNKNOWN = "<other>"
 
@@ -33,7 +34,8 @@ def kmer_table(df: DataFrame, key: str, seq: Column, k_list: list[int], normaliz
     base = df.select(key, feature_text(seq).alias("_t"))
     per_k = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), windows(F.col("_t"), k).alias("w")) for k in k_list]))
     rows = base.select(key, per_k.alias("p")).select(key, "p.k", "p.w").withColumn("total", F.size("w"))
-    rows = rows.select(key, "k", "total", F.explode(_counted(F.col("w"))).alias("c"))
+    # the outer form keeps the optimizer from filtering on (and so recomputing) the array
+    rows = rows.select(key, "k", "total", F.explode_outer(_counted(F.col("w"))).alias("c"))
     known = F.length(F.translate("c.kmer", AMINO_ACIDS, "")) == 0
     value = F.col("c.n") / F.col("total") if normalize else F.col("c.n").cast("double")
     return rows.where(known).select(key, "k", F.col("c.kmer").alias("kmer"), value.alias("value"))
@@ -43,12 +45,12 @@ def kmer_l2_table(df: DataFrame, key: str, cdr3: str) -> DataFrame:
     """Long (key, kmer, value) of 1/2/3-mers of C+loop+W, unit length per row."""
     loop = F.coalesce(F.col(cdr3), F.lit(""))
     letters = F.regexp_replace(F.concat(F.lit("C"), loop, F.lit("W")), f"[^{AMINO_ACIDS}]", "")
-    base = df.where(F.length(loop) >= 4).select(key, letters.alias("_s"))
-    rows = base.select(key, _counted(kmer_tokens(F.col("_s"), [1, 2, 3])).alias("c"))
+    base = df.where(F.length(loop) >= 4).select(key, kmer_tokens(letters, [1, 2, 3]).alias("_w"))
+    rows = base.select(key, _counted(F.col("_w")).alias("c"))
     square = F.aggregate("c", F.lit(0.0), lambda acc, t: acc + t["n"] * t["n"])
-    return rows.select(key, F.sqrt(square).alias("norm"), F.explode("c").alias("t")).select(
-        key, F.col("t.kmer").alias("kmer"), (F.col("t.n") / F.col("norm")).alias("value")
-    )
+    # the outer form keeps the optimizer from filtering on (and so recomputing) the array
+    opened = rows.select(key, F.sqrt(square).alias("norm"), F.explode_outer("c").alias("t")).where("t is not null")
+    return opened.select(key, F.col("t.kmer").alias("kmer"), (F.col("t.n") / F.col("norm")).alias("value"))
 
 
 def one_hot_table(df: DataFrame, key: str, seq: Column, max_len: int) -> DataFrame:
@@ -141,8 +143,6 @@ def standardize(df: DataFrame, cols: list[str]) -> DataFrame:
     """z-scores with population spread; a constant column is only centred."""
     stats = df.agg(*[f(F.col(c)).alias(f"_{n}{i}") for i, c in enumerate(cols)
                      for n, f in (("m", F.avg), ("d", F.stddev_pop))])
-    from .ordered import join_small
-
     wide = join_small(df, stats, [])
     spread = lambda i: F.when(F.col(f"_d{i}") > 0, F.col(f"_d{i}")).otherwise(F.lit(1.0))
     z = {c: (F.col(c) - F.col(f"_m{i}")) / spread(i) for i, c in enumerate(cols)}
@@ -154,9 +154,10 @@ def standardize_vectors(df: DataFrame, vec: str, key: str) -> DataFrame:
     long = df.select(key, F.posexplode(vec).alias("d", "x"))
     stats = long.groupBy("d").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
     ordered = stats.agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "m", "s"))),
-                                    lambda t: F.struct(t["m"].alias("m"), t["s"].alias("s")))).scalar()
+                                    lambda t: F.struct(t["m"].alias("m"), t["s"].alias("s"))).alias("_stats"))
     unit = lambda x, t: (x - t["m"]) / F.when(t["s"] > 0, t["s"]).otherwise(F.lit(1.0))
-    return df.withColumn(vec, F.zip_with(F.col(vec), ordered, unit))
+    wide = join_small(df, ordered, [])
+    return wide.withColumn(vec, F.zip_with(F.col(vec), F.col("_stats"), unit)).drop("_stats")
 
 
 def pca_scores(df: DataFrame, vec: str, key: str, k: int | None = None) -> DataFrame:

@@ -1,0 +1,8 @@
+"""Named queries and spark-submit jobs built from the operators."""
+
+
+def load_catalog():
+    """Import every query module once and return the filled catalog."""
+    from . import catalog, queries_clean, queries_sequence  # noqa: F401
+
+    return catalog
