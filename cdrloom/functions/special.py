@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
@@ -48,7 +49,7 @@ def t_two_sided(t: float, df: float) -> float:
     return incomplete_beta(df / 2, 0.5, df / (df + t * t))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_two_sided(x, k) for x, k in zip(t, df)])
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from ..operators.ordered import join_small
 
@@ -81,7 +82,7 @@ def isolation_score(df: DataFrame, vec: str, forest: list, name: str = "anomaly"
     """Share-of-path anomaly score in (0, 1]; higher is more unusual."""
     shared = df.sparkSession.sparkContext.broadcast(forest)  # trees x 511 nodes at most
 
-    @pandas_udf("double")
+    @pandas_udf(DoubleType())
     def score(vectors: pd.Series) -> pd.Series:
         points = np.stack(vectors.to_numpy())
         total = np.zeros(len(points))

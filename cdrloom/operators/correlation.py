@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..constants import NOT_SCORE_PATTERNS, SCORE_PATTERNS
 from ..functions.special import correlation_p_value
 from ..functions.text import logit, stars
+from ..session import cut_lineage
 from .ordered import average_ranks, curve_areas, roc_points
 
 
@@ -26,18 +27,19 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> Data
     """Rank correlation with tie-averaged ranks and its p-value.
 
     Equal (x, y) pairs are merged before the ranks are joined back, so a hot
-    value costs one row per distinct partner.  Ranks are scaled to (0, 1] and
+    value costs one row per distinct partner, and the merged pairs are written
+    once, so the source is read once.  Ranks are scaled to (0, 1] and
     centred, which keeps the sums exact enough for billions of rows.
     """
     by = list(by or [])
     known = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).na.drop(
         subset=["_x", "_y"]
     )
-    pairs = known.groupBy(*by, "_x", "_y").agg(F.count("*").alias("w"))
-    rx = average_ranks(known, "_x", by).select(*by, "_x", F.col("avg_rank").alias("rx"))
-    ry = average_ranks(known, "_y", by).select(*by, "_y", F.col("avg_rank").alias("ry"))
+    pairs = cut_lineage(known.groupBy(*by, "_x", "_y").agg(F.count("*").alias("w")))
+    rx = average_ranks(pairs, "_x", by, "w").select(*by, "_x", F.col("avg_rank").alias("rx"))
+    ry = average_ranks(pairs, "_y", by, "w").select(*by, "_y", F.col("avg_rank").alias("ry"))
     ranked = pairs.join(rx, [*by, "_x"]).join(ry, [*by, "_y"])
-    sizes = known.groupBy(*by).agg(F.count("*").alias("_n"))
+    sizes = pairs.groupBy(*by).agg(F.sum("w").alias("_n"))
     if by:
         ranked = ranked.join(sizes, by)
         n = F.col("_n")

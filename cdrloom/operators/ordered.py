@@ -20,12 +20,14 @@ def bucket_count(df: DataFrame) -> int:
     return max(2, min(MAX_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def key_bucket(df: DataFrame, key: str, buckets: int | None = None) -> Column:
+def with_key_bucket(df: DataFrame, key: str, name: str, buckets: int | None = None) -> DataFrame:
     """Bucket number of a numeric key by approximate quantiles of the table."""
     n = buckets or bucket_count(df)
     shares = F.array(*[F.lit(i / n) for i in range(1, n)])
     bounds = df.agg(F.percentile_approx(F.col(key), shares, 20 * n)).scalar()
-    return F.size(F.filter(F.coalesce(bounds, F.array(F.lit(None))), lambda b: b < F.col(key)))
+    marked = df.withColumn("_bounds", F.coalesce(bounds, F.array(F.lit(None))))
+    passed = F.size(F.filter("_bounds", lambda b: b < F.col(key)))
+    return marked.withColumn(name, passed).drop("_bounds")
 
 
 def join_small(df: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
@@ -51,10 +53,12 @@ def prefix_sum(
     """Add ``cum_<c>`` (inclusive) for each of ``sums`` along ``key``.
 
     ``df`` has one row per (by, key).  ``following`` also adds ``next_<c>``, the
-    value in the next row of the order.
+    value in the next row of the order.  The merged rows are written once, as
+    bounds, totals and sums all read them; the source behind them is read once.
     """
     by = list(by or [])
-    split = df.withColumn("_bucket", key_bucket(df, key, buckets))
+    df = cut_lineage(df)
+    split = with_key_bucket(df, key, "_bucket", buckets)
     order = F.col(key).desc() if descending else F.col(key).asc()
     edge = F.max_by if descending else F.min_by
 
@@ -114,10 +118,14 @@ def with_sorted_ids(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return with_row_ids(cut_lineage(df.orderBy(*order)), name)
 
 
-def average_ranks(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """One row per distinct value with its count and tie-averaged rank."""
+def average_ranks(df: DataFrame, value: str, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """One row per distinct value with its count and tie-averaged rank.
+
+    ``weight`` is how often a row counts, for input that is merged already.
+    """
     by = list(by or [])
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("n"))
+    count = F.sum(weight) if weight else F.count("*")
+    counts = df.groupBy(*by, value).agg(count.alias("n"))
     ranked = prefix_sum(counts, value, ["n"], by)
     return ranked.select(*by, value, "n", (F.col("cum_n") - (F.col("n") - 1) / 2).alias("avg_rank"))
 
@@ -132,12 +140,6 @@ def score_counts(df: DataFrame, score: str, label: str, by: list[str] | None = N
     )
 
 
-def class_totals(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
-    return df.groupBy(*(by or [])).agg(
-        F.count_if(F.col(label) == 1).alias("n_pos"), F.count_if(F.col(label) == 0).alias("n_neg")
-    )
-
-
 def roc_points(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
     """One row per distinct score, from high to low: counts at ``>= score``.
 
@@ -145,7 +147,7 @@ def roc_points(df: DataFrame, score: str, label: str, by: list[str] | None = Non
     neighbours (the first and last point always count as corners).
     """
     by = list(by or [])
-    counts = score_counts(df, score, label, by)
+    counts = cut_lineage(score_counts(df, score, label, by))
     totals = counts.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     points = prefix_sum(counts, "score", ["pos", "neg"], by, descending=True, following=True)
     points = join_small(points, totals, by)
