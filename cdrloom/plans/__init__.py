@@ -3,6 +3,6 @@
 
 def load_catalog():
     """Import every query module once and return the filled catalog."""
-    from . import catalog, queries_clean, queries_sequence, queries_stats  # noqa: F401
+    from . import catalog, queries_clean, queries_models, queries_sequence, queries_stats  # noqa: F401
 
     return catalog
