@@ -73,8 +73,8 @@ class Registry:
             row = table.where(F.col("path") == path).orderBy(F.col("ts").desc()).first()
         else:
             same = table.where((F.col("target") == target) & (F.col("lm") == lm) & (F.col("model") == model))
-            exact = (F.col("db") == F.lit(db)).cast("int") if db else F.lit(0)
-            row = same.orderBy(exact.desc(), F.col("ts").desc()).first()
+            order = [(F.col("db") == db).desc()] if db else []
+            row = same.orderBy(*order, F.col("ts").desc()).first()
         if row is None:
             raise ValueError(f"no stored model for {model}/{target}/{lm}")
         return row

@@ -188,7 +188,7 @@ def assign_unlabelled(spark, sf):
 
 # --- mutants -----------------------------------------------------------------
 
-MUTANTS_SQL = LABELLED_SQL + """, pos AS (SELECT barcode, hseq, cdr3, unnest(range(1, length(cdr3) + 1)) AS i FROM lab WHERE cdr3 <> ''),
+MUTANTS_SQL = "WITH " + LABELLED_SQL + """, pos AS (SELECT barcode, hseq, cdr3, unnest(range(1, length(cdr3) + 1)) AS i FROM lab WHERE cdr3 <> ''),
 mut AS (SELECT barcode, CAST(i AS INTEGER) AS pos, substr(cdr3, i::BIGINT, 1) AS wt, aa AS mut, substr(cdr3, 1, i::BIGINT - 1) || aa || substr(cdr3, i::BIGINT + 1) AS cdr3, cdr3 AS old, hseq AS h
   FROM pos, (SELECT unnest(string_split('A,C,D,E,F,G,H,I,K,L,M,N,P,Q,R,S,T,V,W,Y', ',')) AS aa)),
 m AS (SELECT barcode, pos, wt, mut, cdr3, CASE WHEN position(old IN h) > 0 THEN substr(h, 1, position(old IN h) - 1) || cdr3 || substr(h, position(old IN h) + length(old)) ELSE h END AS hseq FROM mut)"""
@@ -236,7 +236,7 @@ def mutation_matrix(spark, sf):
 
 # --- selection rounds ---------------------------------------------------------
 
-ENRICHED_SQL = CLONES_SQL + """, f AS (SELECT *, macs / sum(macs) OVER () AS freq_before, facs1 / sum(facs1) OVER () AS freq_after FROM clones),
+ENRICHED_SQL = "WITH " + CLONES_SQL + """, f AS (SELECT *, macs / sum(macs) OVER () AS freq_before, facs1 / sum(facs1) OVER () AS freq_after FROM clones),
 e AS (SELECT *, freq_after / (freq_before + 1e-8) AS fold_change, CAST(facs1 > 5 AND freq_after >= freq_before * 1.5 AS INTEGER) AS positive, macs > 0 OR facs1 > 0 AS train FROM f)"""
 
 
