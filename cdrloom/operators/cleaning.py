@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import NULL_LIKE, NULL_LIKE_SHEET
 from ..functions import text as T
+from ..session import cut_lineage
 from .ordered import join_small, with_row_ids
 
 ELISA = ("psr_norm_insulin", "psr_norm_dna", "psr_norm_smp", "psr_norm_avidin")
@@ -15,7 +16,7 @@ def normalize_barcode(df: DataFrame, column: str = "barcode") -> DataFrame:
     """Trimmed text key; consecutive numbers in scan order if there is none."""
     if column in df.columns:
         return df.withColumn(column, T.barcode_key(F.col(column)))
-    return with_row_ids(df, column).withColumn(column, F.col(column).cast("string"))
+    return with_row_ids(cut_lineage(df), column).withColumn(column, F.col(column).cast("string"))
 
 
 def clean_nulls(df: DataFrame, cols: list[str], spellings: tuple[str, ...] = NULL_LIKE) -> DataFrame:

@@ -94,6 +94,8 @@ def with_row_ids(df: DataFrame, name: str) -> DataFrame:
 
     The id of a row is its place in its partition plus the rows of earlier
     partitions; the offsets table has one row per partition and no data moves.
+    ``df`` is read twice, so its partitions have to be fixed: pass a
+    checkpointed table.
     """
     marked = df.withColumn("_mono", F.monotonically_increasing_id())
     part = F.shiftright("_mono", 33)

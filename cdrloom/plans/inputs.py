@@ -16,10 +16,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on a table of few files; a table of many splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def antibodies(spark: SparkSession, sf: str) -> DataFrame:
     aa = F.upper(F.regexp_replace("text", LETTERS, ""))
     pieces = F.regexp_extract_all(aa, F.lit("([A-Z]{231}(?:[A-Z]{0,230}$)?|^[A-Z]{1,230}$)"), F.lit(1))
-    cut = table(spark, sf, "documents").select("doc_id", "lang", "source", F.posexplode_outer(pieces).alias("tile", "b")).where(
+    documents = spread(table(spark, sf, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
+    cut = documents.select("doc_id", "lang", "source", F.posexplode_outer(pieces).alias("tile", "b")).where(
         "b is not null"
     )
     n = (8 + (F.col("doc_id") + F.col("tile")) % 9).cast("int")

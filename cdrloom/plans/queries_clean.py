@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import cleaning as C, joins as J
 from ..operators.correlation import detect_score_columns
+from ..session import shared_folder
 from ..sources import tables as S
 from .catalog import query
 from .inputs import (
@@ -371,7 +371,7 @@ def concat_rows(spark, sf):
 
 @query("load_previous", f"WITH {LABELLED_SQL}, {PREVIOUS_SQL} SELECT cdr3 FROM prev")
 def load_previous(spark, sf):
-    folder = tempfile.mkdtemp(prefix="cdrloom-prev-")
+    folder = shared_folder(spark, "previous")
     loops = previous(spark, sf)
     S.write_table(loops.select(F.concat(F.lit(" "), "cdr3").alias("cdr3")), f"{folder}/a.parquet")
     S.write_table(loops, f"{folder}/b.csv")

@@ -396,12 +396,11 @@ def hit_expansion(spark, sf):
 
 @query("registered_model")
 def registered_model(spark, sf):
-    import tempfile
-
     from ..models.registry import Registry
+    from ..session import shared_folder
 
     df = labelled(spark, sf)
-    registry = Registry(spark, tempfile.mkdtemp(prefix="cdrloom-registry-"))
+    registry = Registry(spark, shared_folder(spark, "registry"))
     path = registry.save(M.DevelopabilityModel(PROPERTIES, SMALL_FOREST).fit(df, "quality"), "quality", "biophysical", "demo")
     registry.set_threshold(path, 0.4)
     row = registry.find("quality", "biophysical", "random_forest")

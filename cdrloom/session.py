@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,14 +23,25 @@ def local_session(app: str = "cdrloom", cores: str = "*", shuffle: int = 8) -> S
     )
 
 
+def _named_folder(spark: SparkSession) -> str | None:
+    """Shared folder from ``spark.checkpoint.dir``, None if the setting is unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names.
 
-    The folder comes from ``spark.checkpoint.dir``; only a session without that
-    setting (a local test) gets a scratch folder of its own.
+    Only a session without that setting (a local test) gets a scratch folder of
+    its own.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cdrloom-ckpt-"))
+        context.setCheckpointDir(_named_folder(spark) or tempfile.mkdtemp(prefix="cdrloom-ckpt-"))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """Fresh folder path every executor can reach, next to the checkpoints."""
+    base = _named_folder(spark) or tempfile.mkdtemp(prefix="cdrloom-work-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

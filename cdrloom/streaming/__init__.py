@@ -1,0 +1,6 @@
+"""No streaming operators: the covered toolkit has no streams, time or state.
+
+Row-level operators (``functions``, ``operators.annotation``, most of
+``operators.cleaning``) are plain projections and take a streaming DataFrame as
+they are.
+"""

@@ -12,6 +12,7 @@ from cdrloom.operators import (
 )
 from cdrloom.operators.features import FeatureBuilder, FeatureConfig
 from cdrloom.plans import load_catalog
+from cdrloom.session import cut_lineage
 from cdrloom.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -167,7 +168,7 @@ def test_prefix_sum_and_row_ids(spark):
     for k in sorted(keys):
         total += k % 7
         assert got[k] == total
-    ids = sorted(r["i"] for r in O.with_row_ids(df, "i").collect())
+    ids = sorted(r["i"] for r in O.with_row_ids(cut_lineage(df), "i").collect())
     assert ids == list(range(500))
 
 
