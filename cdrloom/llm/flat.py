@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 SLICE_BYTES = 4 << 20
@@ -25,7 +26,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive row ranges of ``batch`` with at most ``limit`` text bytes, one row at least."""
-    sizes = np.array([0 if x is None else x for x in pa.compute.binary_length(batch.column(column)).to_pylist()], np.int64)
+    sizes = np.array([0 if x is None else x for x in pc.binary_length(batch.column(column)).to_pylist()], np.int64)
     start = 0
     total = np.concatenate([[0], np.cumsum(sizes)])
     while start < len(sizes):
@@ -36,7 +37,7 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
 
 def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the n + 1 offsets of its rows; nulls are empty."""
-    texts = pa.compute.fill_null(texts.cast(pa.large_binary()), b"")
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
     texts = pa.concat_arrays([texts])  # a slice gets buffers of its own
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     buffer = texts.buffers()[2] if len(texts) else None
@@ -138,3 +139,39 @@ def text_key(text: Column) -> Column:
 
 def shuffle_tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Groups of consecutive rows with equal keys, also across batches; holds one group at a time."""
+    current, held = None, []
+    for batch in batches:
+        values = list(zip(*(batch.column(k).to_pylist() for k in keys)))
+        begin = 0
+        for at in [k for k in range(1, len(values)) if values[k] != values[k - 1]] + [len(values)]:
+            if at == begin:
+                continue
+            if current is not None and values[begin] != current:
+                yield current, pa.Table.from_batches(held)
+                held = []
+            current = values[begin]
+            held.append(batch.slice(begin, at - begin))
+            begin = at
+    if held:
+        yield current, pa.Table.from_batches(held)
+
+
+
+def distinct_texts(df: DataFrame, text_column: str = "text") -> DataFrame:
+    """key (content digest) and text of each text, once per task: copies of one text leave a task once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            keep = []
+            for key in batch.column("key").to_pylist():
+                keep.append(key not in seen)
+                seen.add(key)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    rows = df.select(F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text"))
+    return in_arrow(rows.select(text_key(F.col("text")).alias("key"), "text"), run, "key binary, text string")
