@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, html_text, neighbours, packing, quality, token_counts, toxicity
+from . import bpe, chat, html_text, jaccard, neighbours, packing, quality, suffix_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.removals(table(spark, sf, "documents"))
+
+
 @query("op2_quality_rules")
 def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     documents = table(spark, sf, "documents")
@@ -60,6 +65,11 @@ def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf, "documents"), bpe.default_path())
 
 
+@query("op8_jaccard_join")
+def op8_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf, "documents")).drop("text_key")
+
+
 @query("op9_toxicity")
 def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     documents = table(spark, sf, "documents")

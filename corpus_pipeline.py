@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cdrloom.llm import bpe, packing, quality, toxicity
+from cdrloom.llm import bpe, jaccard, packing, quality, suffix_dedup, toxicity
 from cdrloom.session import shared_folder
 
 #: Models are no SQL; the stages are tested against brute force.
@@ -30,6 +30,16 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return toxicity.drop_toxic(docs, toxicity.fit(docs, _labels(spark, sf_dir)))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return jaccard.keep_one(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without strings of 400 bytes that start elsewhere too."""
+    return suffix_dedup.remove_repeats(docs, size_column="n_chars")
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of power-of-two length, one sequence each."""
     return packing.pack(docs, bpe.default_path())
@@ -38,6 +48,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("quality rules", quality_rules),
     ("toxicity", toxicity_filter),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
     ("packing", pack_sequences),
 ]
 
