@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..operators.ordered import curve_areas, roc_points
-from ..operators.sampling import random_subsample, top_by_magnitude
+from ..operators.ordered import curve_areas, roc_points, with_sorted_ids
+from ..operators.sampling import hash_order, top_by_magnitude
+from ..session import cut_lineage
 from .training import scored
 
 
@@ -37,28 +38,27 @@ def linear_contributions(df: DataFrame, model, names: list[str], key: str, keep:
 
 
 def permutation_importance(df: DataFrame, model, label: str, names: list[str], keep: list[int], key: str = "barcode",
-                           sample: int = 500, repeats: int = 3, seed: int = 42) -> DataFrame:
-    """Loss of AUC when one feature is shuffled, over a fixed subsample.
+                           repeats: int = 3, seed: int = 42) -> DataFrame:
+    """Loss of AUC when one feature is shuffled, over all rows.
 
     The table is copied once per (feature, repeat) with that feature taken from
-    another row of the sample; all copies are scored in one bulk transform.
+    another row: rows are numbered once in a shuffled order, and a copy takes
+    the value that stands a shift of its own further on.  All copies are scored
+    in one bulk transform.
     """
-    # at most ``sample`` rows from here on
-    base = random_subsample(df.select(key, label, "features"), key, sample, seed)
-    base = base.select(key, label, vector_to_array("features").alias("x")).persist()
+    rows = df.select(key, label, vector_to_array("features").alias("x"))
+    base = cut_lineage(with_sorted_ids(rows, [hash_order(key, seed), F.col(key)], "_id"))
+    n = base.count()
     slots = F.array(*[F.lit(i) for i in keep])
     task = F.explode(F.sequence(F.lit(0), F.lit(len(keep) * repeats - 1))).alias("_task")
-    copies = base.select(key, label, "x", task).select(  # sample x features x repeats rows
-        key, label, "x", F.element_at(slots, F.col("_task") % len(keep) + 1).alias("i"),
+    copies = base.select("_id", label, "x", task).select(  # rows x features x repeats
+        "_id", label, "x", F.element_at(slots, F.col("_task") % len(keep) + 1).alias("i"),
         F.floor(F.col("_task") / len(keep)).alias("repeat"),
     )
-    per_task = Window.partitionBy("i", "repeat")
-    own = F.row_number().over(per_task.orderBy(key))
-    other = F.row_number().over(per_task.orderBy(F.xxhash64(F.col(key), "i", "repeat", F.lit(seed)), key))
-    value = F.element_at("x", F.col("i") + 1)
-    placed = copies.withColumns({"_own": own, "_other": other, "_value": value})
-    donors = placed.select("i", "repeat", F.col("_other").alias("_own"), F.col("_value").alias("_new"))
-    swapped = placed.join(donors, ["i", "repeat", "_own"])
+    shift = 1 + F.pmod(F.xxhash64("i", "repeat", F.lit(seed)), F.lit(max(1, n - 1)))
+    donors = base.select(F.col("_id").alias("_donor"), F.col("x").alias("_other"))
+    swapped = copies.withColumn("_donor", (F.col("_id") + shift) % F.lit(max(1, n))).join(donors, "_donor")
+    swapped = swapped.withColumn("_new", F.element_at("_other", F.col("i") + 1))
     changed = F.transform("x", lambda v, j: F.when(j == F.col("i"), F.col("_new")).otherwise(v))
     vectors = swapped.select("i", "repeat", label, array_to_vector(changed).alias("features"))
     after = scored(model, vectors, "classification", "prob")

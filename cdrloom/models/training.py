@@ -31,7 +31,7 @@ class ModelConfig:
     depth: int = 6
     learning_rate: float = 0.1
     balanced: bool = True
-    early_stopping: bool = False
+    early_stopping: bool = False  # boosting: stop on a tenth of the rows, unless the caller names a validation column
     seed: int = 42
     extra: dict = field(default_factory=dict)
 
@@ -94,6 +94,8 @@ class DevelopabilityModel:
             table, weight = with_class_weight(table, "label"), "weight"
         if self.config.kind == "logistic_l1":
             rows = table.count()
+        if self.config.early_stopping and self.config.kind == "gradient_boosting" and validation is None:
+            table, validation = table.withColumn("_held", F.rand(self.config.seed) < 0.1), "_held"
         table = table.persist()
         try:
             self.model = estimator(self.config, self.task, weight, validation, rows).fit(table)

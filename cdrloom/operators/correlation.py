@@ -167,10 +167,6 @@ def correlation_matrix(df: DataFrame, cols: list[str], method: str = "spearman")
     return upper.select(F.explode(cells).alias("c"), "n").select("c.*", "n").distinct()
 
 
-def as_square(matrix: DataFrame, cols: list[str]) -> DataFrame:
-    return matrix.groupBy("col_a").pivot("col_b", cols).agg(F.first("r"))
-
-
 def guarded_auc(df: DataFrame, score: str, assay: str, cutoff: float = 0.27, min_class: int = 5,
                 by: list[str] | None = None) -> DataFrame:
     """AUC of a score against ``assay < cutoff``; null if a class is too small."""

@@ -238,9 +238,6 @@ class FeatureBuilder:
         """Indices of everything but embedding dimensions."""
         return [i for i, n in enumerate(self.feature_names) if not n.startswith("emb_")]
 
-    def subset(self, prefix: str) -> list[int]:
-        return [i for i, n in enumerate(self.feature_names) if n.startswith(prefix)]
-
     def transform(self, df: DataFrame, name: str = "features") -> DataFrame:
         cfg, blocks, out = self.config, [], df
         if cfg.embedding:

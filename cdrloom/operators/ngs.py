@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import AMINO_ACIDS
 from ..functions.text import number_or_zero
+from ..session import cut_lineage
 from .ordered import join_small
 
 FIRST_POSITION = 105
@@ -13,23 +14,18 @@ TINY = 1e-10
 
 
 def enrichment_labels(df: DataFrame, before: str = "macs", after: str = "facs1", min_count: float = 5,
-                      min_fold: float = 1.5, drop_ambiguous: bool = False) -> DataFrame:
-    """Frequencies, fold change, positive flag and training mask per clone.
-
-    ``drop_ambiguous`` (off by default) takes clones that are neither enriched
-    nor clearly depleted out of the training mask.
-    """
+                      min_fold: float = 1.5) -> DataFrame:
+    """Frequencies, fold change, positive flag and training mask per clone."""
     clean = df.withColumns({c: number_or_zero(F.col(c)) for c in (before, after)})
     totals = clean.agg(F.sum(before).alias("_tb"), F.sum(after).alias("_ta"))
     wide = join_small(clean, totals, [])
     share = lambda c, t: F.when(F.col(t) > 0, F.col(c) / F.col(t)).otherwise(F.lit(0.0))
     out = wide.withColumns({"freq_before": share(before, "_tb"), "freq_after": share(after, "_ta")})
     rich = (F.col(after) > min_count) & (F.col("freq_after") >= F.col("freq_before") * min_fold)
-    poor = (F.col(after) > min_count) & (F.col("freq_after") <= F.col("freq_before") * 0.5)
     train = (F.col(before) > 0) | (F.col(after) > 0)
     out = out.withColumns({
         "fold_change": F.col("freq_after") / (F.col("freq_before") + 1e-8),
-        "positive": rich.cast("int"), "train": (train & (rich | poor)) if drop_ambiguous else train,
+        "positive": rich.cast("int"), "train": train,
     })
     return out.drop("_tb", "_ta")
 
@@ -75,7 +71,10 @@ def _profiles(df: DataFrame, seq: str, score: str, before: str, after: str) -> D
 
 def position_entropy(df: DataFrame, seq: str, score: str, before: str = "macs", after: str = "facs1") -> DataFrame:
     """Entropy (bits) and most frequent residue per group and numbered position."""
-    stats = _profiles(df, seq, score, before, after)
+    return _entropy(_profiles(df, seq, score, before, after))
+
+
+def _entropy(stats: DataFrame) -> DataFrame:
     top = F.max(F.struct(F.col("n"), -F.position("aa", F.lit(AMINO_ACIDS)), F.col("aa")))
     return stats.groupBy("group", (F.col("pos") + FIRST_POSITION).alias("position")).agg(
         (-F.sum(F.col("prob") * F.log2("prob"))).alias("entropy"), top["aa"].alias("top_aa"),
@@ -88,7 +87,10 @@ def position_divergence(df: DataFrame, seq: str, score: str, before: str = "macs
 
     Zero shares become 1e-10 without renormalising, on all 20 residues.
     """
-    stats = _profiles(df, seq, score, before, after)
+    return _divergence(_profiles(df, seq, score, before, after))
+
+
+def _divergence(stats: DataFrame) -> DataFrame:
     shares = stats.groupBy("pos", "aa").agg(
         F.max(F.when(F.col("group") == "high", F.col("prob"))).alias("p"),
         F.max(F.when(F.col("group") == "baseline", F.col("prob"))).alias("q"),
@@ -102,10 +104,11 @@ def position_divergence(df: DataFrame, seq: str, score: str, before: str = "macs
 
 def position_stats(df: DataFrame, seq: str, score: str, before: str = "macs", after: str = "facs1") -> DataFrame:
     """One row per position: entropies, KL divergence and entropy drop."""
-    entropy = position_entropy(df, seq, score, before, after).groupBy("position").pivot(
+    stats = cut_lineage(_profiles(df, seq, score, before, after))  # groups x positions x 20 rows
+    entropy = _entropy(stats).groupBy("position").pivot(
         "group", ["baseline", "positive", "high"]
     ).agg(F.first("entropy"))
-    kl = position_divergence(df, seq, score, before, after).groupBy("position").agg(F.sum("contribution").alias("kl"))
+    kl = _divergence(stats).groupBy("position").agg(F.sum("contribution").alias("kl"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     return entropy.join(kl, "position").select(
         "position", zero("baseline").alias("entropy_baseline"), zero("positive").alias("entropy_positive"),

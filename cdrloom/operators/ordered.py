@@ -12,12 +12,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut_lineage
 
-MAX_BUCKETS = 512
-
-
 def bucket_count(df: DataFrame) -> int:
-    """As many buckets as the session has shuffle partitions, within reason."""
-    return max(2, min(MAX_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    """As many buckets as the session has shuffle partitions."""
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def with_key_bucket(df: DataFrame, key: str, name: str, buckets: int | None = None) -> DataFrame:
@@ -76,7 +73,7 @@ def prefix_sum(
         F.lead("_head").over(across).alias("_next_head"),
     )
     if not by:
-        offsets = F.broadcast(offsets)  # at most MAX_BUCKETS rows
+        offsets = F.broadcast(offsets)  # one row per bucket
 
     local = Window.partitionBy(*by, "_bucket").orderBy(order)
     running = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut_lineage
 from .ordered import curve_areas, join_small, roc_points
 
 METRICS = ("sensitivity", "specificity", "precision", "f1", "f2", "youden")
@@ -164,7 +165,7 @@ def find_threshold(df: DataFrame, score: str, label: str, method: str = "auto",
 def threshold_report(df: DataFrame, score: str, label: str, cost_fp: float = 1.0,
                      cost_fn: float = 3.0, steps: int = 500) -> DataFrame:
     """Nine selection rules side by side with the curve areas."""
-    sweep = threshold_sweep(df, score, label, steps)
+    sweep = cut_lineage(threshold_sweep(df, score, label, steps))  # ``steps`` rows, read by every rule
     runs = [
         ("auto", "auto", dict(cost_fp=cost_fp, cost_fn=cost_fn)),
         ("youden", "youden", {}),

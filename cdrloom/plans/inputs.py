@@ -17,9 +17,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on a table of few files; a table of many splits stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    """Deal a table to all cores in a local session, whose files hold one split; a cluster reads its splits as they are."""
+    context = df.sparkSession.sparkContext
+    return df.repartition(context.defaultParallelism, key) if context.master.startswith("local[") else df
 
 
 def antibodies(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,7 +36,7 @@ def antibodies(spark: SparkSession, sf: str) -> DataFrame:
     blank = (F.col("doc_id") + F.col("tile")) % 10 == 0
     return cut.select(
         F.concat_ws("-", F.col("doc_id").cast("string"), F.col("tile").cast("string")).alias("barcode"),
-        "doc_id", "tile", (F.col("doc_id") * 100000 + F.col("tile")).alias("row_id"),
+        "doc_id", "tile", (F.col("doc_id") * (1 << 32) + F.col("tile")).alias("row_id"),
         F.col("source").alias("antigen"), F.col("lang").alias("germline"),
         heavy.alias("hseq"), F.substring(b, F.lit(124), F.length(b)).alias("lseq"),
         F.when(blank, F.lit("")).otherwise(loop).alias("cdr3"),
@@ -57,7 +57,7 @@ pieces AS (
          CASE WHEN tile < nt - 1 THEN substr(aa, tile * 231 + 1, 231) ELSE substr(aa, tile * 231 + 1) END AS b
   FROM tiles),
 ab AS (
-  SELECT doc_id || '-' || tile AS barcode, doc_id, tile, doc_id * 100000 + tile AS row_id,
+  SELECT doc_id || '-' || tile AS barcode, doc_id, tile, doc_id * 4294967296 + tile AS row_id,
          source AS antigen, lang AS germline,
          substr(b, 1, 96) || 'C' || substr(b, 97, n) || 'WGQG' || substr(b, 97 + n, 27 - n) AS hseq,
          substr(b, 124) AS lseq,

@@ -29,21 +29,21 @@ def levenshtein_pairs(spark, sf):
 
 
 @query("similarity_join", f"""WITH {LABELLED_SQL}, {LOOPS_SQL}, {PREVIOUS_SQL},
-n AS (SELECT l.seq, min(levenshtein(l.seq, p.cdr3)) AS d FROM loops l JOIN prev p ON abs(length(l.seq) - length(p.cdr3)) <= 4 GROUP BY 1)
-SELECT loops.seq, CASE WHEN d <= 4 THEN d END AS nearest FROM loops LEFT JOIN n USING (seq)""")
+n AS (SELECT l.seq, min(levenshtein(l.seq, p.cdr3)) AS d FROM loops l, prev p GROUP BY 1)
+SELECT loops.seq, coalesce(d, 999) AS nearest FROM loops LEFT JOIN n USING (seq)""")
 def similarity_join(spark, sf):
     known = previous(spark, sf).withColumnRenamed("cdr3", "seq")
-    return S.nearest_previous(loops(spark, sf).select("seq"), known, "seq", 4).select("seq", "nearest")
+    return S.nearest_previous(loops(spark, sf).select("seq"), known, "seq").select("seq", "nearest")
 
 
 BLOSUM_CASE = "CASE substr(a, i::BIGINT, 1) || substr(b, i::BIGINT, 1) " + " ".join(
     f"WHEN '{x}{y}' THEN {v}" for (x, y), v in K.triangle(K.BLOSUM62).items()) + " ELSE -4 END"
 
 
-def neighbours(spark, sf):
-    """Each loop with the next one of its document."""
+def neighbours(spark, sf, step=1):
+    """Each loop with the one ``step`` pieces further on in its document."""
     ab = antibodies(spark, sf).select("barcode", "doc_id", "tile", "cdr3")
-    other = ab.select("doc_id", (F.col("tile") - 1).alias("tile"), F.col("cdr3").alias("b"))
+    other = ab.select("doc_id", (F.col("tile") - step).alias("tile"), F.col("cdr3").alias("b"))
     return ab.join(other, ["doc_id", "tile"]).select("barcode", F.col("cdr3").alias("a"), "b")
 
 
@@ -57,12 +57,11 @@ def blosum_prefix_similarity(spark, sf):
     return neighbours(spark, sf).select("barcode", r6(V.prefix_similarity(F.col("a"), F.col("b"))).alias("similarity"))
 
 
-@query("blosum_distance_same_len", f"""WITH {ANTIBODIES_SQL}, {NEIGHBOUR_SQL}, p AS (SELECT barcode, left(a, 8) AS a, left(b, 8) AS b FROM pairs WHERE length(a) >= 8 AND length(b) >= 8)
-SELECT barcode, 4 * 8 - sum({BLOSUM_CASE})::DOUBLE AS distance FROM (SELECT *, unnest(range(1, 9)) AS i FROM p) GROUP BY 1""")
+@query("blosum_distance_same_len", f"""WITH {ANTIBODIES_SQL}, {NEIGHBOUR_SQL.replace("+ 1", "+ 9")}, p AS (SELECT barcode, a, b FROM pairs WHERE length(a) = length(b) AND a <> '')
+SELECT barcode, 4 * any_value(length(a)) - sum({BLOSUM_CASE})::DOUBLE AS distance FROM (SELECT *, unnest(range(1, length(a) + 1)) AS i FROM p) GROUP BY 1""")
 def blosum_distance_same_len(spark, sf):
-    eight = lambda c: F.substring(c, 1, 8)  # the operator wants equal lengths
-    pairs = neighbours(spark, sf).where((F.length("a") >= 8) & (F.length("b") >= 8))
-    return pairs.select("barcode", V.same_length_distance(eight("a"), eight("b")).alias("distance"))
+    pairs = neighbours(spark, sf, 9).where((F.length("a") == F.length("b")) & (F.col("a") != ""))  # loop lengths recur every nine pieces
+    return pairs.select("barcode", V.same_length_distance(F.col("a"), F.col("b")).alias("distance"))
 
 
 @query("blosum_global_distance")
@@ -157,23 +156,33 @@ def grouped(spark, sf):
     return labelled(spark, sf).select("barcode", "doc_id", "quality", F.concat_ws("/", "antigen", "germline", (F.col("doc_id") % 7).cast("string")).alias("cluster"), "score")
 
 
-@query("group_stratified_folds")
+FOLDS_SQL = """grp AS (SELECT barcode, quality, 'group:' || antigen || '/' || germline || '/' || (doc_id % 7) AS unit FROM lab),
+unit AS (SELECT unit, count(*) AS size, CAST(avg(CAST(quality = 1 AS INTEGER)) > 0.5 AS INTEGER) AS stratum FROM grp GROUP BY 1),
+k AS (SELECT least(5, count(*)) AS k FROM unit),
+seat AS (SELECT unit, k, row_number() OVER (PARTITION BY stratum ORDER BY size DESC, md5(unit || ':42'), unit) - 1 AS p FROM unit, k),
+folds AS (SELECT barcode, quality, substr(unit, 7) AS cluster, CAST(CASE WHEN (p // k) % 2 = 0 THEN p % k ELSE k - 1 - p % k END AS INTEGER) AS fold FROM grp JOIN seat USING (unit))"""
+
+
+@query("group_stratified_folds", f"WITH {LABELLED_SQL}, {FOLDS_SQL} SELECT barcode, cluster, fold FROM folds")
 def group_stratified_folds(spark, sf):
     return P.group_stratified_folds(grouped(spark, sf), "quality", "cluster", "barcode", 5).select("barcode", "cluster", "fold")
 
 
-@query("group_holdout")
+@query("group_holdout", f"""WITH {LABELLED_SQL}, {FOLDS_SQL},
+r AS (SELECT fold, avg(CAST(quality = 1 AS INTEGER)) AS rate FROM folds GROUP BY 1), w AS (SELECT avg(CAST(quality = 1 AS INTEGER)) AS whole FROM folds),
+b AS (SELECT fold AS best FROM r, w ORDER BY abs(rate - whole), fold LIMIT 1)
+SELECT barcode, cluster, CASE WHEN fold = best THEN 'val' ELSE 'train' END AS side FROM folds, b""")
 def group_holdout(spark, sf):
     return P.group_holdout(grouped(spark, sf), "quality", "cluster", "barcode").select("barcode", "cluster", "side")
 
 
-SIDES_SQL = "sides AS (SELECT barcode, antigen, quality, CASE WHEN fold = 0 THEN 'val' ELSE 'train' END AS side FROM lab WHERE antigen < 'src5')"
+SIDES_SQL = "sides AS (SELECT barcode, antigen, quality, CASE WHEN fold = 0 THEN 'val' ELSE 'train' END AS side FROM lab)"
 
 
 @query("leakage_report", f"""WITH {LABELLED_SQL}, {SIDES_SQL}, g AS (SELECT antigen, count(DISTINCT side) AS s FROM sides GROUP BY 1)
 SELECT count(*) AS n_clusters, count(*) FILTER (s > 1) AS leaked FROM g""")
 def leakage_report(spark, sf):
-    df = labelled(spark, sf).where("antigen < 'src5'").withColumn("side", F.when(F.col("fold") == 0, "val").otherwise("train"))
+    df = labelled(spark, sf).withColumn("side", F.when(F.col("fold") == 0, "val").otherwise("train"))
     return P.leakage_report(df, "antigen")
 
 
@@ -181,7 +190,7 @@ def leakage_report(spark, sf):
 SELECT barcode, CASE WHEN va AND NOT tr THEN 'val' ELSE 'train' END AS side FROM ab LEFT JOIN g USING (antigen) WHERE barcode NOT IN (SELECT barcode FROM lab)""")
 def assign_unlabelled(spark, sf):
     lab = labelled(spark, sf)
-    sides = lab.where("antigen < 'src5'").withColumn("side", F.when(F.col("fold") == 0, "val").otherwise("train"))
+    sides = lab.withColumn("side", F.when(F.col("fold") == 0, "val").otherwise("train"))
     free = antibodies(spark, sf).join(lab.select("barcode"), "barcode", "left_anti")
     return P.assign_unlabelled(sides, free, "antigen").select("barcode", "side")
 
@@ -348,7 +357,7 @@ def permutation_importance(spark, sf):
     model = M.DevelopabilityModel(PROPERTIES, SMALL_FOREST).fit(df, "quality")
     vectors = model.builder.transform(df)
     names = model.builder.feature_names
-    return explain.permutation_importance(vectors, model.model, "quality", names, model.builder.interpretable, sample=200, repeats=2)
+    return explain.permutation_importance(vectors, model.model, "quality", names, model.builder.interpretable)
 
 
 @query("linear_contributions")

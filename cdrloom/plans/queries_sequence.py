@@ -326,9 +326,9 @@ def kmer_l2_vectors(spark, sf):
 
 
 @query("one_hot", f"""WITH {ANTIBODIES_SQL} SELECT barcode, CAST(i AS INTEGER) AS pos, substr(cdr3, i::BIGINT, 1) AS aa
-FROM (SELECT barcode, cdr3, unnest(range(1, least(length(cdr3), 12) + 1)) AS i FROM ab)""")
+FROM (SELECT barcode, cdr3, unnest(range(1, least(length(cdr3), 25) + 1)) AS i FROM ab)""")
 def one_hot(spark, sf):
-    return X.one_hot_table(antibodies(spark, sf), "barcode", F.col("cdr3"), 12)
+    return X.one_hot_table(antibodies(spark, sf), "barcode", F.col("cdr3"), 25)
 
 
 @query("fit_max_lengths", f"""WITH {ANTIBODIES_SQL} SELECT max(length(hseq)) AS vh, 130 AS vl, max(length(cdr3)) AS hcdr3,

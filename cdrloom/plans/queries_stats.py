@@ -478,12 +478,13 @@ def first_n(spark, sf):
     return P.first_n(antibodies(spark, sf).select("barcode", "row_id"), "row_id", 40).select("barcode")
 
 
-@query("balanced_sample")
+@query("balanced_sample", f"""WITH {LABELLED_SQL} SELECT barcode, quality FROM lab
+QUALIFY row_number() OVER (PARTITION BY quality ORDER BY md5(barcode || ':42'), barcode) <= 100""")
 def balanced_sample(spark, sf):
     return P.balanced_sample(labelled(spark, sf).select("barcode", "quality"), "quality", "barcode", 200)
 
 
-@query("random_subsample")
+@query("random_subsample", f"WITH {LABELLED_SQL} SELECT barcode, quality FROM lab ORDER BY md5(barcode || ':42'), barcode LIMIT 500")
 def random_subsample(spark, sf):
     return P.random_subsample(labelled(spark, sf).select("barcode", "quality"), "barcode", 500)
 
@@ -491,8 +492,7 @@ def random_subsample(spark, sf):
 @query("size_ladder", f"""WITH {LABELLED_SQL}, n AS (SELECT count(*) AS n FROM lab), s AS (SELECT unnest(range(500, n + 1, 1000)) AS size, n FROM n)
 SELECT size FROM s UNION SELECT n FROM n""")
 def size_ladder(spark, sf):
-    n = labelled(spark, sf).count()
-    return spark.createDataFrame([(s,) for s in P.size_ladder(n, 500, 1000, True)], "size long")
+    return P.size_ladder(labelled(spark, sf), 500, 1000, True)
 
 
 @query("total_normalised", f"""WITH {CLONES_SQL} SELECT barcode, round(macs / sum(macs) OVER (), 9) AS freq, round(facs1 * 1e6 / sum(facs1) OVER (), 4) AS cpm FROM clones""")

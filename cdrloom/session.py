@@ -28,6 +28,13 @@ def _named_folder(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
 
 
+def _scratch(spark: SparkSession, prefix: str) -> str:
+    """Folder of a session without the setting: fine on one machine, refused on a cluster."""
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix=prefix)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names.
 
@@ -37,11 +44,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(_named_folder(spark) or tempfile.mkdtemp(prefix="cdrloom-ckpt-"))
+        context.setCheckpointDir(_named_folder(spark) or _scratch(spark, "cdrloom-ckpt-"))
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """Fresh folder path every executor can reach, next to the checkpoints."""
-    base = _named_folder(spark) or tempfile.mkdtemp(prefix="cdrloom-work-")
+    base = _named_folder(spark) or _scratch(spark, "cdrloom-work-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -126,13 +126,6 @@ def test_complete_linkage_equals_brute_force(spark):
         assert labels == brute_linkage(d, "complete", -cut + 1, True)
 
 
-def test_average_linkage_equals_brute_force(spark):
-    seqs = sorted(set(strings(40, 9, "ACDEFGHIKLW", 8, 10)))
-    d = G.blosum_matrix(seqs)
-    out = G.average_linkage(frame(spark, seqs), "seq", "id", 0.3).collect()
-    assert partition(out) == brute_linkage(d, "average", 0.3, False)
-
-
 @pytest.mark.parametrize("metric", ["levenshtein", "blosum"])
 def test_diverse_leads_equal_the_sequential_choice(spark, metric):
     seqs, old = strings(60, 11), strings(6, 12)
