@@ -148,15 +148,19 @@ def correlation_matrix(df: DataFrame, cols: list[str], method: str = "spearman")
     """Long square matrix on rows that are complete in all columns."""
     numeric = df.select(*[F.col(c).try_cast("double").alias(c) for c in cols]).na.drop()
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    long = numeric.select(F.explode(F.array(*[
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(a).alias("x"), F.col(b).alias("y"))
-        for a, b in pairs
-    ])).alias("p")).select("p.*")
-    by = ["col_a", "col_b"]
     if method == "spearman":
-        upper = spearman(long, "x", "y", by).select(*by, F.col("spearman").alias("r"), "n")
+        numeric = cut_lineage(numeric.groupBy(*cols).agg(F.count("*").alias("_w")))
+        size = numeric.agg(F.sum("_w").alias("_n")).scalar()
+        ranked = numeric
+        for c in cols:  # every column is ranked once
+            ranks = average_ranks(numeric, c, weight="_w").select(c, (F.col("avg_rank") / size - 0.5).alias(f"_r_{c}"))
+            ranked = ranked.join(ranks, c)
+        cells = [weighted_corr(F.col(f"_r_{a}"), F.col(f"_r_{b}"), F.col("_w")) for a, b in pairs]
+        one = ranked.agg(F.sum("_w").alias("n"), F.array(*cells).alias("r"))
     else:
-        upper = long.groupBy(*by).agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"))
+        one = numeric.agg(F.count("*").alias("n"), F.array(*[F.corr(a, b) for a, b in pairs]).alias("r"))
+    names = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b")) for a, b in pairs])
+    upper = one.select("n", F.explode(F.arrays_zip(names.alias("p"), F.col("r"))).alias("c")).select("c.p.*", "c.r", "n")
     # mirror and diagonal come from the few rows of the upper triangle
     cells = F.array(
         F.struct("col_a", "col_b", "r"),

@@ -129,6 +129,30 @@ def average_ranks(df: DataFrame, value: str, by: list[str] | None = None, weight
     return ranked.select(*by, value, "n", (F.col("cum_n") - (F.col("n") - 1) / 2).alias("avg_rank"))
 
 
+def quantiles(df: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
+    """Exact interpolated quantiles per group: columns ``by``, ``n`` and the array ``q``.
+
+    Equal values are merged and ranked by running sums, so no task holds the
+    values of a group; a quantile reads the one or two rows around its place.
+    """
+    by = list(by or [])
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    ranked = cut_lineage(prefix_sum(counts, value, ["n"], by))
+    sizes = ranked.groupBy(*by).agg(F.max("cum_n").alias("_size"))
+    rows = join_small(ranked, sizes, by)
+
+    def at(index: Column) -> Column:
+        holds = (F.col("cum_n") > index) & (F.col("cum_n") - F.col("n") <= index)
+        return F.max(F.when(holds, F.col(value).cast("double")))
+
+    found = []
+    for share in shares:
+        place = F.lit(share) * (F.col("_size") - 1)
+        low = at(F.floor(place))
+        found.append((low + (at(F.ceil(place)) - low) * F.max(place - F.floor(place))))
+    return rows.groupBy(*by).agg(F.max("_size").alias("n"), F.array(*found).alias("q"))
+
+
 # --- ROC and precision/recall --------------------------------------------
 
 def score_counts(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
