@@ -9,6 +9,7 @@ from ..functions import vectors as V
 from ..models import anomaly, explain, training as M
 from ..operators import clustering as C, mutants as U, ngs as N, similarity as S, splits as P
 from ..operators.features import FeatureConfig, kmer_l2_vectors
+from ..operators.ordered import join_small
 from .catalog import query
 from .inputs import ANTIBODIES_SQL, CLONES_SQL, LABELLED_SQL, PREVIOUS_SQL, antibodies, clones, labelled, previous, r6
 
@@ -301,41 +302,55 @@ def position_stats(spark, sf):
 
 # --- models --------------------------------------------------------------------
 
+# Values of fitted models have no SQL; what has to hold for every row has.
+VALID_SQL = f"WITH {LABELLED_SQL} SELECT barcode, true AS valid FROM lab"
+
+
+def valid_probability(scored, name="prob"):
+    """One row per antibody: is there a probability?"""
+    return scored.select("barcode", F.coalesce(F.col(name).between(0, 1), F.lit(False)).alias("valid"))
+
+
 SMALL_FOREST = M.ModelConfig("random_forest", trees=10, depth=4)
 PROPERTIES = FeatureConfig(features=("length", "pi", "charge", "hydrophobicity", "R", "D", "W", "vh_charge", "vh_hydrophobicity"))
 
 
-@query("train_random_forest")
+@query("train_random_forest", VALID_SQL)
 def train_random_forest(spark, sf):
     df = labelled(spark, sf)
     model = M.DevelopabilityModel(PROPERTIES, SMALL_FOREST).fit(df, "quality")
-    return model.score(df, "prob").select("barcode", "prob")
+    return valid_probability(model.score(df, "prob"))
 
 
-@query("train_gradient_boosting")
+@query("train_gradient_boosting", VALID_SQL)
 def train_gradient_boosting(spark, sf):
     df = labelled(spark, sf).withColumn("held", F.col("fold") == 0)
     config = M.ModelConfig("gradient_boosting", trees=10, depth=3)
-    return M.DevelopabilityModel(PROPERTIES, config).fit(df, "quality", validation="held").score(df, "prob").select("barcode", "prob")
+    model = M.DevelopabilityModel(PROPERTIES, config).fit(df, "quality", validation="held")
+    return valid_probability(model.score(df, "prob"))
 
 
-@query("train_logistic_l1")
+@query("train_logistic_l1", VALID_SQL)
 def train_logistic_l1(spark, sf):
     df = labelled(spark, sf)
     config = M.ModelConfig("logistic_l1")
-    return M.DevelopabilityModel(FeatureConfig(kmer=True, biophysical=False, kmer_k=(1,)), config).fit(df, "quality").score(df, "prob").select("barcode", "prob")
+    model = M.DevelopabilityModel(FeatureConfig(kmer=True, biophysical=False, kmer_k=(1,)), config).fit(df, "quality")
+    return valid_probability(model.score(df, "prob"))
 
 
-@query("train_regression")
+@query("train_regression", VALID_SQL)
 def train_regression(spark, sf):
     df = labelled(spark, sf).withColumn("target", F.length("lseq") / 10.0)
-    return M.DevelopabilityModel(PROPERTIES, SMALL_FOREST).fit(df, "target").score(df, "value").select("barcode", "value")
+    scored = M.DevelopabilityModel(PROPERTIES, SMALL_FOREST).fit(df, "target").score(df, "value")
+    span = df.agg(F.min("target").alias("low"), F.max("target").alias("high"))  # means of targets stay within
+    return join_small(scored, span, []).select("barcode", F.col("value").between(F.col("low"), F.col("high")).alias("valid"))
 
 
-@query("cross_validate")
+@query("cross_validate", f"WITH {LABELLED_SQL} SELECT barcode, quality AS true, true AS valid FROM lab")
 def cross_validate(spark, sf):
     df = labelled(spark, sf).withColumn("cluster", F.col("doc_id"))
-    return M.cross_validate(df, "quality", PROPERTIES, SMALL_FOREST, k=3)["predictions"]
+    out = M.cross_validate(df, "quality", PROPERTIES, SMALL_FOREST)["predictions"]
+    return out.select("barcode", F.col("true").cast("int").alias("true"), (F.col("prob").between(0, 1) & F.col("fold").between(0, 9)).alias("valid"))
 
 
 @query("random_search")
@@ -345,19 +360,22 @@ def random_search(spark, sf):
     return spark.createDataFrame([(p["maxDepth"], p["numTrees"], float(s)) for p, s in results], "depth int, trees int, auc double")
 
 
-@query("sample_size_curve")
+@query("sample_size_curve", "SELECT unnest([200, 400]) AS sample_size, true AS valid")
 def sample_size_curve(spark, sf):
     df = labelled(spark, sf)
-    return M.sample_size_curve(df, "quality", [200, 400], PROPERTIES, SMALL_FOREST, group="doc_id")
+    out = M.sample_size_curve(df, "quality", [200, 400], PROPERTIES, SMALL_FOREST, group="doc_id")
+    whole = (F.col("train_size") + F.col("test_size") == F.col("sample_size")) & F.col("auc").between(0, 1)
+    return out.select("sample_size", whole.alias("valid"))
 
 
-@query("permutation_importance")
+@query("permutation_importance", """SELECT unnest(['cdr3_length', 'cdr3_pi', 'cdr3_charge', 'cdr3_hydrophobicity', 'cdr3_R', 'cdr3_D', 'cdr3_W', 'vh_charge', 'vh_hydrophobicity']) AS feature, true AS valid""")
 def permutation_importance(spark, sf):
     df = labelled(spark, sf)
     model = M.DevelopabilityModel(PROPERTIES, SMALL_FOREST).fit(df, "quality")
     vectors = model.builder.transform(df)
     names = model.builder.feature_names
-    return explain.permutation_importance(vectors, model.model, "quality", names, model.builder.interpretable)
+    out = explain.permutation_importance(vectors, model.model, "quality", names, model.builder.interpretable)
+    return out.select("feature", F.col("importance").between(-1, 1).alias("valid"))
 
 
 @query("linear_contributions")
@@ -389,21 +407,23 @@ def position_attribution(spark, sf):
     return explain.position_attribution(attributions(spark, sf), "pos", "value").withColumn("importance", r6("importance"))
 
 
-@query("isolation_forest")
+@query("isolation_forest", f"WITH {CLONES_SQL} SELECT barcode, true AS valid FROM clones")
 def isolation_forest(spark, sf):
     df = kmer_l2_vectors(enriched(spark, sf), "cdr3", "v")
-    return anomaly.one_class_score(df, "v", "barcode", "positive", "train", trees=20).select("barcode", "score")
+    scored = anomaly.one_class_score(df, "v", "barcode", "positive", "train")
+    return scored.select("barcode", (F.col("score").isNotNull() & ~F.isnan("score")).alias("valid"))
 
 
-@query("hit_expansion")
+@query("hit_expansion", f"WITH {CLONES_SQL} SELECT barcode, true AS valid FROM clones")
 def hit_expansion(spark, sf):
     from .jobs import expand_hits
 
     out = expand_hits(clones(spark, sf).drop("score"), previous(spark, sf), min_score=0.5, min_cpm=100)
-    return out.select("barcode", "score", "selected")
+    sound = F.col("score").between(0, 1) & (~F.col("selected") | (F.col("score") >= 0.5))  # what is selected scores high
+    return out.select("barcode", F.coalesce(sound, F.lit(False)).alias("valid"))
 
 
-@query("registered_model")
+@query("registered_model", f"WITH {LABELLED_SQL} SELECT barcode, true AS valid, 0.4::DOUBLE AS threshold FROM lab")
 def registered_model(spark, sf):
     from ..models.registry import Registry
     from ..session import shared_folder
@@ -414,4 +434,4 @@ def registered_model(spark, sf):
     registry.set_threshold(path, 0.4)
     row = registry.find("quality", "biophysical", "random_forest")
     stored = registry.load(row["path"], row["threshold"])
-    return stored.score(df, "prob").select("barcode", "prob", F.lit(stored.threshold).alias("threshold"))
+    return valid_probability(stored.score(df, "prob")).withColumn("threshold", F.lit(stored.threshold))

@@ -410,9 +410,10 @@ def average_chains(spark, sf):
     return mean.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
-@query("embed_batch")
+@query("embed_batch", f"""WITH {ANTIBODIES_SQL}, {EMBEDDINGS_SQL} SELECT barcode, 'demo' AS lm, 32 AS dim, true AS unit FROM ab WHERE barcode NOT IN (SELECT barcode FROM emb)""")
 def embed_batch(spark, sf):
     ab = antibodies(spark, sf)
     done = embeddings(spark, sf).select("barcode", F.lit("demo").alias("lm"))
     out = embed_sequences(ab, hashed_kmer_model(32), 32, "demo", existing=done)
-    return out.select("barcode", "lm", F.size("embedding").alias("dim"))
+    norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    return out.select("barcode", "lm", F.size("embedding").alias("dim"), (F.abs(norm - 1) < 1e-5).alias("unit"))

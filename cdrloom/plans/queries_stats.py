@@ -222,12 +222,20 @@ def score_assay_correlations(spark, sf):
     return rounded(out.select("score_col", "assay_col", "n", "spearman_rho", "pearson_r"), ["spearman_rho", "pearson_r"], 4)
 
 
-@query("correlations_over_files")
+@query("correlations_over_files", f"""WITH {ASSAYS_SQL},
+k AS (SELECT score, score * (1 - toxic) AS toxic_score, psr_norm_dna, psr_norm_avidin FROM assay WHERE score IS NOT NULL AND psr_norm_dna IS NOT NULL AND psr_norm_avidin IS NOT NULL),
+l AS (SELECT 'first.csv' AS file, 'rf_demo_ab_score' AS score_col, 'psr_norm_dna' AS assay_col, score AS x, psr_norm_dna AS y FROM k
+  UNION ALL SELECT 'first.csv', 'rf_demo_ab_score', 'psr_norm_avidin', score, psr_norm_avidin FROM k
+  UNION ALL SELECT 'second.csv', 'xgb_demo_score', 'psr_norm_dna', toxic_score, psr_norm_dna FROM k
+  UNION ALL SELECT 'second.csv', 'xgb_demo_score', 'psr_norm_avidin', toxic_score, psr_norm_avidin FROM k),
+r AS (SELECT *, rank() OVER (PARTITION BY score_col, assay_col ORDER BY x) + (count(*) OVER (PARTITION BY score_col, assay_col, x) - 1) / 2.0 AS rx,
+  rank() OVER (PARTITION BY score_col, assay_col ORDER BY y) + (count(*) OVER (PARTITION BY score_col, assay_col, y) - 1) / 2.0 AS ry FROM l)
+SELECT file, score_col, assay_col, count(*) AS n, round(corr(rx, ry), 4) AS spearman_rho, round(corr(x, y), 4) AS pearson_r FROM r GROUP BY 1, 2, 3""")
 def correlations_over_files(spark, sf):
     df = scored_assays(spark, sf).withColumnsRenamed({"score": "rf_demo_ab_score", "toxic_score": "xgb_demo_score"})
     first = df.drop("xgb_demo_score")
     out = R.correlations_over_files({"first.csv": first, "second.csv": df}, ["PSR_NORM_DNA", "psr_norm_avidin"])
-    return rounded(out, ["spearman_rho", "pearson_r"], 4)
+    return rounded(out.select("file", "score_col", "assay_col", "n", "spearman_rho", "pearson_r"), ["spearman_rho", "pearson_r"], 4)
 
 
 COMPLETE_SQL = f"k AS (SELECT * FROM assay WHERE psr_norm_insulin IS NOT NULL AND psr_norm_dna IS NOT NULL AND psr_norm_smp IS NOT NULL AND psr_norm_avidin IS NOT NULL)"
@@ -331,9 +339,19 @@ def scaling_linear(spark, sf):
     return rounded(out, ["intercept", "r_squared"]).withColumn("slope", F.round("slope", 12))
 
 
-@query("scaling_quadratic")
+@query("scaling_quadratic", f"""WITH {CURVE_SQL},
+l AS (SELECT m.metric, sample_size::DOUBLE AS x, CASE m.metric WHEN 'auc' THEN auc WHEN 'accuracy' THEN accuracy ELSE recall END AS y FROM curve, (SELECT unnest(['auc', 'accuracy', 'recall']) AS metric) m),
+st AS (SELECT metric, avg(x) AS m, stddev_pop(x) AS d FROM l GROUP BY 1),
+z AS (SELECT metric, m, d, (x - m) / d AS z, y FROM l JOIN st USING (metric)),
+f AS (SELECT metric, regr_slope(z * z, z) AS g, regr_intercept(z * z, z) AS h, regr_slope(y, z) AS p, regr_intercept(y, z) AS q FROM z GROUP BY 1),
+e AS (SELECT metric, m, d, g, h, p, q, y, z * z - h - g * z AS e, y - q - p * z AS w FROM z JOIN f USING (metric)),
+k AS (SELECT metric, m, d, g, h, p, q, count(*) AS n, sum(e * w) / sum(e * e) AS c2, sum(w * w) - sum(e * w) * sum(e * w) / sum(e * e) AS sse, var_pop(y) * count(*) AS sst FROM e GROUP BY ALL),
+c AS (SELECT *, c2 / (d * d) AS quad, (p - c2 * g) / d - 2 * m * c2 / (d * d) AS lin, (q - c2 * h) - (p - c2 * g) * m / d + c2 * m * m / (d * d) AS icpt FROM k)
+SELECT metric, n, round(icpt, 6) AS intercept, round(lin * 1e6, 4) AS slope_linear, round(quad * 1e12, 3) AS coeff_quadratic, round(1 - sse / sst, 6) AS r_squared FROM c""")
 def scaling_quadratic(spark, sf):
-    return S.scaling_quadratic(curve(spark, sf), "sample_size", ["auc", "accuracy", "recall"])
+    out = S.scaling_quadratic(curve(spark, sf), "sample_size", ["auc", "accuracy", "recall"])
+    return out.select("metric", "n", r6("intercept").alias("intercept"), F.round(F.col("slope_linear") * 1e6, 4).alias("slope_linear"),
+                      F.round(F.col("coeff_quadratic") * 1e12, 3).alias("coeff_quadratic"), r6("r_squared").alias("r_squared"))
 
 
 # --- thresholds ------------------------------------------------------------
