@@ -79,6 +79,12 @@ class Registry:
             raise ValueError(f"no stored model for {model}/{target}/{lm}")
         return row
 
+    def newest(self, target: str) -> list:
+        """Newest registry row of every stored model of a target; one row per (lm, model, db)."""
+        same = self._table().where(F.col("target") == target)
+        row = F.max_by(F.struct(*[F.col(f.name) for f in same.schema]), F.col("ts")).alias("r")
+        return same.groupBy("lm", "model", "db").agg(row).select("r.*").orderBy("lm", "model", "db").collect()
+
     def load(self, path: str, threshold: float | None = None) -> DevelopabilityModel:
         meta = json.loads(self.spark.read.text(f"{path}/meta").first()["value"])
         features = {k: tuple(v) if isinstance(v, list) else v for k, v in meta["features"].items()}

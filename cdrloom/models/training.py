@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from itertools import product
 
@@ -197,8 +197,13 @@ def random_search(df: DataFrame, target: str, features: FeatureConfig, config: M
     labelled = df.where(F.col(target).isNotNull()).withColumn("label", F.col(target).cast("double"))
     task = detect_task(labelled, "label").first()["task"]
     folded = group_stratified_folds(labelled, "label", group, key, folds, seed, task)
-    table = FeatureBuilder(features).fit(labelled).transform(folded).select("features", "label", "fold").persist()
-    base = estimator(config, task)
+    table = FeatureBuilder(features).fit(labelled).transform(folded).select("features", "label", "fold")
+    weight = None
+    if task == "classification" and config.balanced:  # rank the models that ``fit`` would build
+        table, weight = with_class_weight(table, "label"), "weight"
+    table = table.persist()
+    folds = table.agg(F.max("fold")).first()[0] + 1  # fewer clusters than folds leave fewer
+    base = estimator(config, task, weight, rows=table.count())
     grid = [dict(zip(space, values)) for values in product(*space.values())]
     chosen = random.Random(seed).sample(grid, min(draws, len(grid)))
     maps = [{base.getParam(name): value for name, value in point.items()} for point in chosen]
@@ -211,6 +216,23 @@ def random_search(df: DataFrame, target: str, features: FeatureConfig, config: M
     return max(results, key=lambda r: r[1])[0], results
 
 
+#: Names of Spark ML parameters that have a field of their own in the configuration.
+FIELDS = {"maxDepth": "depth", "numTrees": "trees", "maxIter": "trees", "stepSize": "learning_rate"}
+
+
+def with_parameters(config: ModelConfig, point: dict) -> ModelConfig:
+    """The configuration with the parameters of a search point."""
+    named = {FIELDS[k]: v for k, v in point.items() if k in FIELDS}
+    return replace(config, **named, extra={**config.extra, **{k: v for k, v in point.items() if k not in FIELDS}})
+
+
+def search_and_fit(df: DataFrame, target: str, features: FeatureConfig, config: ModelConfig, space: dict[str, list],
+                   draws: int = 30, **options) -> tuple[DevelopabilityModel, list[tuple[dict, float]]]:
+    """Model of the best parameter set, fitted on all labelled rows, and the results of the search."""
+    best, results = random_search(df, target, features, config, space, draws, **options)
+    return DevelopabilityModel(features, with_parameters(config, best)).fit(df, target), results
+
+
 def sample_size_curve(df: DataFrame, target: str, sizes: list[int], features: FeatureConfig, config: ModelConfig,
                       group: str, key: str = "barcode", seed: int = 42) -> DataFrame:
     """Metrics of models trained on nested balanced samples of growing size."""

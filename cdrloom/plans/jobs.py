@@ -6,13 +6,17 @@
 from __future__ import annotations
 
 import argparse
+import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cdrloom.constants import NULL_LIKE_SHEET
 from cdrloom.models.anomaly import one_class_score
+from cdrloom.models.explain import permutation_importance
 from cdrloom.models.registry import Registry
-from cdrloom.models.training import DevelopabilityModel, ModelConfig, cross_validate, scored, with_class_weight
+from cdrloom.models.training import (
+    DevelopabilityModel, ModelConfig, cross_validate, sample_size_curve, scored, search_and_fit, with_class_weight,
+)
 from cdrloom.models.training import estimator
 from cdrloom.operators import annotation, cleaning, clustering, correlation, features, joins, ngs, splits, statistics, thresholds
 from cdrloom.operators.mutants import scan, scan_matrix, scan_summary
@@ -54,6 +58,16 @@ def score_with(registry: Registry, df: DataFrame, target: str, lm: str, model: s
     return thresholds.apply_threshold(out, f"{stem}_score", f"{stem}_label", threshold, stored.threshold, stored.task)
 
 
+def score_with_all(registry: Registry, df: DataFrame, target: str) -> DataFrame:
+    """Scores and labels of every stored model of a target that fits the columns of ``df``."""
+    rows = [r for r in registry.newest(target) if r["lm"] in ("biophysical", "kmer", "onehot") or "embedding" in df.columns]
+    if not rows:
+        raise ValueError(f"no stored model for {target}")
+    for r in rows:
+        df = score_with(registry, df, target, r["lm"], r["model"], r["db"], path=r["path"])
+    return df
+
+
 def scan_antibodies(model: DevelopabilityModel, df: DataFrame) -> dict[str, DataFrame]:
     """Score every substitution; models on stored embeddings cannot score mutants."""
     if model.features.embedding:
@@ -83,7 +97,7 @@ def expand_hits(clones: DataFrame, previous: DataFrame, mode: str = "binary_stro
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="cdrloom")
-    parser.add_argument("verb", choices=["annotate", "split", "crossval", "train", "score", "scan", "evaluate", "correlate", "expand"])
+    parser.add_argument("verb", choices=["annotate", "split", "crossval", "train", "search", "score", "scan", "curve", "importance", "evaluate", "correlate", "expand"])
     parser.add_argument("--input", nargs="+", required=True)
     parser.add_argument("--output", required=True)
     parser.add_argument("--target", default="psr_filter")
@@ -91,8 +105,17 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--score-col")
     parser.add_argument("--assay", nargs="*", default=[])
     parser.add_argument("--previous", nargs="*", default=[])
-    parser.add_argument("--model", default="random_forest")
-    parser.add_argument("--lm", default="biophysical", choices=["biophysical", "kmer", "onehot"])
+    parser.add_argument("--model", default="random_forest", help="kind of model; score: 'all' takes every stored one")
+    parser.add_argument("--lm", default="biophysical", help="biophysical, kmer, onehot, or the tag of stored embeddings")
+    parser.add_argument("--embeddings", help="wide CSV (BARCODE, 0..d-1), or table of barcode and embedding")
+    parser.add_argument("--early-stopping", action="store_true")
+    parser.add_argument("--space", default="{}", help="search: JSON of parameter name to list of values")
+    parser.add_argument("--draws", type=int, default=30)
+    parser.add_argument("--sizes", type=int, nargs="*", default=[])
+    parser.add_argument("--first", type=int, help="scan only the first antibodies, by barcode")
+    parser.add_argument("--mode", default="binary_strong", choices=["binary_strong", "one_class"])
+    parser.add_argument("--blosum", action="store_true", help="expand: features over similar letters")
+    parser.add_argument("--metric", default="levenshtein", choices=["levenshtein", "blosum"])
     parser.add_argument("--db", default="db")
     parser.add_argument("--registry")
     parser.add_argument("--kfold", type=int, default=10)
@@ -102,8 +125,24 @@ def main(argv: list[str] | None = None) -> None:
     a = parser.parse_args(argv)
     spark = SparkSession.builder.appName(f"cdrloom-{a.verb}").getOrCreate()
     out = a.output.rstrip("/")
-    config = features.FeatureConfig(biophysical=a.lm == "biophysical", kmer=a.lm == "kmer", onehot=a.lm == "onehot")
-    read = lambda: prepare(tables.read_antibodies(spark, a.input[0]))
+    own = a.lm in ("biophysical", "kmer", "onehot")
+    config = features.FeatureConfig(biophysical=a.lm == "biophysical", kmer=a.lm == "kmer", onehot=a.lm == "onehot", embedding=not own)
+    model_config = ModelConfig(a.model, early_stopping=a.early_stopping)
+
+    def read() -> DataFrame:
+        """Prepared antibodies, with their embeddings if they are named."""
+        df = prepare(tables.read_antibodies(spark, a.input[0]))
+        if a.embeddings is None:
+            return df
+        wide = a.embeddings.endswith(".csv")
+        found = tables.read_embeddings(spark, a.embeddings, a.lm) if wide else tables.read_table(spark, a.embeddings)
+        return joins.align_embedding(df, found.select("barcode", "embedding"))
+
+    def clustered() -> DataFrame:
+        df = read().withColumn("_order", F.monotonically_increasing_id())
+        out = clustering.cluster_by(cut_lineage(df), a.cluster_column, "_order", a.cutoff)
+        return cut_lineage(out.withColumnRenamed(out.columns[-1], "cluster"))
+
     need = lambda: Registry(spark, a.registry or parser.error("--registry is required"))
     if a.verb == "annotate":
         df = read()
@@ -113,25 +152,39 @@ def main(argv: list[str] | None = None) -> None:
     elif a.verb == "split":
         tables.write_table(split(read(), a.target, a.cluster_column, a.cutoff), out, partition_by=["side"])
     elif a.verb == "crossval":
-        df = read().withColumn("_order", F.monotonically_increasing_id())
-        clustered = clustering.cluster_by(cut_lineage(df), a.cluster_column, "_order", a.cutoff)
-        clustered = cut_lineage(clustered.withColumnRenamed(clustered.columns[-1], "cluster"))
-        done = cross_validate(clustered, a.target, config, ModelConfig(a.model), k=a.kfold)
+        done = cross_validate(clustered(), a.target, config, model_config, k=a.kfold)
         tables.write_fold_predictions(done["predictions"], f"{out}/folds")
         preds = spark.read.parquet(f"{out}/folds")
         tables.write_table(done["metrics"], f"{out}/metrics")
         tables.write_table(thresholds.threshold_report(preds, "prob", "true"), f"{out}/thresholds")
         tables.write_table(thresholds.threshold_stability(preds), f"{out}/stability")
     elif a.verb == "train":
-        model = DevelopabilityModel(config, ModelConfig(a.model)).fit(read(), a.target)
+        model = DevelopabilityModel(config, model_config).fit(read(), a.target)
         model.threshold = a.threshold
         need().save(model, a.target, a.lm, a.db)
+    elif a.verb == "search":
+        model, results = search_and_fit(clustered(), a.target, config, model_config, json.loads(a.space), a.draws, group="cluster")
+        need().save(model, a.target, a.lm, a.db)
+        rows = [(json.dumps(point), float(score)) for point, score in results]
+        tables.write_table(spark.createDataFrame(rows, "parameters string, score double"), out)
+    elif a.verb == "curve":
+        tables.write_table(sample_size_curve(clustered(), a.target, a.sizes, config, model_config, "cluster"), out)
+    elif a.verb == "importance":
+        registry, df = need(), read()
+        row = registry.find(a.target, a.lm, a.model, a.db)
+        stored = registry.load(row["path"], row["threshold"])
+        vectors = stored.builder.transform(df.where(F.col(a.target).isNotNull()))
+        names, keep = stored.builder.feature_names, stored.builder.interpretable
+        tables.write_table(permutation_importance(vectors, stored.model, a.target, names, keep), out)
+    elif a.verb == "score" and a.model == "all":
+        tables.write_table(score_with_all(need(), read(), a.target), out)
     elif a.verb == "score":
         tables.write_table(score_with(need(), read(), a.target, a.lm, a.model, a.db, a.threshold), out)
     elif a.verb == "scan":
         registry = need()
         row = registry.find(a.target, a.lm, a.model, a.db)
-        for name, table in scan_antibodies(registry.load(row["path"], row["threshold"]), read()).items():
+        df = read() if a.first is None else read().orderBy("barcode").limit(a.first)
+        for name, table in scan_antibodies(registry.load(row["path"], row["threshold"]), df).items():
             tables.write_table(table, f"{out}/{name}")
     elif a.verb == "evaluate":
         df = tables.read_table(spark, a.input[0])
@@ -145,7 +198,7 @@ def main(argv: list[str] | None = None) -> None:
             tables.write_table(correlation.correlation_matrix(merged, assays), f"{out}/matrix")
     elif a.verb == "expand":
         previous = tables.load_previous(spark, a.previous)
-        leads = cut_lineage(expand_hits(tables.read_table(spark, a.input[0]), previous))
+        leads = cut_lineage(expand_hits(tables.read_table(spark, a.input[0]), previous, a.mode, a.blosum, metric=a.metric))
         tables.write_table(leads, f"{out}/scored")
         tables.write_table(leads.where("selected"), f"{out}/leads")
 
