@@ -35,7 +35,7 @@ CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 STORE_WORDS = 1_000_000
 #: Rank of a pair that no merge has.
 ABSENT = np.iinfo(np.int64).max
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def byte_letters() -> dict[str, int]:

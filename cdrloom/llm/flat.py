@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -161,17 +161,18 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[t
 
 
 
-def distinct_texts(df: DataFrame, text_column: str = "text") -> DataFrame:
-    """key (content digest) and text of each text, once per task: copies of one text leave a task once."""
+def with_keys(df: DataFrame, text_column: str = "text") -> DataFrame:
+    """key (content digest) and text of each row; a null text is empty."""
+    rows = df.select(F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text"))
+    return rows.select(text_key(F.col("text")).alias("key"), "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for batch in batches:
-            keep = []
-            for key in batch.column("key").to_pylist():
-                keep.append(key not in seen)
-                seen.add(key)
-            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    rows = df.select(F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text"))
-    return in_arrow(rows.select(text_key(F.col("text")).alias("key"), "text"), run, "key binary, text string")
+def unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose ``key`` the task has not met before, so copies of one text leave a task once."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        keep = []
+        for key in batch.column("key").to_pylist():
+            keep.append(key not in seen)
+            seen.add(key)
+        yield batch if all(keep) else batch.filter(pa.array(keep, pa.bool_()))

@@ -37,7 +37,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
 from .components import connected, roots
-from .flat import distinct_texts, flat_bytes, in_arrow, mix, prefix_hash, ragged, runs, shuffle_tasks, span_hash, text_key, text_slices, word_spans
+from .flat import (
+    flat_bytes, in_arrow, mix, prefix_hash, ragged, runs, shuffle_tasks, span_hash, text_key, text_slices, unseen, with_keys,
+    word_spans,
+)
 
 
 @dataclass(frozen=True)
@@ -51,7 +54,7 @@ class JoinConfig:
     step: int = 8  # MinHash values compared between two prunings
     tolerance: float = 1e-9
     block: int = 512  # classes of a block
-    block_grams: int = 2_000_000  # n-grams of a block
+    block_grams: int = 1_000_000  # n-grams of a block
     seed: int = 5
 
 
@@ -165,7 +168,7 @@ def _sketches(docs: DataFrame, config: JoinConfig) -> DataFrame:
     """text key, class key, size, MinHash values and band keys of each text, once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in unseen(batches):
             for part in text_slices(batch, "text"):
                 grams, offsets = shingles(part.column("text"), config.words)
                 full = np.flatnonzero(np.diff(offsets))
@@ -182,7 +185,7 @@ def _sketches(docs: DataFrame, config: JoinConfig) -> DataFrame:
                     pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * bands.shape[1]), pa.array(bands.ravel().view(np.int64))),
                 ], ["key", "c", "n", "values", "bands"])
 
-    return in_arrow(distinct_texts(docs), run, "key binary, c binary, n long, values binary, bands array<bigint>")
+    return in_arrow(with_keys(docs), run, "key binary, c binary, n long, values binary, bands array<bigint>")
 
 
 def _in_blocks(rows: DataFrame, group: str, parts: str) -> DataFrame:
@@ -245,7 +248,8 @@ def _verified(docs: DataFrame, sketches: DataFrame, classes: DataFrame, groups:
     totals = picked.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("grams"))
     parts = F.greatest(F.ceil(F.col("size") / config.block), F.ceil(F.col("grams") / config.block_grams))
     picked = picked.join(totals, "root").select("key", "c", "root", "members", parts.alias("parts"))
-    texts = distinct_texts(docs).join(picked, "key")
+    once = in_arrow(with_keys(docs), unseen, "key binary, text string")
+    texts = once.join(picked, "key")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,16 +281,18 @@ def _verified(docs: DataFrame, sketches: DataFrame, classes: DataFrame, groups:
 
 
 def similar_documents(documents: DataFrame, config: JoinConfig = JoinConfig(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: id, class_id, n_links, copy_id, text_key.
+    """One row per document: id, class_id, n_links, copy_id, text_key, group_key.
 
     ``class_id`` is the least id of the group of documents that links connect,
     ``n_links`` the number of other documents at or above the threshold,
-    ``copy_id`` the least id among documents with the same n-gram set.
+    ``copy_id`` the least id among documents with the same n-gram set. The keys
+    are digests of the text and of a text of the group, also where ids are null.
     """
     docs = documents.select(F.col(f"`{id_column}`").alias("id"), F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text"))
     sketches = cut_lineage(_sketches(docs, config))
     keys = docs.select("id", text_key(F.col("text")).alias("key"))
-    class_of_text = sketches.select("key", "c", "n").dropDuplicates(["key"])
+    # written on its own, so that the join below can split the partition of a text with many copies
+    class_of_text = cut_lineage(sketches.select("key", "c", "n").dropDuplicates(["key"]))
     rows = cut_lineage(keys.join(class_of_text.select("key", "c"), "key", "left"))
     text_of_class = class_of_text.groupBy("c", "n").agg(F.min("key").alias("key"))
     classes = rows.where("c is not null").groupBy("c").agg(F.count("*").alias("members"), F.min("id").alias("least"))
@@ -297,12 +303,12 @@ def similar_documents(documents: DataFrame, config: JoinConfig = JoinConfig(), i
     group = connected(found.select("a", "b"))
     of_class = classes.join(links, "c", "left").join(group.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = of_class.groupBy("root").agg(F.min("least").alias("class_id"))
-    of_class = of_class.join(least, "root").select("c", "class_id", F.col("least").alias("copy_id"), (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    of_class = of_class.join(least, "root").select("c", "root", "class_id", F.col("least").alias("copy_id"), (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = rows.join(of_class, "c", "left")
     return out.select(
         F.col("id").alias(id_column), F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
-        F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("copy_id")).alias("copy_id"), F.col("key").alias("text_key"),
+        F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("copy_id")).alias("copy_id"), F.col("key").alias("text_key"), F.coalesce("root", "key").alias("group_key"),
     )
 
 
@@ -314,8 +320,7 @@ def keep_one(documents: DataFrame, config: JoinConfig = JoinConfig(), id_column:
     """
     found = similar_documents(documents, config, id_column, text_column)
     mine = F.col(id_column).eqNullSafe(F.col("class_id"))
-    winners = found.where(mine).groupBy(F.col(id_column).alias("__id"), F.col("class_id").alias("__class")).agg(F.min("text_key").alias("__key"))
-    winners = winners.drop("__class")
+    winners = found.where(mine).groupBy("group_key", F.col("class_id").alias("__winner")).agg(F.min("text_key").alias("__key")).drop("group_key")
     rows = documents.withColumn("__key", text_key(F.col(f"`{text_column}`").cast("string"))).withColumn("__id", F.col(f"`{id_column}`"))
-    joined = rows.join(winners.withColumnRenamed("__id", "__winner"), "__key").where(F.col("__id").eqNullSafe(F.col("__winner")))
+    joined = rows.join(winners, "__key").where(F.col("__id").eqNullSafe(F.col("__winner")))
     return joined.dropDuplicates(["__key", "__winner"]).select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -24,7 +24,8 @@ bytes. Two of n candidate prefixes are confused with a probability of n**2 / 2**
 Rows of a shuffle are columns of many names (one row per task and name range),
 so a range costs what it holds. A text that occurs often is sampled once per
 task, and a prefix that repeats within a task is sent once, so copies and common
-passages do not pile up. Texts are placed next to texts that share a sample.
+passages do not pile up. Texts are sent compressed, and placed and sorted by the
+least hash of their strings of 32 bytes, so near copies meet in one task.
 
 Defined cases: a null text is empty; texts shorter than ``length`` are never
 touched; a text with an exact copy is removed whole if it is long enough;
@@ -40,21 +41,28 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import shared_folder
+from ..session import cut_lineage, shared_folder
 from .flat import (
-    distinct_texts, flat_bytes, in_arrow, join_planes, mix, prefix_hash, ragged, shuffle_tasks, span_hash, split_planes,
-    text_key, text_slices,
+    flat_bytes, in_arrow, join_planes, mix, prefix_hash, ragged, shuffle_tasks, span_hash, split_planes,
+    text_key, text_slices, unseen, with_keys,
 )
 
 # A perfect difference cover (every residue is a difference of two members in exactly one way).
 PERIOD = 183
 COVER = (0, 1, 3, 16, 23, 28, 42, 76, 82, 86, 119, 137, 154, 175)
-#: Text bytes a task gathers before it deals out names.
-GATHER = 16 << 20
-#: Bits of a sampled name besides its range; false neighbours only cost work.
+#: Names a task gathers before it deals them out.
+GATHER = 600_000
+#: Text bytes that are hashed at a time.
+SLICE = 1 << 19
+#: Bytes of a sampled name besides its range; false neighbours only cost work.
 SAMPLE_BYTES = 5
+#: Bytes of a text's key that stand for it among sampled names.
+TAG = 8
+#: Bytes whose least hash places a text next to near copies of it.
+SHARED = 32
 
 
 @dataclass(frozen=True)
@@ -93,18 +101,18 @@ def triple_names(prefix: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
 class Dealer:
     """Gathers (name, text, position) of a task and deals them out by name range."""
 
-    SCHEMA = "range int, texts binary, text binary, place binary, names binary, known binary, note binary"
+    SCHEMA = "range int, texts binary, counts binary, steps binary, names binary, known binary, note binary"
 
-    def __init__(self, ranges: int, width: int):
-        self.ranges, self.width = ranges, width
+    def __init__(self, ranges: int, width: int, tag: int):
+        self.ranges, self.width, self.tag = ranges, width, tag
         self.keys: list[bytes] = []
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.bytes = 0
+        self.held = 0
 
-    def add(self, keys: list[bytes], names: np.ndarray, row: np.ndarray, place: np.ndarray, size: int) -> None:
+    def add(self, keys: list[bytes], names: np.ndarray, row: np.ndarray, place: np.ndarray) -> None:
         self.parts.append((names, row.astype(np.uint32) + np.uint32(len(self.keys)), place.astype(np.uint32)))
-        self.keys += keys
-        self.bytes += size
+        self.keys += [key[:self.tag] for key in keys]
+        self.held += len(names)
 
     def deal(self, share: bool) -> Iterator[pa.RecordBatch]:
         """One row per range. ``share``: names that repeat here go out once, their places as a note per text."""
@@ -131,19 +139,37 @@ class Dealer:
             if a == b and c == d:
                 continue
             used, own = np.unique(text[a:b], return_inverse=True)
-            rows.append((r, b"".join(self.keys[t] for t in used), split_planes(own.astype(np.uint32)), split_planes(place[a:b]), self._pack(names[a:b]), self._pack(known[c:d]), None))
+            rows.append((r, b"".join(self.keys[t] for t in used), *pack_places(own, place[a:b]), self._pack(names[a:b]), self._pack(known[c:d]), None))
         rows += [(int.from_bytes(key[:4], "little") % self.ranges, None, None, None, None, None, key + _runs(p).tobytes()) for key, p in notes]
         kinds = [pa.int32(), *[pa.binary()] * 6]
         names_of = [c.split()[0] for c in self.SCHEMA.split(", ")]
         for at in range(0, len(rows), 512):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at:at + 512]), kinds)], names_of)
-        self.keys, self.parts, self.bytes = [], [], 0
+        self.keys, self.parts, self.held = [], [], 0
 
     def _pack(self, names: np.ndarray) -> bytes:
         rest = names // np.uint64(self.ranges) if self.width < 8 else names
         return rest.view(np.uint8).reshape(-1, 8)[:, :self.width].T.tobytes()
 
 
+def pack_places(text: np.ndarray, place: np.ndarray) -> tuple[bytes, bytes]:
+    """Places of ascending texts: names per text, and steps within a text, both compressed."""
+    counts = np.bincount(text, minlength=int(text[-1]) + 1 if len(text) else 0).astype(np.uint32)
+    step = np.diff(place, prepend=np.uint32(0)).astype(np.uint32)
+    first = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64) if len(counts) else np.zeros(0, np.int64)
+    step[first] = place[first]
+    return zstandard.compress(split_planes(counts), 1), zstandard.compress(split_planes(step), 1)
+
+
+def unpack_places(counts: bytes, steps: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Texts and places that ``pack_places`` packed."""
+    count = join_planes(zstandard.decompress(counts), np.uint32).astype(np.int64)
+    total = np.cumsum(join_planes(zstandard.decompress(steps), np.uint32).astype(np.int64))
+    first = np.cumsum(count) - count
+    before = np.where(first > 0, total[np.maximum(first - 1, 0)], 0) if len(total) else first
+    return np.repeat(np.arange(len(count)), count), (total - np.repeat(before, count)).astype(np.uint32)
+
+
 def _unpack(raw: bytes, width: int) -> np.ndarray:
     out = np.zeros((len(raw) // width, 8), np.uint8)
     out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
@@ -167,77 +193,142 @@ def _runs(place: np.ndarray) -> np.ndarray:
     return np.stack([place[begin], place[end]], 1).astype(np.int32)
 
 
-def _repeated(width: int):
-    """Places of the names of a range that more than one place has: key, runs, low (least such name)."""
+def _repeated(ranges: int, width: int, tag: int):
+    """Runs of the places whose name another place of the range has, dealt out by text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: dict[bytes, int] = {}
-        ranges, names, texts, places, known, known_ranges = [], [], [], [], [], []
+        seen, names, texts, places, known = set(), [], [], [], []
+        note_text, note_runs = [], []
         for batch in batches:
-            notes = []
             for row in zip(*(batch.column(k).to_pylist() for k in range(7))):
                 if row[6] is not None:
-                    notes.append((row[6][:16], row[6][16:], 0))
+                    pairs = np.frombuffer(row[6][tag:], np.int32).reshape(-1, 2)
+                    note_text.append(np.full(len(pairs), keys.setdefault(row[6][:tag], len(keys)), np.int32))
+                    note_runs.append(pairs)
                     continue
-                own = np.array([keys.setdefault(row[1][k:k + 16], len(keys)) for k in range(0, len(row[1]), 16)], np.int64)
+                own = np.array([keys.setdefault(row[1][k:k + tag], len(keys)) for k in range(0, len(row[1]), tag)], np.int32)
                 found = _unpack(row[4], width)
                 names.append(found)
-                ranges.append(np.full(len(found), row[0], np.uint32))
-                texts.append(own[join_planes(row[2], np.uint32)] if len(found) else np.zeros(0, np.int64))
-                places.append(join_planes(row[3], np.uint32))
-                more = _unpack(row[5], width)
-                known.append(more)
-                known_ranges.append(np.full(len(more), row[0], np.uint32))
-            if notes:
-                yield _spots(notes)
-        if not names:
+                seen.add(row[0])
+                text, place = unpack_places(row[2], row[3])
+                texts.append(own[text])
+                places.append(place)
+                known.append(_unpack(row[5], width))
+        if width < 8 and len(seen) > 1:
+            raise ValueError("names are only comparable within one range")
+        if not keys:
             return
-        n_own = sum(map(len, names))
-        name = np.concatenate([*names, *known])
-        spread = np.concatenate([*ranges, *known_ranges]) if width < 8 else None
-        text = np.concatenate([*texts, np.full(len(name) - n_own, -1, np.int64)])
-        place = np.concatenate([*places, np.zeros(len(name) - n_own, np.uint32)]).astype(np.int64)
-        del names, texts, places, known
-        order = np.argsort(name, kind="stable") if spread is None else np.lexsort((name, spread))
-        name, text, place = name[order], text[order], place[order]
-        fresh = np.ones(len(name), bool)
-        fresh[1:] = name[1:] != name[:-1]
-        if spread is not None:
-            spread = spread[order]
-            fresh[1:] |= spread[1:] != spread[:-1]
-        begin = np.flatnonzero(fresh)
-        size = np.diff(np.append(begin, len(name)))
-        # a name counts if it is known to repeat, or if it stands at two places
-        first = np.repeat(begin, size)
-        other = (text != text[first]) | (place != place[first])
-        repeated = np.repeat(np.add.reduceat((other | (text < 0)).astype(np.int64), begin) > 0, size) & (text >= 0)
-        name, text, place = name[repeated], text[repeated], place[repeated]
-        label = list(keys)
+        text, place = _matching(names, texts, places, known)
         order = np.lexsort((place, text))
-        name, text, place = name[order], text[order], place[order]
-        cuts = np.flatnonzero(np.diff(text, prepend=-1))
-        low = np.minimum.reduceat(mix(name), cuts).view(np.int64).tolist() if len(cuts) else []
-        out = []
-        for k, (a, b) in enumerate(zip(cuts.tolist(), np.append(cuts[1:], len(text)).tolist())):
-            out.append((label[text[a]], _runs(place[a:b]).tobytes(), low[k]))
-            if len(out) == 4096:
-                yield _spots(out)
-                out = []
-        if out:
-            yield _spots(out)
+        text, place = text[order], place[order].astype(np.int64)
+        fresh = np.ones(len(text), bool)
+        fresh[1:] = (text[1:] != text[:-1]) | (place[1:] != place[:-1] + 1)
+        begin = np.flatnonzero(fresh)
+        pairs = np.stack([place[begin], place[np.append(begin[1:], len(place)) - 1]], 1).astype(np.int32) if len(begin) else np.zeros((0, 2), np.int32)
+        yield from _by_slot(list(keys), np.concatenate([text[begin], *note_text]), np.concatenate([pairs, *note_runs]), ranges)
 
     return run
 
 
-def _spots(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.binary(), pa.binary(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["key", "runs", "low"])
+def _matching(names: list, texts: list, places: list, known: list) -> tuple[np.ndarray, np.ndarray]:
+    """Sort names and compare neighbours: text and place of those that are known to repeat or stand at two places."""
+    if not names:
+        return np.zeros(0, np.int32), np.zeros(0, np.uint32)
+    name = np.concatenate([*names, *known])
+    more = len(name) - sum(map(len, names))
+    text = np.concatenate([*texts, np.full(more, -1, np.int32)])
+    place = np.concatenate([*places, np.zeros(more, np.uint32)])
+    order = np.argsort(name, kind="stable")
+    name, text, place = name[order], text[order], place[order]
+    del order
+    begin = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(name)))
+    first = np.repeat(begin, size)
+    other = (text != text[first]) | (place != place[first]) | (text < 0)
+    hit = np.repeat(np.add.reduceat(other.astype(np.int64), begin) > 0, size) & (text >= 0) if len(begin) else np.zeros(0, bool)
+    return text[hit], place[hit]
+
+
+SLOTS = "slot int, keys binary, counts binary, runs binary"
+
+
+def _by_slot(keys: list[bytes], text: np.ndarray, pairs: np.ndarray, slots: int) -> Iterator[pa.RecordBatch]:
+    """One row per slot of texts: their keys, runs per text, and the runs."""
+    slot_of = np.array([int.from_bytes(k[:4], "little") % slots for k in keys], np.int64)
+    order = np.lexsort((text, slot_of[text]))
+    text, pairs = text[order], pairs[order]
+    cuts = np.searchsorted(slot_of[text], np.arange(slots + 1))
+    rows = []
+    for slot in np.flatnonzero(np.diff(cuts)).tolist():
+        own, counts = np.unique(text[cuts[slot]:cuts[slot + 1]], return_counts=True)
+        rows.append((slot, b"".join(keys[t] for t in own), counts.astype(np.uint32).tobytes(), pairs[cuts[slot]:cuts[slot + 1]].tobytes()))
+    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    for at in range(0, len(rows), 256):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at:at + 256]), kinds)], ["slot", "keys", "counts", "runs"])
+
+
+def _gathered(tag: int):
+    """All runs of each text of a slot."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: dict[bytes, int] = {}
+        texts, pairs = [], []
+        for batch in batches:
+            for own, counts, found in zip(*(batch.column(k).to_pylist() for k in ("keys", "counts", "runs"))):
+                index = np.array([keys.setdefault(own[k:k + tag], len(keys)) for k in range(0, len(own), tag)], np.int32)
+                texts.append(np.repeat(index, np.frombuffer(counts, np.uint32)))
+                pairs.append(np.frombuffer(found, np.int32).reshape(-1, 2))
+        if not keys:
+            return
+        text, pair = np.concatenate(texts), np.concatenate(pairs)
+        order = np.argsort(text, kind="stable")
+        pair, cuts = pair[order], np.searchsorted(text[order], np.arange(len(keys) + 1))
+        label = list(keys)
+        for at in range(0, len(label), 4096):
+            stop = min(len(label), at + 4096)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(label[at:stop], pa.binary()), pa.array([[pair[cuts[k]:cuts[k + 1]].tobytes()] for k in range(at, stop)], pa.list_(pa.binary())),
+            ], ["key", "runs"])
+
+    return run
 
-def _compare(dealt: DataFrame, ranges: int, width: int) -> DataFrame:
-    """Sort each range of names and compare neighbours; per text: key, runs (of places), low."""
-    found = in_arrow(dealt.repartitionById(ranges, F.col("range")), _repeated(width), "key binary, runs binary, low bigint")
-    return found.groupBy("key").agg(F.collect_list("runs").alias("runs"), F.min("low").alias("low"))
+
+def _compare(dealt: DataFrame, ranges: int, width: int, tag: int) -> DataFrame:
+    """Sort each range of names and compare neighbours; per text: key, runs (of places)."""
+    found = in_arrow(dealt.repartitionById(ranges, F.col("range")), _repeated(ranges, width, tag), SLOTS)
+    return in_arrow(found.repartitionById(ranges, F.col("slot")), _gathered(tag), "key binary, runs array<binary>")
+
+
+def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, tag, packed (compressed text) and low (least hash of its strings of SHARED bytes), once per task."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in unseen(batches):
+        for part in text_slices(batch, "text", SLICE):
+            data, offsets = flat_bytes(part.column("text"))
+            prefix, at = prefix_hash(data), np.arange(max(0, len(data) - SHARED + 1))
+            hashes, raw = span_hash(prefix, at, at + SHARED), data.tobytes()
+            lows = [int(hashes[a:max(a + 1, b - SHARED + 1)].min()) if a < len(hashes) else 0 for a, b in zip(offsets[:-1], offsets[1:])]
+            keys = part.column("key").to_pylist()
+            yield pa.RecordBatch.from_arrays([
+                part.column("key"), pa.array([k[:TAG] for k in keys], pa.binary()),
+                pa.array([pack(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.binary()),
+                pa.array(np.array(lows, np.uint64).view(np.int64)),
+            ], ["key", "tag", "packed", "low"])
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Row ranges of about SLICE bytes of text, with their texts."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    begin, held, texts = 0, 0, []
+    for k, blob in enumerate(batch.column("packed").to_pylist()):
+        texts.append(unpack(blob) if blob else b"")
+        held += len(texts[-1])
+        if held >= SLICE:
+            yield batch.slice(begin, k + 1 - begin), texts
+            begin, held, texts = k + 1, 0, []
+    if texts:
+        yield batch.slice(begin), texts
 
 
 def _places(runs: list[bytes]) -> np.ndarray:
@@ -257,23 +348,24 @@ def candidate_starts(places: np.ndarray, last: int) -> np.ndarray:
 
 
 def shared_texts(texts: DataFrame, config: DedupConfig) -> DataFrame:
-    """key, text and surviving sampled places (runs) of the texts that share a sampled triple with another place."""
+    """key, packed text and surviving sampled places (runs) of the texts that share a sampled triple with another place."""
     ranges, width = shuffle_tasks(texts), config.triple()
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealer = Dealer(ranges, SAMPLE_BYTES)
-        for batch in batches:
-            for part in text_slices(batch, "text"):
+        dealer = Dealer(ranges, SAMPLE_BYTES, TAG)
+        for batch in unseen(batches):
+            for part in text_slices(batch, "text", SLICE):
                 data, offsets = flat_bytes(part.column("text"))
                 row, place = sampled(np.diff(offsets), max(config.length - PERIOD + 1, 3 * width))
                 names = triple_names(prefix_hash(data), offsets[row] + place, width)
-                dealer.add(part.column("key").to_pylist(), names, row, place, len(data))
-                if dealer.bytes >= GATHER:
+                dealer.add(part.column("key").to_pylist(), names, row, place)
+                if dealer.held >= GATHER:
                     yield from dealer.deal(share=False)
         yield from dealer.deal(share=False)
 
-    spots = _compare(in_arrow(texts, sample, Dealer.SCHEMA), ranges, SAMPLE_BYTES)
-    return texts.join(spots, "key").hint("rebalance", "low").select("key", "text", "runs")
+    spots = _compare(in_arrow(texts, sample, Dealer.SCHEMA), ranges, SAMPLE_BYTES, TAG).withColumnRenamed("key", "tag")
+    once = in_arrow(texts, _pack_texts, "key binary, tag binary, packed binary, low bigint")
+    return once.join(spots, "tag").hint("rebalance", "low").sortWithinPartitions("low", "key").select("key", "packed", "runs")
 
 
 def repeated_starts(shared: DataFrame, config: DedupConfig) -> DataFrame:
@@ -281,10 +373,10 @@ def repeated_starts(shared: DataFrame, config: DedupConfig) -> DataFrame:
     ranges = shuffle_tasks(shared)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealer, seen = Dealer(ranges, 8), set()
+        dealer, seen = Dealer(ranges, 8, 16), set()
         for batch in batches:
-            for part in text_slices(batch, "text"):
-                data, offsets = flat_bytes(part.column("text"))
+            for part, texts in _unpacked(batch):
+                data, offsets = flat_bytes(pa.array(texts, pa.binary()))
                 prefix = prefix_hash(data)
                 keys = part.column("key").to_pylist()
                 row, place = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -296,12 +388,12 @@ def repeated_starts(shared: DataFrame, config: DedupConfig) -> DataFrame:
                         row.append(np.full(len(place[-1]), k))
                 row, place = np.concatenate(row), np.concatenate(place)
                 at = offsets[row] + place
-                dealer.add(keys, span_hash(prefix, at, at + config.length), row, place, len(data))
-                if dealer.bytes >= GATHER:
+                dealer.add(keys, span_hash(prefix, at, at + config.length), row, place)
+                if dealer.held >= GATHER:
                     yield from dealer.deal(share=True)
         yield from dealer.deal(share=True)
 
-    return _compare(in_arrow(shared, windows, Dealer.SCHEMA), ranges, 8)
+    return _compare(in_arrow(shared, windows, Dealer.SCHEMA), ranges, 8, 16)
 
 
 def covered(runs: list[bytes], length: int) -> np.ndarray:
@@ -345,22 +437,23 @@ def removals(documents: DataFrame, config: DedupConfig = DedupConfig(), id_colum
         F.col(f"`{id_column}`").alias("id"), text_key(text).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("digest")
     )
     folder = shared_folder(documents.sparkSession, "shared-texts")
-    texts = distinct_texts(documents, text_column).where(F.octet_length("text") >= config.length)
+    texts = with_keys(documents, text_column).where(F.octet_length("text") >= config.length)
     shared_texts(texts, config).write.parquet(folder)
     shared = documents.sparkSession.read.parquet(folder)
     starts = repeated_starts(shared, config).select("key", F.col("runs").alias("starts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part, texts in (x for batch in batches for x in _unpacked(batch)):
             out = []
-            for key, data, runs in zip(batch.column("key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("starts").to_pylist()):
+            for key, data, runs in zip(part.column("key").to_pylist(), texts, part.column("starts").to_pylist()):
                 spans = covered(runs, config.length)
                 out.append((key, int((spans[:, 1] - spans[:, 0]).sum()), len(spans), hashlib.sha256(without(data, spans)).hexdigest()))
             kinds = (pa.binary(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, kinds)], ["key", "removed", "spans", "kept"])
 
-    changed = in_arrow(shared.select("key", "text").join(starts, "key"), cut, "key binary, removed long, spans long, kept string").dropDuplicates(["key"])
-    out = keys.join(changed, "key", "left").join(copies(keys, config), "key", "left")
+    changed = in_arrow(shared.select("key", "packed").join(starts, "key"), cut, "key binary, removed long, spans long, kept string").dropDuplicates(["key"])
+    # written on their own, so that the joins can split the partition of a text with many copies
+    out = keys.join(cut_lineage(changed), "key", "left").join(cut_lineage(copies(keys, config)), "key", "left")
     whole, nothing = F.col("copied").isNotNull(), hashlib.sha256(b"").hexdigest()
     return out.select(
         F.col("id").alias(id_column), "n_bytes",
@@ -376,15 +469,16 @@ def remove_repeats(documents: DataFrame, config: DedupConfig = DedupConfig(), te
     Cuts are made between code points; ``size_column`` gets the new number of
     code points. A document of which nothing is left keeps its row.
     """
-    texts = distinct_texts(documents, text_column).where(F.octet_length("text") >= config.length)
+    texts = with_keys(documents, text_column).where(F.octet_length("text") >= config.length)
     folder = shared_folder(documents.sparkSession, "shared-texts")
     shared_texts(texts, config).write.parquet(folder)
     starts = repeated_starts(documents.sparkSession.read.parquet(folder), config).select(F.col("key").alias("__key"), F.col("runs").alias("__starts"))
     rows = documents.withColumn("__key", text_key(F.col(f"`{text_column}`").cast("string")))
-    keys = rows.select(F.col("__key").alias("key"), F.octet_length(f"`{text_column}`").alias("n_bytes"))
-    rows = rows.join(starts, "__key", "left").join(copies(keys, config).withColumnsRenamed({"key": "__key", "copied": "__copied"}), "__key", "left")
+    keys = rows.select(F.col("__key").alias("key"), F.octet_length(F.col(f"`{text_column}`")).alias("n_bytes"))
+    rows = rows.join(starts, "__key", "left").join(cut_lineage(copies(keys, config)).withColumnsRenamed({"key": "__key", "copied": "__copied"}), "__key", "left")
     rows = rows.select(*[F.col(f"`{c}`") for c in documents.columns], "__starts", "__copied")
-    place = documents.columns.index(text_column)
+    names = documents.columns
+    place = names.index(text_column)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -397,9 +491,9 @@ def remove_repeats(documents: DataFrame, config: DedupConfig = DedupConfig(), te
                     elif runs and data:
                         data = without(data, whole_points(np.frombuffer(data, np.uint8), covered(runs, config.length)))
                     out.append(data)
-                columns = [part.column(k) for k in range(len(documents.columns))]
+                columns = [part.column(k) for k in range(len(names))]
                 columns[place] = pa.array(out, pa.binary()).cast(columns[place].type)
-                yield pa.RecordBatch.from_arrays(columns, documents.columns)
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     out = in_arrow(rows, cut, documents.schema)
     if size_column is not None:

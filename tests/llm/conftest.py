@@ -34,5 +34,6 @@ def corpus():
         rows.append((k, " ".join(changed)))
     rows += [(k, prose(60) + " " + passage + "\n" + prose(40)) for k in range(20, 32)]
     rows += [(32, "ab" * 900), (33, "x" * 1500), (34, prose(5000)), (35, passage), (36, "é" * 400 + prose(3)), (37, "ê" + "é" * 350)]
-    rows += [(38, prose(120)), (38, prose(120)), (39, rows[38][1]), (39, rows[38][1]), (None, prose(100)), (None, base), (40, passage + " " + passage)]
+    twice = prose(120)
+    rows += [(38, prose(120)), (38, prose(120)), (39, twice), (39, twice), (None, prose(100)), (None, base), (40, passage + " " + passage)]
     return rows

@@ -45,6 +45,12 @@ def test_keep_one_leaves_one_of_each_group(make_docs, corpus):
     assert ids[0] == 1 and ids[39] == 1
 
 
+def test_documents_without_id_keep_their_groups(make_docs):
+    rows = [(None, " ".join(f"w{k}x{j}" for j in range(30))) for k in (1, 2, 2, 3)] + [(None, None), (7, ""), (8, None)]
+    kept = J.keep_one(make_docs(rows)).collect()
+    assert Counter((r.doc_id, (r.text or "")[:2]) for r in kept) == Counter({(None, "w1"): 1, (None, "w2"): 1, (None, "w3"): 1, (None, ""): 1, (7, ""): 1, (8, ""): 1})
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     rng = np.random.default_rng(3)
     config = J.JoinConfig()
