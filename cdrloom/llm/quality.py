@@ -116,13 +116,13 @@ def fit_model(texts: list[str], labels: np.ndarray, config: QualityConfig) -> Qu
     return QualityModel(w * scale, float(b), slope, shift)
 
 
-def platt(z: np.ndarray, y: np.ndarray, balanced: bool = True) -> tuple[float, float]:
-    """Slope and shift of calibrated probabilities, with smoothed targets; ``balanced`` gives both classes equal weight."""
+def platt(z: np.ndarray, y: np.ndarray, prior: float = 0.5) -> tuple[float, float]:
+    """Slope and shift of calibrated probabilities, with smoothed targets; ``prior`` is the share of class 1 they are meant for."""
     if not len(y) or y.min() == y.max():
         return 1.0, 0.0
     good, bad = y.sum(), len(y) - y.sum()
     target = np.where(y == 1, (good + 1) / (good + 2), 1 / (bad + 2))
-    weight = np.where(y == 1, 0.5 / good, 0.5 / bad) if balanced else np.full(len(y), 1 / len(y))
+    weight = np.where(y == 1, prior / good, (1 - prior) / bad)
     a, c = 1.0, 0.0
     for _ in range(50):  # Newton steps on two parameters
         p = sigmoid(a * z + c)

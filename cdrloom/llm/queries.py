@@ -47,7 +47,32 @@ def op4_html_text(spark: SparkSession, sf: str) -> DataFrame:
     return html_text.extract(table(spark, sf, "pages"))
 
 
-@query("op5_chat_formatting")
+CONTROLS = ("[INST]", "[/INST]", " [/INST]", "[ANS]", "</s>", "<s>", "<<SYS>>", "<</SYS>>", "[ROLE]", "[/ROLE]", "[NAME]", "␛")
+
+
+def signs_sql(column: str) -> str:
+    """Escape signs that the template puts into a text: one for each control string that begins there."""
+    return "(" + " + ".join(f"(length({column}) - length(replace({column}, '{c}', ''))) // {len(c)}" for c in CONTROLS) + ")"
+
+
+CHAT_SQL = f"""WITH t AS (SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+s AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r, text AS x FROM t),
+o AS (SELECT *, lag(role) OVER w AS before, lead(role) OVER w IS NULL AS last FROM s
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r NULLS FIRST, x NULLS FIRST)),
+e AS (SELECT *, length(text) + {signs_sql('text')} + CASE role WHEN 'user' THEN 18 WHEN 'system' THEN 15 WHEN 'assistant' THEN 10
+  ELSE 19 + length(role) + {signs_sql('role')} END AS size,
+  CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN before IN ('system', 'assistant') THEN role = 'user'
+    WHEN before = 'user' THEN role = 'assistant' ELSE false END AS allowed FROM o)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, x NULLS FIRST)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, x NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(size) AS BIGINT) AS formatted_chars, bool_and(allowed) AND bool_or(last AND role = 'assistant') AS valid
+FROM e GROUP BY conv_id"""
+
+
+@query("op5_chat_formatting", CHAT_SQL)
 def op5_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
@@ -65,9 +90,21 @@ def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf, "documents"), bpe.default_path())
 
 
-@query("op8_jaccard_join")
+JACCARD_SQL = """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+  WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS gram FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b, c = x.n AND c = y.n AS same FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+r AS (SELECT doc_id AS node, doc_id AS root FROM w UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node WHERE r.root < l.b),
+k AS (SELECT a, count(*) AS n_links, min(b) FILTER (same) AS twin FROM l GROUP BY 1)
+SELECT w.doc_id, min(root) AS class_id, coalesce(any_value(n_links), 0) AS n_links, least(w.doc_id, any_value(twin)) AS copy_id
+FROM w JOIN r ON r.node = w.doc_id LEFT JOIN k ON k.a = w.doc_id GROUP BY w.doc_id"""
+
+
+@query("op8_jaccard_join", JACCARD_SQL)
 def op8_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
-    return jaccard.similar_documents(table(spark, sf, "documents")).drop("text_key")
+    return jaccard.similar_documents(table(spark, sf, "documents")).drop("text_key", "group_key")
 
 
 @query("op9_toxicity")

@@ -22,7 +22,12 @@ def labelled_sample(
     marks = marks.where("id is not null and label in (0, 1)")
     marks = (marks if where is None else marks.where(where)).groupBy("id").agg(F.max("label").alias("label"))
     order = F.xxhash64(F.col("id").cast("string"))
-    chosen = marks.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy(order, "id"))).where(F.col("place") <= rows)
+    # a share of the hash range that holds enough rows of each class, so that the window sees about ``rows`` of them
+    share = (F.lit(rows) + 8 * F.sqrt(F.lit(rows)) + 50) / F.count("*")
+    shares = {r["label"]: r["share"] for r in marks.groupBy("label").agg(share.alias("share")).collect()}
+    least = F.when(F.col("label") == 0, F.lit(shares.get(0, 1.0))).otherwise(F.lit(shares.get(1, 1.0)))
+    few = marks.where(order / float(1 << 64) + 0.5 <= least)
+    chosen = few.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy(order, "id"))).where(F.col("place") <= rows)
     texts = documents.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text")).where("text is not null")
     # the chosen ids are bounded by `rows`, so they can be sent to all tasks
     found = texts.join(F.broadcast(chosen), "id").withColumn("size", F.octet_length("text"))

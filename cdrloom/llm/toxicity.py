@@ -32,22 +32,27 @@ from .quality import platt, sigmoid
 from .sample import labelled_sample
 
 
+#: Text bytes that are cut into subwords at a time.
+SLICE = 1 << 19
+
+
 @dataclass(frozen=True)
 class ToxicityConfig:
     """Production parameters."""
 
     bits: int = 22  # features are hashed to 2**bits keys; those of the sample have a vector
-    dims: int = 2
+    dims: int = 3
     grams: tuple[int, ...] = (3, 4, 5)  # characters, word marks included
     segment: int = 32  # words
     rows: int = 2500  # labelled rows per class in the sample, at most
     row_bytes: int = 6000  # longer texts are left out of the sample
-    text_bytes: tuple[int, int] = (4 << 20, 3 << 19)  # text of class 0 and of class 1 in the sample, at most
-    min_rows: int = 15  # features in fewer rows of the sample have no vector
+    text_bytes: tuple[int, int] = (4 << 20, 2 << 20)  # text of class 0 and of class 1 in the sample, at most
+    min_share: float = 0.005  # features in a smaller share of the sample's rows (3 rows at least) have no vector
     penalty: float = 1e-5
     rate: float = 0.3  # first step size, falling to 0
     gain: float = 40.0  # scale of the first softmax weights: one word has to move the mean of a segment
     rounds: int = 60
+    check: int = 10  # rounds between two looks at the held-out rows
     own_rounds: int = 20  # of these, rounds in which every segment takes its document's label
     threshold: float = 0.5
     seed: int = 7
@@ -151,49 +156,95 @@ class ToxicityModel:
         return top + self.bias
 
 
-def fit_model(texts: list[str], labels: np.ndarray, config: ToxicityConfig) -> ToxicityModel | None:
-    """Train embeddings and softmax on four fifths of the sample, calibrate on the rest; None without both classes."""
+def fit_model(texts: list[str], labels: np.ndarray, config: ToxicityConfig, prior: float = 0.5) -> ToxicityModel | None:
+    """Train embeddings and softmax on four fifths of the sample; None without both classes.
+
+    The rest calibrates the model as it stands after every few rounds and picks
+    the one of least loss, for a table in which a share ``prior`` is toxic.
+    """
     labels = np.asarray(labels, np.int64)
     held = np.arange(len(labels)) % 5 == 4
     if not len(labels) or labels[~held].min() == labels[~held].max():
         return None
-    model = _train([t for t, h in zip(texts, held) if not h], labels[~held], config)
-    top = np.concatenate([
-        model.margins(part.column("text"), config)
-        for part in text_slices(pa.record_batch([pa.array(texts, pa.string())], ["text"]), "text")
-    ])
-    slope, shift = platt(top[held], labels[held].astype(np.float64), balanced=False)
-    return replace(model, slope=slope, shift=shift)
-
-
-def _train(texts: list[str], labels: np.ndarray, config: ToxicityConfig) -> ToxicityModel:
-    keys, key_words, words, seg_start, seg_row, at, rows = [], [], [], [], [], 0, 0
-    for part in text_slices(pa.record_batch([pa.array(texts, pa.string())], ["text"]), "text"):
+    held_texts = [t for t, h in zip(texts, held) if h]
+    marks, best = labels[held].astype(np.float64), (np.inf, None)
+    for model in _train([t for t, h in zip(texts, held) if not h], labels[~held], config):
+        margin = np.concatenate([np.zeros(0), *(
+            model.margins(part.column("text"), config)
+            for part in text_slices(pa.record_batch([pa.array(held_texts, pa.string())], ["text"]), "text", SLICE)
+        )])
+        slope, shift = platt(margin, marks, prior)
+        p = np.clip(sigmoid(slope * margin + shift), 1e-6, 1 - 1e-6)
+        weight = np.where(marks == 1, prior / max(1, marks.sum()), (1 - prior) / max(1, (1 - marks).sum()))
+        loss = -float((weight * (marks * np.log(p) + (1 - marks) * np.log(1 - p))).sum())
+        if loss < best[0]:
+            best = loss, replace(model, slope=slope, shift=shift)
+    return best[1]
+
+
+class Summing:
+    """Weighted sums of rows of a table into rows of another, and the gradient's way back."""
+
+    def __init__(self, into: np.ndarray, of: np.ndarray, weight: np.ndarray, n: int):
+        self.n = n
+        self.ahead = self._sorted(into, of, weight)
+        self.back = self._sorted(of, into, weight)
+
+    @staticmethod
+    def _sorted(by: np.ndarray, other: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(by, kind="stable")
+        by = by[order]
+        cuts = np.flatnonzero(np.diff(by, prepend=-1))
+        return by[cuts], cuts, other[order].astype(np.int32), weight[order].astype(np.float32)[:, None]
+
+    @staticmethod
+    def _sum(parts, table: np.ndarray, n: int) -> np.ndarray:
+        rows, cuts, other, weight = parts
+        out = np.zeros((n, table.shape[1]))
+        if len(cuts):
+            out[rows] = np.add.reduceat(table.astype(np.float32)[other] * weight, cuts, axis=0)
+        return out
+
+    def forward(self, table: np.ndarray) -> np.ndarray:
+        return self._sum(self.ahead, table, self.n)
+
+    def backward(self, gradient: np.ndarray, n: int) -> np.ndarray:
+        return self._sum(self.back, gradient, n)
+
+
+def _train(texts: list[str], labels: np.ndarray, config: ToxicityConfig) -> Iterator[ToxicityModel]:
+    """The model after every ``check`` rounds beyond the first ones."""
+    keys, owners, new_words, words, seg_start, seg_row, at, rows, n_known = [], [], [], [], [], [], 0, 0, 0
+    known = np.zeros(0, np.uint64)
+    for part in text_slices(pa.record_batch([pa.array(texts, pa.string())], ["text"]), "text", SLICE):
         k, owner, hashes, first = subwords(part.column("text"), config)
         cuts, row = segments(first, config.segment)
         # features of each distinct word once
-        _, where = np.unique(hashes, return_index=True)
-        chosen = np.zeros(len(hashes), bool)
-        chosen[where] = True
-        pick = chosen[owner]
-        keys.append(k[pick])
-        key_words.append(hashes[owner[pick]])
+        distinct, where = np.unique(hashes, return_index=True)
+        fresh = known[np.minimum(np.searchsorted(known, distinct), len(known) - 1)] != distinct if len(known) else np.ones(len(distinct), bool)
+        number = np.full(len(hashes), -1, np.int64)
+        number[where[fresh]] = n_known + np.arange(fresh.sum())
+        pick = number[owner] >= 0
+        pair = np.unique(number[owner[pick]] << 32 | k[pick])
+        keys.append((pair & 0xFFFFFFFF).astype(np.int32))
+        owners.append((pair >> 32).astype(np.int32))
+        new_words.append(distinct[fresh])
+        known, n_known = np.sort(np.concatenate([known, distinct[fresh]])), n_known + int(fresh.sum())
         words.append(hashes)
         seg_start.append(cuts[:-1] + at)
         seg_row.append(row + rows)
         at, rows = at + len(hashes), rows + part.num_rows
     words, seg_row = np.concatenate(words), np.concatenate(seg_row)
     seg_size = np.diff(np.append(np.concatenate(seg_start), len(words)))
-    distinct, word = np.unique(words, return_inverse=True)
+    distinct, place = np.unique(np.concatenate(new_words), return_inverse=True)
+    word = np.searchsorted(distinct, words)
     seg = np.repeat(np.arange(len(seg_row)), seg_size)
-    keys, owner = np.concatenate(keys), np.searchsorted(distinct, np.concatenate(key_words))
-    pair = np.unique(owner.astype(np.int64) << 32 | keys)
-    owner, keys = pair >> 32, pair & 0xFFFFFFFF
+    keys, owner = np.concatenate(keys), place[np.concatenate(owners)].astype(np.int32)
     width = np.bincount(owner, minlength=len(distinct))
     pair, count = np.unique(seg.astype(np.int64) << 32 | word, return_counts=True)
     seg, word = pair >> 32, pair & 0xFFFFFFFF
     share = count / config.segment
-    kept, keys, owner = _frequent(keys, owner, word, seg_row[seg], len(distinct), config.min_rows)
+    kept, keys, owner = _frequent(keys, owner, word, seg_row[seg], len(distinct), max(3, round(config.min_share * len(labels))))
     size, n_seg = len(kept), len(seg_row)
     part_of = 1 / width[owner]
     rng = np.random.default_rng(config.seed)
@@ -203,9 +254,10 @@ def _train(texts: list[str], labels: np.ndarray, config: ToxicityConfig) -> Toxi
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     y = labels[seg_row]
     toxic_rows = np.flatnonzero(labels == 1)
+    to_word = Summing(owner, keys, part_of, len(distinct))
+    to_segment = Summing(seg, word, share, n_seg)
     for k in range(1, config.rounds + 1):
-        mean_word = np.stack([np.bincount(owner, weights=part_of * table[keys, d], minlength=len(distinct)) for d in range(config.dims)], 1)
-        mean = np.stack([np.bincount(seg, weights=share * mean_word[word, d], minlength=n_seg) for d in range(config.dims)], 1)
+        mean = to_segment.forward(to_word.forward(table))
         z = mean @ out + bias
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
@@ -219,15 +271,14 @@ def _train(texts: list[str], labels: np.ndarray, config: ToxicityConfig) -> Toxi
             clean = top[y[top] == 0]
             weight[clean] += 0.5 / max(1, len(clean))
         g = (p - np.stack([1 - y, y], 1)) * weight[:, None]
-        g_mean = g @ out.T
-        g_word = np.stack([np.bincount(word, weights=share * g_mean[seg, d], minlength=len(distinct)) for d in range(config.dims)], 1)
-        g_table = np.stack([np.bincount(keys, weights=part_of * g_word[owner, d], minlength=size) for d in range(config.dims)], 1)
+        g_table = to_word.backward(to_segment.backward(g @ out.T, len(distinct)), size)
         grads = [g_table + config.penalty / max(1, size) * table, mean.T @ g, g.sum(0)]
         for x, gx, (a, b) in zip(params, grads, moments):
             a[...] = 0.9 * a + 0.1 * gx
             b[...] = 0.99 * b + 0.01 * gx * gx
             x -= config.rate * (1 - (k - 1) / config.rounds) * (a / (1 - 0.9**k)) / (np.sqrt(b / (1 - 0.99**k)) + 1e-7)
-    return ToxicityModel(kept, table @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0]))
+        if k >= config.own_rounds and k % config.check == 0:
+            yield ToxicityModel(kept, table @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0]))
 
 
 def _frequent(keys, owner, word, row, n_words: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -248,7 +299,9 @@ def held_out(id_column: Column) -> Column:
 def fit(documents: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel | None:
     """Model of column ``toxic`` of ``labels`` from rows that are not held out, bounded by ``rows`` and ``text_bytes``."""
     sample = labelled_sample(documents, labels, "toxic", config.rows, config.text_bytes, where=~held_out(F.col("id")), row_bytes=config.row_bytes)
-    return fit_model(sample["text"].tolist(), sample["label"].to_numpy(), config)
+    known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).agg(F.avg("toxic").alias("share")).first()["share"]
+    prior = min(0.99, max(0.01, known if known is not None else 0.5))
+    return fit_model(sample["text"].tolist(), sample["label"].to_numpy(), config, prior)
 
 
 def probabilities(texts: pa.Array, model: ToxicityModel | None, config: ToxicityConfig) -> np.ndarray:
@@ -263,7 +316,7 @@ def score(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", SLICE):
                 p = probabilities(part.column("text"), model, config)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(p), pa.array((p >= config.threshold).astype(np.int32))], ["id", "score", "predicted"])
 
@@ -277,7 +330,7 @@ def drop_toxic(documents: DataFrame, model: ToxicityModel | None, config: Toxici
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, text_column):
+            for part in text_slices(batch, text_column, SLICE):
                 yield part.filter(pa.array(probabilities(part.column(text_column).cast(pa.string()), model, config) < config.threshold))
 
     return in_arrow(documents, run, documents.schema)
