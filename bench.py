@@ -15,7 +15,7 @@ from cdrloom.session import local_session
 HEADLINE = [
     "class_property_summary", "annotate_liabilities", "ensure_cdr3", "kmer_frequencies", "cdr3_mutants", "threshold_sweep",
     "curve_areas", "spearman", "correlation_matrix_pearson", "position_entropy", "enrichment_labels", "consolidate_clusters",
-    "position_stats", "threshold_report", "box_stats", "score_kde", "group_stratified_folds", "greedy_cluster",
+    "position_stats", "threshold_report", "box_stats", "score_kde", "group_stratified_folds",
 ]
 WARM = "/root/testdata/sf0.001"
 
