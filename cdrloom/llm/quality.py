@@ -8,7 +8,8 @@ batches.
 
 Defined cases: a null or empty text has no words and fails the base rules;
 repeated rows get equal results; without labelled rows of both classes there is
-no model and the base rules decide alone; extra columns do not matter.
+no model and the base rules decide alone; labelled rows of both classes of which
+none of one class fits the sample are an error; extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .flat import flat_bytes, in_arrow, keyed, mix, prefix_hash, span_hash, text_slices, word_spans
-from .sample import labelled_sample
+from .sample import held_back, labelled_sample
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -82,7 +83,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def fit_model(texts: list[str], labels: np.ndarray, config: QualityConfig) -> QualityModel | None:
     """Fit on four fifths of the sample, calibrate on the rest; None without both classes."""
     labels = np.asarray(labels, np.float64)
-    held = np.arange(len(labels)) % 5 == 4
+    held = held_back(labels)
     if min((labels[~held] == 0).sum(), (labels[~held] == 1).sum()) == 0:
         return None
     size = 1 << config.bits

@@ -2,10 +2,42 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+#: Texts above this share of the byte bound are long.
+LONG = 1 / 64
+
+
+def whole_texts(places: np.ndarray, sizes: np.ndarray, room: int, long: int) -> np.ndarray:
+    """Flags of the texts to take, in the order of ``places``, within ``room`` bytes.
+
+    A text that does not fit in what is left is passed over, those behind it
+    are not. Texts of more than ``long`` bytes first get half of the room, and
+    at the end what the others have left.
+    """
+    taken = np.zeros(len(sizes), bool)
+    order = np.argsort(places, kind="stable")
+    big = sizes[order] > long
+    for some, bound in ((order[big], room // 2), (order[~big], room), (order[big], room)):
+        left = bound - int(sizes[taken].sum())
+        for i in some:
+            if not taken[i] and sizes[i] <= left:
+                taken[i] = True
+                left -= int(sizes[i])
+    return taken
+
+
+def held_back(labels: np.ndarray) -> np.ndarray:
+    """Flags of every fifth row of each class, for calibration: the first four of a class are always learned."""
+    held = np.zeros(len(labels), bool)
+    for label in (0, 1):
+        held[np.flatnonzero(labels == label)[4::5]] = True
+    return held
+
+
 def labelled_sample(
     documents: DataFrame, labels: DataFrame, label: str, rows: int, text_bytes: int | tuple[int, int], where: Column | None = None,
     row_bytes: int | None = None, id_column: str = "doc_id", text_column: str = "text",
@@ -15,8 +47,10 @@ def labelled_sample(
 
     Columns id, text, label (0 or 1). Rows without label, id or text are left
     out, and texts of more than ``row_bytes`` bytes. ``where`` may restrict the
-    rows by the column ``id``. Whole texts only:
-    a text that would exceed the bound is left out with those behind it.
+    rows by the column ``id``. Whole texts only, see ``whole_texts``: a text
+    that does not fit is left out alone. Equal rows of an id count once. It is
+    an error if there are labelled texts of both classes but the sample has none
+    of one.
     """
     marks = labels.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{label}`").cast("int").alias("label"))
     marks = marks.where("id is not null and label in (0, 1)")
@@ -30,10 +64,22 @@ def labelled_sample(
     chosen = few.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy(order, "id"))).where(F.col("place") <= rows)
     texts = documents.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text")).where("text is not null")
     # the chosen ids are bounded by `rows`, so they can be sent to all tasks
-    found = texts.join(F.broadcast(chosen), "id").withColumn("size", F.octet_length("text"))
+    found = texts.join(F.broadcast(chosen), "id").withColumn("size", F.octet_length("text")).withColumn("digest", F.xxhash64("text"))
     found = found if row_bytes is None else found.where(F.col("size") <= row_bytes)
-    zero, one = text_bytes if isinstance(text_bytes, tuple) else (text_bytes, text_bytes)
-    most = F.when(F.col("label") == 0, zero).otherwise(one)
-    by_place = Window.partitionBy("label").orderBy("place", "text").rowsBetween(Window.unboundedPreceding, 0)
-    bounded = found.withColumn("total", F.sum("size").over(by_place)).where(F.col("total") <= most)
-    return bounded.select("id", "text", "label", "place").toPandas().sort_values(["label", "place"]).reset_index(drop=True)
+    sizes = found.select("id", "label", "place", "digest", "size").distinct()
+    kind = sizes.schema
+    sizes = sizes.toPandas().sort_values(["label", "place", "digest"]).reset_index(drop=True)
+    bounds = text_bytes if isinstance(text_bytes, tuple) else (text_bytes, text_bytes)
+    taken = np.zeros(len(sizes), bool)
+    for mark, most in enumerate(bounds):
+        own = np.flatnonzero(sizes["label"] == mark)
+        taken[own] = whole_texts(sizes["place"].to_numpy()[own], sizes["size"].to_numpy()[own], most, int(most * LONG))
+    counts = np.bincount(sizes["label"][taken], minlength=2)
+    if counts.min() == 0 and len(shares) == 2:
+        with_text = marks.join(texts.select("id"), "id", "left_semi").groupBy("label").count().collect()
+        if len(with_text) == 2:
+            raise ValueError(f"labelled texts of both classes of {label} exist, but the sample of {rows} rows and {bounds} bytes has none of class {int(counts.argmin())}")
+    fitting = documents.sparkSession.createDataFrame(sizes[taken], kind)
+    parts = texts.join(F.broadcast(fitting), "id").where(F.xxhash64("text") == F.col("digest"))
+    frame = parts.select("id", "text", "label", "place", "digest").distinct().toPandas()
+    return frame.sort_values(["label", "place", "digest"]).drop(columns="digest").reset_index(drop=True)

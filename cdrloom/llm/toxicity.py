@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .bpe import DIGIT, LETTER, point_classes
 from .flat import code_points, flat_bytes, in_arrow, keyed, prefix_hash, span_hash, text_slices
 from .quality import platt, sigmoid
-from .sample import labelled_sample
+from .sample import held_back, labelled_sample
 
 
 #: Text bytes that are cut into subwords at a time.
@@ -163,7 +163,7 @@ def fit_model(texts: list[str], labels: np.ndarray, config: ToxicityConfig, prio
     the one of least loss, for a table in which a share ``prior`` is toxic.
     """
     labels = np.asarray(labels, np.int64)
-    held = np.arange(len(labels)) % 5 == 4
+    held = held_back(labels)
     if not len(labels) or labels[~held].min() == labels[~held].max():
         return None
     held_texts = [t for t, h in zip(texts, held) if h]

@@ -5,9 +5,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from cdrloom.llm import quality, toxicity
+from cdrloom.llm import quality, sample, toxicity
 
 WORDS = [f"{a}{b}{c}" for a in ("ta", "lo", "mi", "re", "su") for b in ("ran", "vel", "dor", "kin") for c in ("", "es", "ing", "o")]
 
@@ -105,3 +106,34 @@ def test_held_out_labels_are_not_learned(make_docs, spark):
 def test_empty_tables(make_docs):
     assert quality.score(make_docs([]), None).count() == 0
     assert toxicity.score(make_docs([]), None).count() == 0
+
+
+def first_in_order(spark, ids):
+    """Of the ids, the one that comes first in the order of the sample."""
+    order = spark.createDataFrame([(i,) for i in ids], "id long").orderBy(F.xxhash64(F.col("id").cast("string")), "id")
+    return order.first().id
+
+
+def test_a_long_labelled_text_leaves_the_others_in_the_sample(make_docs, spark):
+    rows, labels = labelled(60)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kinds = {i: q for i, q, _ in labels}
+    long = first_in_order(spark, [i for i, q in kinds.items() if q == 1])
+    for size in (20000, 9000):  # more than the bound, and more than half of it
+        texts = [(i, "talan " * (size // 6) if i == long else t) for i, t in rows]
+        found = sample.labelled_sample(make_docs(texts), marks, "quality", 1000, 16000)
+        good = found[found.label == 1]
+        assert 8000 <= good.text.map(len).sum() <= 16000
+        assert len(good) >= 8
+        assert (found.label == 0).sum() >= 15
+    assert quality.fit(make_docs(texts), marks, quality.QualityConfig(text_bytes=16000)) is not None
+
+
+def test_a_class_without_a_fitting_text_is_an_error(make_docs, spark):
+    rows, labels = labelled(40)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    texts = [(i, t * 20 if q else t) for (i, t), (_, q, _) in zip(rows, labels)]
+    with pytest.raises(ValueError, match="class 1"):
+        quality.fit(make_docs(texts), marks, quality.QualityConfig(text_bytes=5000))
+    assert quality.fit(make_docs([r for r, (_, q, _) in zip(rows, labels) if q]), marks) is None
+    assert quality.fit(make_docs(rows), marks.where("quality = 0 or doc_id = 1")) is not None
