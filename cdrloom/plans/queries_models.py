@@ -95,14 +95,19 @@ def greedy_cluster(spark, sf):
     return C.greedy_cluster(antibodies(spark, sf), "cdr3", "row_id", 0.8).select("barcode", "cluster")
 
 
+@query("cluster_by_vh")
+def cluster_by_vh(spark, sf):
+    return C.cluster_by(labelled(spark, sf), "VH", "row_id").select("barcode", F.col("`VH_CLUSTER_0.8`").alias("cluster"))
+
+
 @query("cluster_by_vhvl")
 def cluster_by_vhvl(spark, sf):
-    return C.cluster_by(labelled(spark, sf), "VHVL", "row_id", 0.98).select("barcode", F.col("`VHVL_CLUSTER_0.98`").alias("cluster"))
+    return C.cluster_by(labelled(spark, sf), "VHVL", "row_id").select("barcode", F.col("`VHVL_CLUSTER_0.8`").alias("cluster"))
 
 
 @query("complete_linkage")
 def complete_linkage(spark, sf):
-    return C.complete_linkage(clones(spark, sf), "cdr3", "row_id", 1e-12).select("barcode", "cluster")
+    return C.complete_linkage(clones(spark, sf), "cdr3", "row_id", 1e-4).select("barcode", "cluster")
 
 
 CLUSTERED_SQL = CLONES_SQL + """, cl AS (SELECT barcode, row_id, cdr3 AS cdr3_aa, germline AS vh_scaffold, germline AS vl_scaffold, macs AS count, macs / sum(macs) OVER () AS freq,
@@ -311,21 +316,22 @@ def valid_probability(scored, name="prob"):
     return scored.select("barcode", F.coalesce(F.col(name).between(0, 1), F.lit(False)).alias("valid"))
 
 
-SMALL_FOREST = M.ModelConfig("random_forest", trees=10, depth=4)
+FOREST = M.ModelConfig("random_forest")
+SEARCH_SPACE = {"maxDepth": [2, 4, 6, 8, 10, 12], "numTrees": [10, 20, 50, 100, 150, 200]}  # 36 points, of which 30 are drawn
 PROPERTIES = FeatureConfig(features=("length", "pi", "charge", "hydrophobicity", "R", "D", "W", "vh_charge", "vh_hydrophobicity"))
 
 
 @query("train_random_forest", VALID_SQL)
 def train_random_forest(spark, sf):
     df = labelled(spark, sf)
-    model = M.DevelopabilityModel(PROPERTIES, SMALL_FOREST).fit(df, "quality")
+    model = M.DevelopabilityModel(PROPERTIES, FOREST).fit(df, "quality")
     return valid_probability(model.score(df, "prob"))
 
 
 @query("train_gradient_boosting", VALID_SQL)
 def train_gradient_boosting(spark, sf):
     df = labelled(spark, sf).withColumn("held", F.col("fold") == 0)
-    config = M.ModelConfig("gradient_boosting", trees=10, depth=3)
+    config = M.ModelConfig("gradient_boosting")
     model = M.DevelopabilityModel(PROPERTIES, config).fit(df, "quality", validation="held")
     return valid_probability(model.score(df, "prob"))
 
@@ -341,7 +347,7 @@ def train_logistic_l1(spark, sf):
 @query("train_regression", VALID_SQL)
 def train_regression(spark, sf):
     df = labelled(spark, sf).withColumn("target", F.length("lseq") / 10.0)
-    scored = M.DevelopabilityModel(PROPERTIES, SMALL_FOREST).fit(df, "target").score(df, "value")
+    scored = M.DevelopabilityModel(PROPERTIES, FOREST).fit(df, "target").score(df, "value")
     span = df.agg(F.min("target").alias("low"), F.max("target").alias("high"))  # means of targets stay within
     return join_small(scored, span, []).select("barcode", F.col("value").between(F.col("low"), F.col("high")).alias("valid"))
 
@@ -349,21 +355,21 @@ def train_regression(spark, sf):
 @query("cross_validate", f"WITH {LABELLED_SQL} SELECT barcode, quality AS true, true AS valid FROM lab")
 def cross_validate(spark, sf):
     df = labelled(spark, sf).withColumn("cluster", F.col("doc_id"))
-    out = M.cross_validate(df, "quality", PROPERTIES, SMALL_FOREST)["predictions"]
+    out = M.cross_validate(df, "quality", PROPERTIES, FOREST)["predictions"]
     return out.select("barcode", F.col("true").cast("int").alias("true"), (F.col("prob").between(0, 1) & F.col("fold").between(0, 9)).alias("valid"))
 
 
 @query("random_search")
 def random_search(spark, sf):
     df = labelled(spark, sf).withColumn("cluster", F.col("doc_id"))
-    _, results = M.random_search(df, "quality", PROPERTIES, SMALL_FOREST, {"maxDepth": [2, 4], "numTrees": [5, 10]}, draws=3, group="cluster")
+    _, results = M.random_search(df, "quality", PROPERTIES, FOREST, SEARCH_SPACE, group="cluster")
     return spark.createDataFrame([(p["maxDepth"], p["numTrees"], float(s)) for p, s in results], "depth int, trees int, auc double")
 
 
 @query("sample_size_curve", "SELECT unnest([200, 400]) AS sample_size, true AS valid")
 def sample_size_curve(spark, sf):
     df = labelled(spark, sf)
-    out = M.sample_size_curve(df, "quality", [200, 400], PROPERTIES, SMALL_FOREST, group="doc_id")
+    out = M.sample_size_curve(df, "quality", [200, 400], PROPERTIES, FOREST, group="doc_id")
     whole = (F.col("train_size") + F.col("test_size") == F.col("sample_size")) & F.col("auc").between(0, 1)
     return out.select("sample_size", whole.alias("valid"))
 
@@ -371,7 +377,7 @@ def sample_size_curve(spark, sf):
 @query("permutation_importance", """SELECT unnest(['cdr3_length', 'cdr3_pi', 'cdr3_charge', 'cdr3_hydrophobicity', 'cdr3_R', 'cdr3_D', 'cdr3_W', 'vh_charge', 'vh_hydrophobicity']) AS feature, true AS valid""")
 def permutation_importance(spark, sf):
     df = labelled(spark, sf)
-    model = M.DevelopabilityModel(PROPERTIES, SMALL_FOREST).fit(df, "quality")
+    model = M.DevelopabilityModel(PROPERTIES, FOREST).fit(df, "quality")
     vectors = model.builder.transform(df)
     names = model.builder.feature_names
     out = explain.permutation_importance(vectors, model.model, "quality", names, model.builder.interpretable)
@@ -430,7 +436,7 @@ def registered_model(spark, sf):
 
     df = labelled(spark, sf)
     registry = Registry(spark, shared_folder(spark, "registry"))
-    path = registry.save(M.DevelopabilityModel(PROPERTIES, SMALL_FOREST).fit(df, "quality"), "quality", "biophysical", "demo")
+    path = registry.save(M.DevelopabilityModel(PROPERTIES, FOREST).fit(df, "quality"), "quality", "biophysical", "demo")
     registry.set_threshold(path, 0.4)
     row = registry.find("quality", "biophysical", "random_forest")
     stored = registry.load(row["path"], row["threshold"])
