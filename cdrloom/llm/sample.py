@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-#: Texts above this share of the byte bound are long.
+#: Texts above this share of the byte bound are long, unless a size is given.
 LONG = 1 / 64
 
 
@@ -40,15 +40,15 @@ def held_back(labels: np.ndarray) -> np.ndarray:
 
 def labelled_sample(
     documents: DataFrame, labels: DataFrame, label: str, rows: int, text_bytes: int | tuple[int, int], where: Column | None = None,
-    row_bytes: int | None = None, id_column: str = "doc_id", text_column: str = "text",
+    long_bytes: int | None = None, id_column: str = "doc_id", text_column: str = "text",
 ) -> pd.DataFrame:
     """At most ``rows`` labelled rows per class in an order fixed by id, and at most ``text_bytes`` of text per class (one bound, or
     one for label 0 and one for label 1).
 
     Columns id, text, label (0 or 1). Rows without label, id or text are left
-    out, and texts of more than ``row_bytes`` bytes. ``where`` may restrict the
-    rows by the column ``id``. Whole texts only, see ``whole_texts``: a text
-    that does not fit is left out alone. Equal rows of an id count once. It is
+    out. ``where`` may restrict the rows by the column ``id``. Whole texts of
+    every length, see ``whole_texts`` (long: more than ``long_bytes``, or else
+    the share ``LONG`` of the bound): a text that does not fit is left out alone. Equal rows of an id count once. It is
     an error if there are labelled texts of both classes but the sample has none
     of one.
     """
@@ -65,7 +65,6 @@ def labelled_sample(
     texts = documents.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text")).where("text is not null")
     # the chosen ids are bounded by `rows`, so they can be sent to all tasks
     found = texts.join(F.broadcast(chosen), "id").withColumn("size", F.octet_length("text")).withColumn("digest", F.xxhash64("text"))
-    found = found if row_bytes is None else found.where(F.col("size") <= row_bytes)
     sizes = found.select("id", "label", "place", "digest", "size").distinct()
     kind = sizes.schema
     sizes = sizes.toPandas().sort_values(["label", "place", "digest"]).reset_index(drop=True)
@@ -73,7 +72,7 @@ def labelled_sample(
     taken = np.zeros(len(sizes), bool)
     for mark, most in enumerate(bounds):
         own = np.flatnonzero(sizes["label"] == mark)
-        taken[own] = whole_texts(sizes["place"].to_numpy()[own], sizes["size"].to_numpy()[own], most, int(most * LONG))
+        taken[own] = whole_texts(sizes["place"].to_numpy()[own], sizes["size"].to_numpy()[own], most, long_bytes or int(most * LONG))
     counts = np.bincount(sizes["label"][taken], minlength=2)
     if counts.min() == 0 and len(shares) == 2:
         with_text = marks.join(texts.select("id"), "id", "left_semi").groupBy("label").count().collect()

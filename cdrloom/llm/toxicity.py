@@ -5,7 +5,8 @@ and of itself, each hashed to a row of the embedding table; its vector is their
 mean. The word vectors of a segment of a few dozen words (a word that follows
 itself counts once) are averaged over the full width of a segment and go
 through a linear softmax; a document is as toxic as its most toxic segment, so
-a single insult in a long text is not averaged away. Embeddings and softmax are
+a single insult in a long text is not averaged away. Scoring and calibration
+read segments that overlap by half, training reads them side by side. Embeddings and softmax are
 trained together on a bounded sample of labelled rows: first each segment takes
 the label of its document, then only the highest segment of a toxic document
 counts. Misspellings and inflections share most n-grams, hence vectors, with
@@ -13,7 +14,8 @@ words that were seen.
 
 Defined cases: a null text is empty; an empty text has one segment without
 words, whose score is that of the bias alone; repeated rows get equal scores;
-without labels of both classes every score is 0; extra columns do not matter.
+without labels of both classes every score is 0; labelled rows of both classes
+of which the sample has none of one are an error; extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ class ToxicityConfig:
     grams: tuple[int, ...] = (3, 4, 5)  # characters, word marks included
     segment: int = 32  # words
     rows: int = 2500  # labelled rows per class in the sample, at most
-    row_bytes: int = 6000  # longer texts are left out of the sample
+    row_bytes: int = 6000  # longer texts first get half of the text in the sample, then what is left
     text_bytes: tuple[int, int] = (4 << 20, 2 << 20)  # text of class 0 and of class 1 in the sample, at most
     min_share: float = 0.005  # features in a smaller share of the sample's rows (3 rows at least) have no vector
     penalty: float = 1e-5
@@ -115,6 +117,15 @@ def segments(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.append(first[:-1][row] + number * size, first[-1]), row
 
 
+def windows(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, end and row of segments that begin every half segment, so that no border parts neighbouring words in all of them."""
+    words, step = np.diff(first), max(1, size // 2)
+    counts = 1 + np.maximum(0, -(-(words - size) // step))
+    row = np.repeat(np.arange(len(words)), counts)
+    starts = first[:-1][row] + (np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)) * step
+    return starts, np.minimum(starts + size, first[1:][row]), row
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     """Embeddings projected on the softmax: a value per feature that has a vector, and the bias."""
@@ -149,8 +160,8 @@ class ToxicityModel:
         n_words = len(hashes)
         sums = np.bincount(owner, weights=self.table(config.bits)[keys], minlength=n_words)
         word = np.concatenate([[0], np.cumsum(sums / np.maximum(1, np.bincount(owner, minlength=n_words)))])
-        cuts, row = segments(first, config.segment)
-        mean = (word[cuts[1:]] - word[cuts[:-1]]) / config.segment
+        starts, ends, row = windows(first, config.segment)
+        mean = (word[ends] - word[starts]) / config.segment
         top = np.full(len(texts), -np.inf)
         np.maximum.at(top, row, mean)
         return top + self.bias
@@ -298,7 +309,7 @@ def held_out(id_column: Column) -> Column:
 
 def fit(documents: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel | None:
     """Model of column ``toxic`` of ``labels`` from rows that are not held out, bounded by ``rows`` and ``text_bytes``."""
-    sample = labelled_sample(documents, labels, "toxic", config.rows, config.text_bytes, where=~held_out(F.col("id")), row_bytes=config.row_bytes)
+    sample = labelled_sample(documents, labels, "toxic", config.rows, config.text_bytes, where=~held_out(F.col("id")), long_bytes=config.row_bytes)
     known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).agg(F.avg("toxic").alias("share")).first()["share"]
     prior = min(0.99, max(0.01, known if known is not None else 0.5))
     return fit_model(sample["text"].tolist(), sample["label"].to_numpy(), config, prior)

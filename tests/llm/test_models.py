@@ -137,3 +137,24 @@ def test_a_class_without_a_fitting_text_is_an_error(make_docs, spark):
         quality.fit(make_docs(texts), marks, quality.QualityConfig(text_bytes=5000))
     assert quality.fit(make_docs([r for r, (_, q, _) in zip(rows, labels) if q]), marks) is None
     assert quality.fit(make_docs(rows), marks.where("quality = 0 or doc_id = 1")) is not None
+
+
+def test_toxicity_learns_from_long_texts(make_docs, spark):
+    rows, labels = labelled(200)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    toxic = {i for i, _, t in labels if t}
+    long = [(i, t + " " + " ".join(WORDS * 20) if i in toxic or i % 5 == 1 else t) for i, t in rows]
+    assert all(len(t) > toxicity.ToxicityConfig().row_bytes for i, t in long if i in toxic)
+    docs = make_docs(long)
+    model = toxicity.fit(docs, marks)
+    found = {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect()}
+    held = [found[i] == t for i, _, t in labels if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean(held) > 0.9
+
+
+def test_segments_overlap():
+    first = np.array([0, 0, 5, 38, 110])
+    starts, ends, row = toxicity.windows(first, 32)
+    assert list(zip(row, starts, ends)) == [
+        (0, 0, 0), (1, 0, 5), (2, 5, 37), (2, 21, 38), (3, 38, 70), (3, 54, 86), (3, 70, 102), (3, 86, 110),
+    ]
