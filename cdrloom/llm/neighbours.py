@@ -189,7 +189,8 @@ def search(vectors: DataFrame, queries: Column, config: TreeConfig = TreeConfig(
     dims, k = common["dims"], config.k
     rows = rows.where(F.size("v") == dims)
     copies = Window.partitionBy("v").orderBy("id")
-    candidates = rows.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy")
+    # ids, not rows, fill the k + 1 places of a vector
+    candidates = rows.withColumn("copy", F.dense_rank().over(copies)).where(F.col("copy") <= k + 1).drop("copy").dropDuplicates(["id", "v"])
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(config.sample).select("v").toPandas()
     unit = _unit(np.stack(sample["v"].to_numpy()).astype(np.float64))
     tree = fit_tree(unit, config)
@@ -221,7 +222,7 @@ def search(vectors: DataFrame, queries: Column, config: TreeConfig = TreeConfig(
                 ["id", "v", "leaf", "part"],
             )
 
-    asked = in_arrow(rows.where(queries), to_visits, f"id long, v {kind}, leaf int, part int")
+    asked = in_arrow(rows.where(queries).distinct(), to_visits, f"id long, v {kind}, leaf int, part int")
     n_parts = F.element_at(F.array(*(F.lit(int(b)) for b in blocks)), F.col("leaf") + 1)
     placed = placed.withColumn("part", F.pmod(F.xxhash64("id"), n_parts).cast("int"))
 
@@ -240,6 +241,7 @@ def search(vectors: DataFrame, queries: Column, config: TreeConfig = TreeConfig(
     n = shuffle_tasks(rows)
     found = asked.repartition(n, "leaf", "part").groupBy("leaf", "part").cogroup(placed.repartition(n, "leaf", "part").groupBy("leaf", "part"))
     found = found.applyInArrow(match, "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -115,3 +115,15 @@ def test_few_and_no_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [-1.0, 0.0])], kind)
     assert [(r.query_id, r.rank, r.vec_id) for r in neighbours.search(few, F.col("id") == 0).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
     assert neighbours.search(few.where("false"), F.col("id") == 0).count() == 0
+
+
+def test_repeated_rows_lose_no_neighbours(spark, vectors):
+    rows = vectors + [(705, vectors[2][1])] * 6 + [(706, vectors[2][1])]
+    table = spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<float>")
+    found = neighbours.search(table, F.col("id").isin(705, 706)).toPandas()
+    truth = pd.DataFrame(exact(rows, lambda q: q in (705, 706), len(rows)), columns=["query_id", "rank", "vec_id", "score"])
+    for q in (705, 706):
+        best = truth[truth.query_id == q].drop_duplicates("vec_id").vec_id.tolist()[:5]
+        own = found[found.query_id == q].sort_values("rank")
+        assert own.vec_id.nunique() == 5 and own["rank"].tolist() == [1, 2, 3, 4, 5]
+        assert own.vec_id.tolist() == best
