@@ -1,25 +1,24 @@
-"""Suffix-array dedup: repeated byte strings by distributed difference-cover sorting.
+"""Suffix-array dedup: repeated byte strings by a difference-cover filter and fingerprints of whole windows.
 
 A byte string of ``length`` bytes that starts at two places makes both suffixes
-equal in their first ``length`` bytes, so adjacent in a suffix array. Only that
-many bytes matter, and only suffixes with an equal neighbour, so the array is
-built where it can show something:
+equal in their first ``length`` bytes. Only that many bytes matter, and only
+suffixes with an equal partner:
 
 1. Positions of each text whose offset modulo v lies in a perfect difference
    cover are sampled. Any two positions have a common shift below v after which
    both are sampled. Each sampled suffix gets the triple of names of its next
-   three strings of (length - v + 1) / 3 bytes; triples are dealt out by name,
-   sorted, and equal neighbours stay. A repeated string always leaves a sampled
-   pair behind, so nothing is lost.
-2. The names recur: suffixes that are not sampled but have a surviving sampled
-   suffix less than v bytes ahead are merged in by the name of their whole
-   prefix, that is of the bytes up to that sample and of the strings behind it.
-3. These names are sorted again and adjacent prefixes compared: every start
-   whose name another start shares is repeated.
-
-Names are 64-bit hashes of the bytes, so no global ranks have to be handed
-round; recursion ends at step 2 because the names there cover all ``length``
-bytes. Two of n candidate prefixes are confused with a probability of n**2 / 2**65.
+   three strings of (length - v + 1) / 3 bytes; triples are dealt out by a hash
+   and those that stand alone are dropped. A repeated string always leaves a
+   sampled pair behind, so nothing is lost. Only the places that are left go on.
+2. Every window of ``length`` bytes with a surviving sample less than v bytes
+   ahead is hashed from its bytes and dealt out by that fingerprint; every start
+   whose fingerprint another start shares is repeated.
+
+This is not the full difference-cover suffix sort: fingerprints of whole windows
+replace its recursion and its merge, no names recur and suffixes have no order.
+Equality of windows is all that is asked for, a fingerprint over all ``length``
+bytes decides it, and neither ranks nor an order have to be handed round. Two of
+n windows are confused with a probability of n**2 / 2**65.
 
 Rows of a shuffle are columns of many names (one row per task and name range),
 so a range costs what it holds. A text that occurs often is sampled once per
