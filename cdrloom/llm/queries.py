@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, html_text, jaccard, neighbours, packing, quality, suffix_dedup, token_counts, toxicity
+from . import bpe, chat, html_text, jaccard, neighbours, packing, quality, suffix_dedup, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +117,15 @@ def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_packing")
 def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), bpe.default_path())
+
+
+WARC_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS html, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
+k AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY html) END AS keeper FROM p)
+SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN keeper IS NOT NULL AND page_id IS DISTINCT FROM keeper THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to FROM k"""
+
+
+@query("op11_warc_bundles", WARC_SQL)
+def op11_warc_bundles(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf, "pages"))
