@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, html_text, jaccard, negatives, neighbours, packing, quality, suffix_dedup, token_counts, toxicity, warc
+from . import bpe, chat, html_text, jaccard, lexical, negatives, neighbours, packing, quality, suffix_dedup, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -148,3 +148,25 @@ SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
 def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
     relabelled = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(table(spark, sf, "embeddings"), F.col("id") % 50 == 0, relabelled)
+
+
+def terms_sql(column: str) -> str:
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"regexp_extract_all(translate(coalesce({column}, ''), '{letters}', '{letters.lower()}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+LEXICAL_SQL = f"""WITH d AS (SELECT row_number() OVER () AS place, doc_id, {terms_sql('text')} AS ts FROM documents),
+c AS (SELECT count(*) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS n_terms FROM d WHERE len(ts) > 0),
+q AS (SELECT DISTINCT item_id, unnest({terms_sql('text')}) AS term FROM benchmark),
+p AS (SELECT place, any_value(doc_id) AS doc_id, term, any_value(n) AS n, count(*) AS tf FROM (SELECT place, doc_id, len(ts) AS n, unnest(ts) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY place, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, c GROUP BY term),
+s AS (SELECT item_id, place, any_value(doc_id) AS doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN w USING (term), c GROUP BY item_id, place)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY rank <= 50"""
+
+
+@query("op13_ranked_search", LEXICAL_SQL)
+def op13_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.rank(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
