@@ -15,6 +15,9 @@ from cdrloom.session import shared_folder
 #: Models are no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
+#: Passages of fifty words of four letters and a blank, or longer, go if they stand elsewhere too.
+PASSAGE = suffix_dedup.DedupConfig(length=250)
+
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -36,8 +39,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without strings of 400 bytes that start elsewhere too."""
-    return suffix_dedup.remove_repeats(docs, size_column="n_chars")
+    """Documents without strings of ``PASSAGE.length`` bytes that start elsewhere too."""
+    return suffix_dedup.remove_repeats(docs, PASSAGE, size_column="n_chars")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline as C
 from cdrloom.llm import bpe, quality, toxicity
-from cdrloom.llm.suffix_dedup import DedupConfig, whole_points, without
+from cdrloom.llm.suffix_dedup import whole_points, without
 from test_jaccard import brute as groups_of
 
 SF = "/root/testdata/sf0.001"
@@ -61,7 +61,7 @@ def test_each_stage_equals_brute_force(spark):
     rows = single.collect()
 
     cut = step("suffix-array dedup", single)
-    data, spans = repeated_spans([r.text for r in rows], DedupConfig().length)
+    data, spans = repeated_spans([r.text for r in rows], C.PASSAGE.length)
     kept = [without(b, whole_points(np.frombuffer(b, np.uint8), s)).decode() if len(s) else b.decode() for b, s in zip(data, spans)]
     assert Counter((r.doc_id, r.text, r.n_chars) for r in cut.collect()) == Counter((r.doc_id, t, len(t)) for r, t in zip(rows, kept))
 
@@ -79,3 +79,12 @@ def test_each_stage_equals_brute_force(spark):
 def test_run_returns_packed_pieces(spark):
     out = C.run(spark, SF)
     assert {"doc_id", "sequence_id", "length"} <= set(out.columns) and out.count() > 0
+
+
+def test_passages_of_more_than_fifty_words_go(spark):
+    words = [f"w{k:03d}" for k in range(51)]  # 254 bytes
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    rows = [(k, f"start{k} " + " ".join(words) + f" end{k}", "en", "s", 1) for k in range(3)]
+    cut = dict(C.STAGES)["suffix-array dedup"](spark, spark.createDataFrame(rows, docs.schema), SF).collect()
+    assert sorted((r.doc_id, r.text) for r in cut) == [(k, f"start{k}{k}") for k in range(3)]
+    assert all(r.n_chars == len(r.text) for r in cut)
