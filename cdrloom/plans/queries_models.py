@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import vectors as V
 from ..models import anomaly, explain, training as M
-from ..operators import clustering as C, mutants as U, ngs as N, similarity as S, splits as P
+from ..operators import clustering as C, mutants as U, nearest, ngs as N, similarity as S, splits as P
 from ..operators.features import FeatureConfig, kmer_l2_vectors
 from ..operators.ordered import join_small
 from .catalog import query
@@ -34,13 +34,21 @@ n AS (SELECT l.seq, min(levenshtein(l.seq, p.cdr3)) AS d FROM loops l, prev p GR
 SELECT loops.seq, coalesce(d, 999) AS nearest FROM loops LEFT JOIN n USING (seq)""")
 def similarity_join(spark, sf):
     known = previous(spark, sf).withColumnRenamed("cdr3", "seq")
-    return S.nearest_previous(loops(spark, sf).select("seq"), known, "seq").select("seq", "nearest")
+    return nearest.nearest_previous(loops(spark, sf).select("seq"), known, "seq").select("seq", "nearest")
 
 
 BLOSUM_CASE = "CASE substr(a, i::BIGINT, 1) || substr(b, i::BIGINT, 1) " + " ".join(
     f"WHEN '{x}{y}' THEN {v}" for (x, y), v in K.triangle(K.BLOSUM62).items()) + " ELSE -4 END"
 
 
+@query("max_blosum_similarity", f"""WITH {LABELLED_SQL}, {LOOPS_SQL}, {PREVIOUS_SQL}, p AS (SELECT seq, cdr3, seq AS a, cdr3 AS b FROM loops, prev),
+s AS (SELECT seq, cdr3, sum({BLOSUM_CASE}) / count(*) AS s FROM (SELECT *, unnest(range(1, least(length(a), length(b)) + 1)) AS i FROM p) GROUP BY 1, 2)
+SELECT loops.seq, round(coalesce(max(s), -999), 6) AS max_similarity FROM loops LEFT JOIN s USING (seq) GROUP BY 1""")
+def max_blosum_similarity(spark, sf):
+    known = previous(spark, sf).withColumnRenamed("cdr3", "seq")
+    return nearest.most_similar(loops(spark, sf).select("seq"), known, "seq").select("seq", r6("max_similarity").alias("max_similarity"))
+
+
 def neighbours(spark, sf, step=1):
     """Each loop with the one ``step`` pieces further on in its document."""
     ab = antibodies(spark, sf).select("barcode", "doc_id", "tile", "cdr3")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cdrloom.functions import alignment as A
 from cdrloom.models import training as M
 from cdrloom.operators import (
-    cleaning as C, clustering as G, joins as J, ordered as O, sampling as P, similarity as S, splits as X,
+    cleaning as C, clustering as G, joins as J, nearest as N, ordered as O, sampling as P, similarity as S, splits as X,
     statistics as T, thresholds as H,
 )
 from cdrloom.operators.features import FeatureBuilder, FeatureConfig
@@ -75,11 +75,11 @@ def test_close_pairs_are_complete(spark):
 
 def test_nearest_previous(spark):
     mine, old = strings(40, 1), strings(30, 2)
-    out = S.nearest_previous(frame(spark, mine), frame(spark, old), "seq", 2).collect()
+    out = N.nearest_previous(frame(spark, mine), frame(spark, old), "seq").collect()
     assert len(out) == len(mine)
     for r in out:
         assert r["nearest"] == min(lev(r["seq"], p) for p in old)
-    empty = S.nearest_previous(frame(spark, mine), frame(spark, old).limit(0), "seq", 4)
+    empty = N.nearest_previous(frame(spark, mine), frame(spark, old).limit(0), "seq")
     assert {r["nearest"] for r in empty.collect()} == {999}
 
 
