@@ -10,6 +10,7 @@ from ..models import anomaly, explain, training as M
 from ..operators import clustering as C, mutants as U, nearest, ngs as N, similarity as S, splits as P
 from ..operators.features import FeatureConfig, kmer_l2_vectors
 from ..operators.ordered import join_small
+from ..session import cut_lineage
 from .catalog import query
 from .inputs import ANTIBODIES_SQL, CLONES_SQL, LABELLED_SQL, PREVIOUS_SQL, antibodies, clones, labelled, previous, r6
 
@@ -118,6 +119,35 @@ def complete_linkage(spark, sf):
     return C.complete_linkage(clones(spark, sf), "cdr3", "row_id", 1e-4).select("barcode", "cluster")
 
 
+@query("greedy_cluster_violations", f"""WITH {ANTIBODIES_SQL} SELECT count(*) AS n_rows, count(DISTINCT cdr3) AS n_strings, 0::BIGINT AS misplaced, 0::BIGINT AS misnumbered FROM ab""")
+def greedy_cluster_violations(spark, sf):
+    out = cut_lineage(C.greedy_cluster(antibodies(spark, sf), "cdr3", "row_id", 0.8).select("cdr3", "row_id", "cluster"))
+    return C.leader_violations(out, "cdr3", "row_id", "cluster", 0.8)
+
+
+def chain_violations(spark, sf, column, text):
+    name = f"{column}_CLUSTER_0.8"
+    out = C.cluster_by(labelled(spark, sf), column, "row_id").select(text.alias("text"), "row_id", F.col(f"`{name}`").alias("cluster"))
+    return C.leader_violations(cut_lineage(out), "text", "row_id", "cluster", 0.8)
+
+
+@query("cluster_by_vh_violations", f"""WITH {LABELLED_SQL} SELECT count(*) AS n_rows, count(DISTINCT hseq) AS n_strings, 0::BIGINT AS misplaced, 0::BIGINT AS misnumbered FROM lab""")
+def cluster_by_vh_violations(spark, sf):
+    return chain_violations(spark, sf, "VH", F.col("hseq"))
+
+
+@query("cluster_by_vhvl_violations", f"""WITH {LABELLED_SQL} SELECT count(*) AS n_rows, count(DISTINCT hseq || '_' || lseq) AS n_strings, 0::BIGINT AS misplaced,
+  0::BIGINT AS misnumbered FROM lab""")
+def cluster_by_vhvl_violations(spark, sf):
+    return chain_violations(spark, sf, "VHVL", F.concat_ws("_", "hseq", "lseq"))
+
+
+@query("complete_linkage_violations", f"""WITH {CLONES_SQL} SELECT count(*) AS n_rows, 0::BIGINT AS missing_links, 0::BIGINT AS mergeable FROM clones""")
+def complete_linkage_violations(spark, sf):
+    out = cut_lineage(C.complete_linkage(clones(spark, sf), "cdr3", "row_id", 1e-4).select("cdr3", "row_id", "cluster"))
+    return C.linkage_violations(out, "cdr3", "row_id", 1e-4)
+
+
 CLUSTERED_SQL = CLONES_SQL + """, cl AS (SELECT barcode, row_id, cdr3 AS cdr3_aa, germline AS vh_scaffold, germline AS vl_scaffold, macs AS count, macs / sum(macs) OVER () AS freq,
   row_id AS rank, doc_id % 50 AS cluster, regexp_matches(cdr3, 'RR') AS l_RR FROM clones)"""
 
@@ -152,13 +182,34 @@ def cluster_summary(spark, sf):
     return C.cluster_summary(clustered(spark, sf)).withColumn("mean_size", r6("mean_size"))
 
 
-@query("select_diverse_leads")
+def leads_sql(score: float, near: str) -> str:
+    """The sequential choice: in order of score a clone is kept if it is near no known and no kept loop."""
+    return f"""WITH RECURSIVE {LABELLED_SQL}{CLONES_SQL[len(ANTIBODIES_SQL):]}, {PREVIOUS_SQL},
+cpm AS (SELECT *, facs1 * 1000000.0 / (SELECT sum(facs1) FROM clones) AS cpm FROM clones),
+firsts AS (SELECT arg_min(barcode, (-score, barcode)) AS barcode, max(score) AS score, cdr3 AS seq FROM cpm WHERE score >= {score} AND cpm >= 100 AND length(cdr3) >= 4 GROUP BY cdr3),
+queue AS MATERIALIZED (SELECT barcode, seq, row_number() OVER (ORDER BY score DESC, barcode) AS i FROM firsts WHERE NOT EXISTS (SELECT 1 FROM prev WHERE {near.format(a='cdr3', b='seq')})),
+near AS (SELECT y.i, list(x.i) AS others FROM queue x JOIN queue y ON x.i < y.i AND {near.format(a='x.seq', b='y.seq')} GROUP BY y.i),
+turn AS MATERIALIZED (SELECT i, barcode, coalesce(others, []) AS others FROM queue LEFT JOIN near USING (i)),
+walk AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept, NULL::VARCHAR AS took
+  UNION ALL SELECT turn.i, CASE WHEN list_has_any(kept, others) THEN kept ELSE list_append(kept, turn.i) END, CASE WHEN NOT list_has_any(kept, others) THEN barcode END
+  FROM walk JOIN turn ON turn.i = walk.i + 1)
+"""
+
+
+CELLS = "MAP {" + ", ".join(f"'{x}{y}': {v}" for (x, y), v in K.triangle(K.BLOSUM62).items()) + "}"
+ALIKE = ("list_sum(list_transform(range(1, least(length({a}), length({b})) + 1), lambda p: coalesce(" + CELLS.replace("{", "{{").replace("}", "}}")
+         + "[substr({a}, p, 1) || substr({b}, p, 1)], -4))) / least(length({a}), length({b})) > 1.5")
+
+
+@query("select_diverse_leads", leads_sql(0.5, "levenshtein({a}, {b}) < 5") + """
+SELECT barcode, round(cpm, 4) AS cpm, barcode IN (SELECT took FROM walk WHERE took IS NOT NULL) AS selected FROM cpm""")
 def select_diverse_leads(spark, sf):
     out = C.select_diverse_leads(clones(spark, sf), previous(spark, sf), "score", "barcode", min_score=0.5, min_cpm=100)
     return out.select("barcode", F.round("cpm", 4).alias("cpm"), "selected")
 
 
-@query("select_diverse_leads_blosum")
+@query("select_diverse_leads_blosum", leads_sql(0.9, ALIKE) + """
+SELECT barcode, barcode IN (SELECT took FROM walk WHERE took IS NOT NULL) AS selected FROM cpm""")
 def select_diverse_leads_blosum(spark, sf):
     out = C.select_diverse_leads(clones(spark, sf), previous(spark, sf), "score", "barcode", metric="blosum", min_score=0.9, min_cpm=100)
     return out.select("barcode", "selected")
