@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
@@ -79,8 +80,20 @@ def fit_isolation_forest(df: DataFrame, vec: str, key: str, trees: int = 100, se
 
 
 def isolation_score(df: DataFrame, vec: str, forest: list, name: str = "anomaly") -> DataFrame:
-    """Share-of-path anomaly score in (0, 1]; higher is more unusual."""
-    shared = df.sparkSession.sparkContext.broadcast(forest)  # trees x 511 nodes at most
+    """Share-of-path anomaly score in (0, 1]; higher is more unusual.
+
+    Only the dimensions that some node splits on leave the vector.
+    """
+    used = sorted({int(f) for tree in forest for f in tree["nodes"][:, 0] if f >= 0})
+    slot = np.zeros(max(used, default=0) + 1)
+    slot[used] = np.arange(len(used))
+    narrow = []
+    for tree in forest:
+        nodes = tree["nodes"].copy()
+        split = nodes[:, 0] >= 0
+        nodes[split, 0] = slot[nodes[split, 0].astype(np.int64)]
+        narrow.append({"size": tree["size"], "nodes": nodes})
+    shared = df.sparkSession.sparkContext.broadcast(narrow)  # trees x 511 nodes at most
 
     @pandas_udf(DoubleType())
     def score(vectors: pd.Series) -> pd.Series:
@@ -101,7 +114,8 @@ def isolation_score(df: DataFrame, vec: str, forest: list, name: str = "anomaly"
         norm = average_path(shared.value[0]["size"]) or 1.0
         return pd.Series(np.power(2.0, -total / len(shared.value) / norm))
 
-    return df.withColumn(name, score(vector_to_array(vec, "float32")))
+    kept = VectorSlicer(inputCol=vec, outputCol="_used", indices=used or [0]).transform(df)
+    return kept.withColumn(name, score(vector_to_array("_used", "float32"))).drop("_used")
 
 
 def one_class_score(df: DataFrame, vec: str, key: str, positive: str, train: str, contamination: float = 0.1,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
@@ -26,13 +27,16 @@ def linear_contributions(df: DataFrame, model, names: list[str], key: str, keep:
     """Long (key, feature, value): coefficient times centred value of a linear model.
 
     The zeros of a sparse row contribute through the centre alone, so every
-    kept feature gets a value per row.
+    kept feature gets a value per row; all others leave the vector in the JVM.
     """
     weights = model.coefficients.toArray()
     table = df.sparkSession.createDataFrame(
         [(i, names[i], float(weights[i])) for i in keep], "i int, feature string, w double"
     )
-    long = df.select(key, F.posexplode(vector_to_array("features")).alias("i", "x")).join(F.broadcast(table), "i")
+    narrow = VectorSlicer(inputCol="features", outputCol="_kept", indices=keep).transform(df.select(key, "features"))
+    places = F.array(*[F.lit(i) for i in keep])
+    long = narrow.select(key, F.posexplode(vector_to_array("_kept")).alias("k", "x")).select(key, F.get(places, F.col("k")).alias("i"), "x")
+    long = long.join(F.broadcast(table), "i")
     mean = long.groupBy("i").agg(F.avg("x").alias("m"))
     return long.join(F.broadcast(mean), "i").select(key, "feature", (F.col("w") * (F.col("x") - F.col("m"))).alias("value"))
 

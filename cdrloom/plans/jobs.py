@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cdrloom.constants import NULL_LIKE_SHEET
 from cdrloom.models.anomaly import one_class_score
-from cdrloom.models.explain import permutation_importance
+from cdrloom.models.explain import attribution_ranking, permutation_importance
 from cdrloom.models.registry import Registry
+from cdrloom.models.tree_shap import tree_attributions
 from cdrloom.models.training import (
     DevelopabilityModel, ModelConfig, cross_validate, sample_size_curve, scored, search_and_fit, with_class_weight,
 )
@@ -116,6 +117,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--mode", default="binary_strong", choices=["binary_strong", "one_class"])
     parser.add_argument("--blosum", action="store_true", help="expand: features over similar letters")
     parser.add_argument("--metric", default="levenshtein", choices=["levenshtein", "blosum"])
+    parser.add_argument("--method", default="permutation", choices=["permutation", "shapley"], help="importance: shapley is for trees")
     parser.add_argument("--db", default="db")
     parser.add_argument("--registry")
     parser.add_argument("--kfold", type=int, default=10)
@@ -175,7 +177,12 @@ def main(argv: list[str] | None = None) -> None:
         stored = registry.load(row["path"], row["threshold"])
         vectors = stored.builder.transform(df.where(F.col(a.target).isNotNull()))
         names, keep = stored.builder.feature_names, stored.builder.interpretable
-        tables.write_table(permutation_importance(vectors, stored.model, a.target, names, keep), out)
+        if a.method == "shapley":
+            found = cut_lineage(tree_attributions(vectors, stored.model, names, "barcode"))
+            tables.write_table(found, f"{out}/attributions")
+            tables.write_table(attribution_ranking(found, "feature", "value"), f"{out}/ranking")
+        else:
+            tables.write_table(permutation_importance(vectors, stored.model, a.target, names, keep), out)
     elif a.verb == "score" and a.model == "all":
         tables.write_table(score_with_all(need(), read(), a.target), out)
     elif a.verb == "score":

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import vectors as V
-from ..models import anomaly, explain, training as M
+from ..models import anomaly, explain, training as M, tree_shap
 from ..operators import clustering as C, mutants as U, nearest, ngs as N, similarity as S, splits as P
 from ..operators.features import FeatureConfig, kmer_l2_vectors
 from ..operators.ordered import join_small
@@ -443,6 +443,22 @@ def permutation_importance(spark, sf):
     return out.select("feature", F.col("importance").between(-1, 1).alias("valid"))
 
 
+@query("tree_contributions", f"""WITH {LABELLED_SQL} SELECT barcode, kind, 0.0::DOUBLE AS gap, 9 AS most_features FROM lab, (SELECT unnest(['random_forest', 'gradient_boosting']) AS kind)""")
+def tree_contributions(spark, sf):
+    """Base value plus all contributions of a row against what the model itself returns."""
+    df = labelled(spark, sf)
+    parts = []
+    for config in (FOREST, M.ModelConfig("gradient_boosting")):
+        model = M.DevelopabilityModel(PROPERTIES, config).fit(df, "quality")
+        vectors = model.builder.transform(df).select("barcode", "features")
+        found = tree_shap.tree_contributions(vectors, model.model, model.builder.feature_names, "barcode")
+        total = F.aggregate("parts", F.col("base"), lambda s, p: s + p["value"])
+        fit = F.greatest(F.lit(9), F.size("parts"))
+        gap = found.join(tree_shap.margin(model.model, vectors).select("barcode", "margin"), "barcode")
+        parts.append(gap.select("barcode", F.lit(config.kind).alias("kind"), F.abs(F.round(total - F.col("margin"), 6)).alias("gap"), fit.alias("most_features")))
+    return parts[0].unionByName(parts[1])
+
+
 @query("linear_contributions")
 def linear_contributions(spark, sf):
     df = labelled(spark, sf)

@@ -44,6 +44,9 @@ def test_train_search_and_score_with_all_models(spark, folder):
     right = both.where("(gradient_boosting_lm_db_score >= 0.5) = (psr_filter = 1)").count()
     assert right > 120
     assert spark.read.parquet(run(folder, "importance", "--model", "random_forest")).count() > 5
+    shapley = run(folder, "importance", "--model", "random_forest", "--method", "shapley")
+    assert spark.read.parquet(f"{shapley}/attributions").select("barcode").distinct().count() == 160
+    assert spark.read.parquet(f"{shapley}/ranking").count() > 5
     assert spark.read.parquet(run(folder, "scan", "--lm", "kmer", "--model", "logistic_l1", "--first", "2") + "/summary").count() == 2
 
 
