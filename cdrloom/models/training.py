@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import random
 from dataclasses import dataclass, field, replace
 from functools import reduce
-from itertools import product
+from math import exp, factorial, log, prod
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.cleaning import detect_task
 from ..operators.features import FeatureBuilder, FeatureConfig
@@ -188,12 +189,109 @@ def mean_curve_auc(preds: DataFrame, steps: int = 100) -> DataFrame:
     return join_small(curve, curve.agg((F.sum(F.col("mean_tpr") * weight) / (steps - 1)).alias("mean_auc")), [])
 
 
-def random_search(df: DataFrame, target: str, features: FeatureConfig, config: ModelConfig, space: dict[str, list],
+@dataclass(frozen=True)
+class Whole:
+    """Whole numbers from low to high."""
+
+    low: int
+    high: int
+
+    def draw(self, rng: random.Random) -> int:
+        return rng.randint(self.low, self.high)
+
+    def holds(self, value) -> bool:
+        return self.low <= value <= self.high and value == int(value)
+
+
+@dataclass(frozen=True)
+class Between:
+    """Numbers from low to high, evenly spread, or evenly in their logarithm."""
+
+    low: float
+    high: float
+    log: bool = False
+
+    def draw(self, rng: random.Random) -> float:
+        if self.log:
+            return min(self.high, max(self.low, exp(rng.uniform(log(self.low), log(self.high)))))
+        return rng.uniform(self.low, self.high)
+
+    def holds(self, value) -> bool:
+        return self.low <= value <= self.high
+
+
+@dataclass(frozen=True)
+class OneOf:
+    """One of a list."""
+
+    values: list
+
+    def draw(self, rng: random.Random):
+        return rng.choice(self.values)
+
+    def holds(self, value) -> bool:
+        return value in self.values
+
+
+def parse_space(space: dict) -> dict:
+    """Ranges from plain values: a list, or {"low", "high"} with whole or other numbers and an optional "log"."""
+    out = {}
+    for name, given in space.items():
+        if isinstance(given, (Whole, Between, OneOf)):
+            out[name] = given
+        elif isinstance(given, list):
+            out[name] = OneOf(given)
+        elif isinstance(given["low"], int) and isinstance(given["high"], int) and not given.get("log"):
+            out[name] = Whole(given["low"], given["high"])
+        else:
+            out[name] = Between(float(given["low"]), float(given["high"]), bool(given.get("log")))
+    return out
+
+
+def draw_points(space: dict, draws: int, seed: int) -> list[dict]:
+    """Distinct points, the same ones for a seed; fewer if lists alone leave fewer."""
+    rng, out = random.Random(seed), []
+    space = parse_space(space)
+    most = prod(len(d.values) if isinstance(d, OneOf) else d.high - d.low + 1 if isinstance(d, Whole) else draws for d in space.values())
+    while len(out) < min(draws, most):
+        point = {name: d.draw(rng) for name, d in space.items()}
+        if point not in out:
+            out.append(point)
+    return out
+
+
+@dataclass
+class Draw:
+    """A point of the search and its scores on the folds it has run."""
+
+    point: dict
+    folds: int
+    scores: list[float] = field(default_factory=list)
+
+    @property
+    def whole(self) -> bool:
+        return len(self.scores) == self.folds
+
+    @property
+    def mean(self) -> float:
+        return sum(self.scores) / len(self.scores)
+
+    @property
+    def bound(self) -> float:
+        """What the mean over all folds can still reach: neither AUC nor R2 exceeds 1."""
+        return (sum(self.scores) + self.folds - len(self.scores)) / self.folds
+
+
+def random_search(df: DataFrame, target: str, features: FeatureConfig, config: ModelConfig, space: dict,
                   draws: int = 30, folds: int = 3, key: str = "barcode", group: str | None = None, seed: int = 42,
-                  parallelism: int = 4) -> tuple[dict, list[tuple[dict, float]]]:
-    """Best of ``draws`` distinct parameter sets by inner cross-validation."""
-    import random
+                  parallelism: int = 4) -> list[Draw]:
+    """``draws`` points drawn from ``space``, judged by inner cross-validation in a race; the best one first.
 
+    All points run the first fold; the one that does best runs the others at
+    once, and every further point goes on, best first, only while its bound
+    reaches the best whole mean.  Points that stop early cannot be the best, so
+    the winner is that of a full search.
+    """
     labelled = df.where(F.col(target).isNotNull()).withColumn("label", F.col(target).cast("double"))
     task = detect_task(labelled, "label").first()["task"]
     folded = group_stratified_folds(labelled, "label", group, key, folds, seed, task)
@@ -203,17 +301,26 @@ def random_search(df: DataFrame, target: str, features: FeatureConfig, config: M
         table, weight = with_class_weight(table, "label"), "weight"
     table = table.persist()
     folds = table.agg(F.max("fold")).first()[0] + 1  # fewer clusters than folds leave fewer
-    base = estimator(config, task, weight, rows=table.count())
-    grid = [dict(zip(space, values)) for values in product(*space.values())]
-    chosen = random.Random(seed).sample(grid, min(draws, len(grid)))
-    maps = [{base.getParam(name): value for name, value in point.items()} for point in chosen]
+    rows = table.count()
     judge = BinaryClassificationEvaluator() if task == "classification" else RegressionEvaluator(metricName="r2")
-    search = CrossValidator(estimator=base, estimatorParamMaps=maps, evaluator=judge, foldCol="fold",
-                            numFolds=folds, parallelism=parallelism)
-    fitted = search.fit(table)
+
+    def run(draw: Draw) -> None:
+        fold = len(draw.scores)
+        model = estimator(with_parameters(config, draw.point), task, weight, rows=rows).fit(table.where(F.col("fold") != fold))
+        draw.scores.append(judge.evaluate(model.transform(table.where(F.col("fold") == fold))))
+
+    racing = [Draw(point, folds) for point in draw_points(space, draws, seed)]
+    with ThreadPool(parallelism) as pool:
+        pool.map(run, racing)
+        racing.sort(key=lambda d: -d.mean)
+        while not racing[0].whole:
+            run(racing[0])
+        best = racing[0].mean
+        while waiting := [d for d in racing if not d.whole and d.bound >= best][:parallelism]:
+            pool.map(run, waiting)
+            best = max([best, *(d.mean for d in waiting if d.whole)])
     table.unpersist()
-    results = list(zip(chosen, fitted.avgMetrics))
-    return max(results, key=lambda r: r[1])[0], results
+    return sorted(racing, key=lambda d: (not d.whole, -d.mean))
 
 
 #: Names of Spark ML parameters that have a field of their own in the configuration.
@@ -226,11 +333,62 @@ def with_parameters(config: ModelConfig, point: dict) -> ModelConfig:
     return replace(config, **named, extra={**config.extra, **{k: v for k, v in point.items() if k not in FIELDS}})
 
 
-def search_and_fit(df: DataFrame, target: str, features: FeatureConfig, config: ModelConfig, space: dict[str, list],
-                   draws: int = 30, **options) -> tuple[DevelopabilityModel, list[tuple[dict, float]]]:
-    """Model of the best parameter set, fitted on all labelled rows, and the results of the search."""
-    best, results = random_search(df, target, features, config, space, draws, **options)
-    return DevelopabilityModel(features, with_parameters(config, best)).fit(df, target), results
+def search_and_fit(df: DataFrame, target: str, features: FeatureConfig, config: ModelConfig, space: dict,
+                   draws: int = 30, **options) -> tuple[DevelopabilityModel, list[Draw]]:
+    """Model of the best parameter set, fitted on all labelled rows, and the draws of the search, the best first."""
+    results = random_search(df, target, features, config, space, draws, **options)
+    return DevelopabilityModel(features, with_parameters(config, results[0].point)).fit(df, target), results
+
+
+#: Shares of rows with a Poisson(1) count of 0, of at most 1, of at most 2, ...
+POISSON = [sum(exp(-1) / factorial(j) for j in range(k + 1)) for k in range(12)]
+
+
+def bag_count(key: str, seed: int) -> Column:
+    """Poisson(1) number of times a row is in the bag of this seed, the same one for a key."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
+    return reduce(lambda a, b: a + b, [F.when(u >= int(p * 2 ** 32), 1).otherwise(0) for p in POISSON])
+
+
+def out_of_bag(df: DataFrame, target: str, features: FeatureConfig, config: ModelConfig, key: str = "barcode",
+               groups: int = 10, seed: int = 42) -> dict[str, DataFrame]:
+    """Out-of-bag predictions of a forest and their metrics.
+
+    The forest is grown in ``groups`` parts.  Each part has a bag of its own: a
+    hashed Poisson count per row, times the class weight, is its weight column.
+    Rows with count 0 are not in the bag and are scored by that part; ``bags``
+    counts the parts that score a row, ``prob`` is their mean, null if there
+    is none.
+    """
+    labelled = df.where(F.col(target).isNotNull()).withColumn("label", F.col(target).cast("double"))
+    task = detect_task(labelled, "label").first()["task"]
+    builder = FeatureBuilder(features).fit(labelled)
+    table = builder.transform(labelled)
+    weight = F.lit(1.0)
+    if task == "classification" and config.balanced:
+        table, weight = with_class_weight(table, "label"), F.col("weight")
+    counts = F.array(*[bag_count(key, seed + g) for g in range(groups)])
+    table = table.select(key, "features", "label", weight.alias("_w"), counts.alias("_counts")).persist()
+    parts = []
+    for g in range(groups):
+        trees = config.trees // groups + (g < config.trees % groups)
+        if not trees:
+            continue
+        part = replace(config, kind="random_forest", trees=trees, seed=config.seed + g, extra={**config.extra, "bootstrap": False})
+        bag = table.select("features", "label", (F.col("_w") * F.col("_counts")[g]).alias("_bag")).where("_bag > 0")
+        model = estimator(part, task, "_bag").fit(bag)
+        out = scored(model, table.where(F.col("_counts")[g] == 0), task, "p")
+        parts.append(out.select(key, (F.col("p") * trees).alias("p"), F.lit(trees).alias("n")))
+    votes = reduce(DataFrame.unionByName, parts).groupBy(key).agg((F.sum("p") / F.sum("n")).alias("prob"))
+    out = table.select(key, F.col("label").alias("true"), "_counts").join(votes, key, "left")
+    bags = F.size(F.filter("_counts", lambda c: c == 0)).cast("long")
+    preds = out.select(key, "true", bags.alias("bags"), "prob")
+    known = preds.where("prob is not null")
+    if task == "regression":
+        return {"predictions": preds, "metrics": regression_metrics(known, "true", "prob")}
+    areas = curve_areas(roc_points(known, "prob", "true")).select("auc_roc")
+    rows = preds.agg(F.count("*").alias("rows"), F.count("prob").alias("scored"))
+    return {"predictions": preds, "metrics": join_small(rows, areas, [])}
 
 
 def sample_size_curve(df: DataFrame, target: str, sizes: list[int], features: FeatureConfig, config: ModelConfig,

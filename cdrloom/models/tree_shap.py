@@ -120,8 +120,9 @@ def contributions(leaves: list[Leaf], points: np.ndarray, slot: dict[int, int])
             continue
         values = points[:, columns]
         known = (values > leaf.low) & (values <= leaf.high)
-        patterns, which = np.unique(known, axis=0, return_inverse=True)
-        out[:, columns] += shapley(leaf, patterns.astype(np.float64))[which.ravel()]
+        packed = known @ (1 << np.arange(len(columns)))  # a path holds few features
+        _, first, which = np.unique(packed, return_index=True, return_inverse=True)
+        out[:, columns] += shapley(leaf, known[first].astype(np.float64))[which]
     return out
 
 

@@ -110,7 +110,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--lm", default="biophysical", help="biophysical, kmer, onehot, or the tag of stored embeddings")
     parser.add_argument("--embeddings", help="wide CSV (BARCODE, 0..d-1), or table of barcode and embedding")
     parser.add_argument("--early-stopping", action="store_true")
-    parser.add_argument("--space", default="{}", help="search: JSON of parameter name to list of values")
+    parser.add_argument("--space", default="{}", help='search: JSON of parameter name to list of values or {"low", "high", "log"}')
     parser.add_argument("--draws", type=int, default=30)
     parser.add_argument("--sizes", type=int, nargs="*", default=[])
     parser.add_argument("--first", type=int, help="scan only the first antibodies, by barcode")
@@ -167,8 +167,8 @@ def main(argv: list[str] | None = None) -> None:
     elif a.verb == "search":
         model, results = search_and_fit(clustered(), a.target, config, model_config, json.loads(a.space), a.draws, group="cluster")
         need().save(model, a.target, a.lm, a.db)
-        rows = [(json.dumps(point), float(score)) for point, score in results]
-        tables.write_table(spark.createDataFrame(rows, "parameters string, score double"), out)
+        rows = [(json.dumps(r.point), float(r.mean), len(r.scores), r.whole) for r in results]
+        tables.write_table(spark.createDataFrame(rows, "parameters string, score double, folds int, whole boolean"), out)
     elif a.verb == "curve":
         tables.write_table(sample_size_curve(clustered(), a.target, a.sizes, config, model_config, "cluster"), out)
     elif a.verb == "importance":
@@ -204,7 +204,8 @@ def main(argv: list[str] | None = None) -> None:
         if len(assays) > 1:
             tables.write_table(correlation.correlation_matrix(merged, assays), f"{out}/matrix")
     elif a.verb == "expand":
-        previous = tables.load_previous(spark, a.previous)
+        previous, manifest = tables.load_previous(spark, a.previous)
+        tables.write_table(manifest, f"{out}/previous_files")
         leads = cut_lineage(expand_hits(tables.read_table(spark, a.input[0]), previous, a.mode, a.blosum, metric=a.metric))
         tables.write_table(leads, f"{out}/scored")
         tables.write_table(leads.where("selected"), f"{out}/leads")

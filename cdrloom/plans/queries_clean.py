@@ -7,7 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import cleaning as C, joins as J
+from ..operators import cleaning as C, joins as J, thresholds as H
 from ..operators.correlation import detect_score_columns
 from ..session import shared_folder
 from ..sources import tables as S
@@ -26,19 +26,59 @@ found AS (
   FROM (SELECT *, regexp_replace(upper(hseq), '[- ]', '', 'g') AS h FROM ab))"""
 
 
-@query("read_antibodies", f"WITH {ANTIBODIES_SQL} SELECT barcode, hseq, lseq, cdr3 FROM ab")
+@query("read_antibodies", f"WITH {ANTIBODIES_SQL} SELECT barcode, hseq, nullif(lseq, '') AS lseq, nullif(cdr3, '') AS cdr3, antigen FROM ab")
 def read_antibodies(spark, sf):
-    return C.require_columns(antibodies(spark, sf), ["barcode", "hseq", "lseq"]).select("barcode", "hseq", "lseq", "cdr3")
+    """All antibodies written as CSV under the usual upper-case names, then read."""
+    path = f"{shared_folder(spark, 'antibodies')}/ab.csv"
+    ab = antibodies(spark, sf).select(F.col("barcode").alias("BARCODE"), F.col("hseq").alias("HSEQ"), F.col("lseq").alias("LSEQ"), F.col("cdr3").alias("CDR3"), "antigen")
+    S.write_table(ab, path)
+    return S.read_antibodies(spark, path, target="antigen", need_cdr3=True)
+
+
+def wide_embeddings(spark, sf, folder):
+    """Embedding files of two models in the usual wide CSV form."""
+    dims = [F.get("embedding", F.lit(i)).alias(str(i)) for i in range(64)]
+    wide = embeddings(spark, sf).select(F.concat(F.lit(" "), "barcode").alias("BARCODE"), *dims)
+    for name in ("demo.first.emb.csv", "demo.second.emb.csv", "other.first.emb.csv"):
+        S.write_table(wide, f"{folder}/{name}")
 
 
 @query("read_embeddings", f"""WITH {EMBEDDINGS_SQL}
-SELECT barcode, 'demo' AS lm, len(embedding) AS dim, round(list_sum(embedding)::DOUBLE, 4) AS total FROM emb""")
+SELECT barcode, 'first' AS lm, len(embedding) AS dim, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM emb""")
 def read_embeddings(spark, sf):
+    folder = shared_folder(spark, "embeddings")
+    wide_embeddings(spark, sf, folder)
     total = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x)
-    return embeddings(spark, sf).select(
-        T.barcode_key(F.col("barcode")).alias("barcode"), F.lit("demo").alias("lm"),
-        F.size("embedding").alias("dim"), F.round(total, 4).alias("total"),
-    )
+    return S.read_embeddings(spark, f"{folder}/demo.first.emb.csv", "first").select("barcode", "lm", F.size("embedding").alias("dim"), F.round(total, 4).alias("total"))
+
+
+@query("discover_embeddings", """SELECT unnest(['first', 'second']) AS lm, count(*) AS n FROM embeddings""")
+def discover_embeddings(spark, sf):
+    """Every embedding file of one database is found and read under its model's name."""
+    folder = shared_folder(spark, "embeddings")
+    wide_embeddings(spark, sf, folder)
+    found = S.discover_embeddings(spark, folder, "demo").collect()
+    parts = [S.read_embeddings(spark, r["path"], r["lm"]).groupBy("lm").agg(F.count("*").alias("n")) for r in found]
+    return J.concat_rows(parts)
+
+
+@query("write_evaluation", f"""WITH {LABELLED_SQL} SELECT 'metrics' AS part, count(*) AS n, 0::BIGINT AS positives FROM (SELECT unnest(range(8)))
+UNION ALL SELECT 'predictions', count(*), count(*) FILTER (score >= 0.5) FROM lab UNION ALL SELECT 'summary', 1, 0""")
+def write_evaluation(spark, sf):
+    """The three tables of an evaluation, written and read again."""
+    folder = shared_folder(spark, "evaluation")
+    S.write_evaluation(H.evaluate(labelled(spark, sf), "score", "quality"), folder)
+    rows = {name: S.read_table(spark, f"{folder}/{name}") for name in ("metrics", "predictions", "summary")}
+    positives = {"predictions": F.count_if(F.col("score") >= 0.5)}
+    parts = [t.agg(F.count("*").alias("n"), positives.get(name, F.lit(0).cast("long")).alias("positives")).withColumn("part", F.lit(name)) for name, t in rows.items()]
+    return J.concat_rows(parts).select("part", "n", "positives")
+
+
+@query("write_fold_predictions", f"WITH {LABELLED_SQL} SELECT barcode, fold, quality AS true, round(score, 6) AS prob FROM lab")
+def write_fold_predictions(spark, sf):
+    folder = shared_folder(spark, "folds")
+    S.write_fold_predictions(labelled(spark, sf).select("barcode", "fold", F.col("quality").alias("true"), "score"), folder)
+    return S.read_table(spark, folder).select("barcode", "fold", "true", r6("score").alias("prob"))
 
 
 @query("normalize_barcode", f"""WITH {ANTIBODIES_SQL} SELECT barcode, trim('  ' || barcode || ' ') AS key FROM ab""")
@@ -189,7 +229,12 @@ def logit_score(spark, sf):
     return labelled(spark, sf).select("barcode", r6(T.logit(F.col("score"))).alias("logit"))
 
 
-@query("detect_score_columns")
+IN_RANGE = "min({c}) >= -0.01 AND max({c}) <= 1.01"
+
+
+@query("detect_score_columns", f"""WITH {LABELLED_SQL}, r AS (SELECT {IN_RANGE.format(c='score')} AS plain, {IN_RANGE.format(c='score * 3')} AS wide FROM lab)
+SELECT 'rf_demo_ab_score' AS score_col, 'rf' AS model FROM r WHERE plain UNION ALL SELECT 'xgb_wide_score', 'xgb' FROM r WHERE wide
+UNION ALL SELECT 'transformer_lm_demo_score', 'transformer_lm' FROM r WHERE plain""")
 def detect_scores(spark, sf):
     df = labelled(spark, sf).select(
         F.col("score").alias("rf_demo_ab_score"), (F.col("score") * 3).alias("xgb_wide_score"),
@@ -377,7 +422,26 @@ def load_previous(spark, sf):
     S.write_table(loops, f"{folder}/b.csv")
     S.write_table(loops.select(F.col("cdr3").alias("other")), f"{folder}/c.parquet")
     names = ("a.parquet", "b.csv", "c.parquet", "absent.csv")
-    return S.load_previous(spark, [os.path.join(folder, n) for n in names])
+    return S.load_previous(spark, [os.path.join(folder, n) for n in names])[0]
+
+
+@query("previous_manifest", f"""WITH {LABELLED_SQL}, {PREVIOUS_SQL}, n AS (SELECT count(*) AS n FROM prev)
+SELECT 'a' AS source, 'read' AS status, n AS rows, 0::BIGINT AS corrupt, '' AS missing FROM n UNION ALL SELECT 'b', 'read', n, count(*), '' FROM n, prev WHERE cdr3 LIKE '%A%' GROUP BY n
+UNION ALL SELECT 'c', 'missing columns', n, 0, 'cdr3' FROM n UNION ALL SELECT 'absent', 'unreadable', NULL, NULL, NULL""")
+def previous_manifest(spark, sf):
+    """What became of every file of earlier loops: rows read, rows that do not fit the header, columns that lack."""
+    folder = shared_folder(spark, "previous")
+    loops = previous(spark, sf)
+    S.write_table(loops, f"{folder}/a.parquet")
+    ragged = F.when(F.col("cdr3").contains("A"), F.concat("cdr3", F.lit(",more"))).otherwise(F.col("cdr3"))
+    loops.select(ragged.alias("value")).coalesce(1).write.text(f"{folder}/rows")
+    header = loops.limit(0).select(F.lit("cdr3").alias("value")).unionByName(spark.sql("SELECT 'cdr3' AS value"))
+    header.unionByName(spark.read.text(f"{folder}/rows")).coalesce(1).write.text(f"{folder}/b.csv")
+    S.write_table(loops.select(F.col("cdr3").alias("other")), f"{folder}/c.parquet")
+    _, manifest = S.load_previous(spark, [f"{folder}/{n}" for n in ("a.parquet", "b.csv", "c.parquet", "absent.csv")])
+    source = F.regexp_extract("file", r"/(a|b|c|absent)\.(?:parquet|csv)", 1)
+    out = manifest.groupBy(source.alias("source"), "status").agg(F.sum("rows").alias("rows"), F.sum("corrupt").alias("corrupt"), F.max(F.array_join("missing", ",")).alias("missing"))
+    return out.select("source", "status", "rows", "corrupt", "missing")
 
 
 @query("load_scored", f"""WITH {ASSAYS_SQL} SELECT 'rf_demo_score' AS score_col, count(*) AS n FROM assay

@@ -376,7 +376,10 @@ def valid_probability(scored, name="prob"):
 
 
 FOREST = M.ModelConfig("random_forest")
-SEARCH_SPACE = {"maxDepth": [2, 4, 6, 8, 10, 12], "numTrees": [10, 20, 50, 100, 150, 200]}  # 36 points, of which 30 are drawn
+SEARCH_SPACE = {
+    "maxDepth": M.Whole(2, 12), "numTrees": M.Whole(10, 150), "subsamplingRate": M.Between(0.6, 1.0), "minInstancesPerNode": M.Whole(1, 10),
+    "featureSubsetStrategy": M.OneOf(["sqrt", "log2", "onethird", "all"]), "minInfoGain": M.Between(0.0, 0.01), "maxBins": M.Whole(16, 64),
+}
 PROPERTIES = FeatureConfig(features=("length", "pi", "charge", "hydrophobicity", "R", "D", "W", "vh_charge", "vh_hydrophobicity"))
 
 
@@ -418,11 +421,27 @@ def cross_validate(spark, sf):
     return out.select("barcode", F.col("true").cast("int").alias("true"), (F.col("prob").between(0, 1) & F.col("fold").between(0, 9)).alias("valid"))
 
 
-@query("random_search")
+@query("random_search", """SELECT unnest(range(30)) AS draw, true AS inside, true AS judged, 1::BIGINT AS n_best, true AS stored""")
 def random_search(spark, sf):
+    """Thirty draws from ranges: each inside them and judged on a fold at least, one best, its model stored."""
     df = labelled(spark, sf).withColumn("cluster", F.col("doc_id"))
-    _, results = M.random_search(df, "quality", PROPERTIES, FOREST, SEARCH_SPACE, group="cluster")
-    return spark.createDataFrame([(p["maxDepth"], p["numTrees"], float(s)) for p, s in results], "depth int, trees int, auc double")
+    model, results = M.search_and_fit(df, "quality", PROPERTIES, FOREST, SEARCH_SPACE, group="cluster")
+    best = max(r.mean for r in results if r.whole)
+    inside = lambda p: all(d.holds(p[n]) for n, d in SEARCH_SPACE.items())
+    stored = M.with_parameters(FOREST, max((r for r in results if r.whole), key=lambda r: r.mean).point) == model.config
+    rows = [(k, inside(r.point), all(0 <= s <= 1 for s in r.scores) and len(r.scores) > 0 and (r.whole or r.bound < best)) for k, r in enumerate(results)]
+    n_best = sum(r.whole and r.mean == best for r in results[:1])
+    return spark.createDataFrame([(*row, n_best, stored) for row in rows], "draw long, inside boolean, judged boolean, n_best long, stored boolean")
+
+
+BAGS_SQL = "len(list_filter(range(10), lambda g: ('0x' || substr(md5(barcode || ':' || (42 + g)), 1, 8))::BIGINT < 1580030168))"
+
+
+@query("out_of_bag", f"""WITH {LABELLED_SQL} SELECT barcode, quality AS true, {BAGS_SQL} AS bags, {BAGS_SQL} > 0 AS scored FROM lab""")
+def out_of_bag(spark, sf):
+    """Per row the number of bags without it, and whether those have scored it."""
+    out = M.out_of_bag(labelled(spark, sf), "quality", PROPERTIES, FOREST)["predictions"]
+    return out.select("barcode", F.col("true").cast("int").alias("true"), "bags", F.coalesce(F.col("prob").between(0, 1), F.lit(False)).alias("scored"))
 
 
 @query("sample_size_curve", "SELECT unnest([200, 400]) AS sample_size, true AS valid")
@@ -446,10 +465,10 @@ def permutation_importance(spark, sf):
 @query("tree_contributions", f"""WITH {LABELLED_SQL} SELECT barcode, kind, 0.0::DOUBLE AS gap, 9 AS most_features FROM lab, (SELECT unnest(['random_forest', 'gradient_boosting']) AS kind)""")
 def tree_contributions(spark, sf):
     """Base value plus all contributions of a row against what the model itself returns."""
-    df = labelled(spark, sf)
+    df = labelled(spark, sf).withColumn("held", F.col("fold") == 0)
     parts = []
-    for config in (FOREST, M.ModelConfig("gradient_boosting")):
-        model = M.DevelopabilityModel(PROPERTIES, config).fit(df, "quality")
+    for config, validation in ((FOREST, None), (M.ModelConfig("gradient_boosting"), "held")):
+        model = M.DevelopabilityModel(PROPERTIES, config).fit(df, "quality", validation=validation)
         vectors = model.builder.transform(df).select("barcode", "features")
         found = tree_shap.tree_contributions(vectors, model.model, model.builder.feature_names, "barcode")
         total = F.aggregate("parts", F.col("base"), lambda s, p: s + p["value"])

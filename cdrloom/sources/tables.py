@@ -48,13 +48,13 @@ def read_embeddings(spark: SparkSession, path: str, lm: str, key: str = "BARCODE
 
 def lm_tag(file_name: Column) -> Column:
     """Model tag of ``{db}.{lm}.emb.csv``."""
-    return F.regexp_extract(file_name, r"\.([^./]+)\.emb\.csv$", 1)
+    return F.regexp_extract(file_name, r"\.([^./]+)\.emb\.csv(?:/[^/]*)?$", 1)
 
 
 def discover_embeddings(spark: SparkSession, folder: str, db: str) -> DataFrame:
-    """(path, lm) of every embedding file of a database."""
-    files = spark.read.format("binaryFile").load(f"{folder}/{db}.*.emb.csv").select("path")
-    return files.select("path", lm_tag(F.col("path")).alias("lm"))
+    """(path, lm) of every embedding file, or folder of part files, of a database."""
+    files = spark.read.format("binaryFile").load(f"{folder}/{db}.*.emb.csv").select("path", lm_tag(F.col("path")).alias("lm"))
+    return files.select(F.regexp_extract("path", r"^(.*\.emb\.csv)", 1).alias("path"), "lm").distinct()
 
 
 def write_table(df: DataFrame, path: str, mode: str = "errorifexists", partition_by: list[str] | None = None) -> None:
@@ -70,19 +70,55 @@ def write_table(df: DataFrame, path: str, mode: str = "errorifexists", partition
         raise ValueError(f"unsupported file type: {path}")
 
 
-def load_previous(spark: SparkSession, files: list[str], column: str = "cdr3") -> DataFrame:
-    """Distinct trimmed CDR3 of many files; unreadable ones or ones without the column are skipped."""
-    parts = []
-    for path in files:
+MANIFEST = "file string, status string, rows long, corrupt long, missing array<string>"
+_CORRUPT = "_corrupt_record"
+
+
+def _with_origin(spark: SparkSession, path: str) -> DataFrame:
+    """Table with ``_file`` and, of CSV rows that do not fit the header, ``_corrupt_record``."""
+    df = read_table(spark, path)
+    if not path.rstrip("/").lower().endswith(".csv"):
+        return df.select("*", F.col("_metadata.file_path").alias("_file"), F.lit(None).cast("string").alias(_CORRUPT))
+    schema = ", ".join(f"`{c}` string" for c in df.columns) + f", `{_CORRUPT}` string"
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
+    return reader.schema(schema).csv(path).select("*", F.col("_metadata.file_path").alias("_file"))
+
+
+def read_with_manifest(spark: SparkSession, paths: list[str], columns: list[str]) -> tuple[DataFrame | None, DataFrame]:
+    """Rows (``columns`` as strings) of all files that can be read, and the manifest: one row per input file.
+
+    ``status``: read, unreadable, or missing columns; ``rows`` that were read,
+    ``corrupt`` among them (kept, with what could be parsed), ``missing`` columns.
+    Files are read through once here, so damage inside a file shows in the
+    manifest and not in a later job.
+    """
+    parts, manifest = [], []
+    for path in paths:
         try:
-            df = read_table(spark, path)
-        except Exception:
+            df = _with_origin(spark, path)
+            missing = [c for c in columns if c not in df.columns]
+            seen = df.groupBy("_file").agg(F.count("*").alias("rows"), F.count_if(F.col(_CORRUPT).isNotNull()).alias("corrupt"))
+            if not missing:  # damage may stand in the column itself
+                seen = df.groupBy("_file").agg(
+                    F.count("*").alias("rows"), F.count_if(F.col(_CORRUPT).isNotNull()).alias("corrupt"),
+                    *[F.count(F.col(f"`{c}`")).alias(f"_n{i}") for i, c in enumerate(columns)])
+            files = [(r["_file"], r["rows"], r["corrupt"]) for r in seen.collect()]
+        except Exception:  # whatever a reader makes of a file that is absent, damaged or no table
+            manifest.append((path, "unreadable", None, None, None))
             continue
-        if column in df.columns:
-            parts.append(df.select(F.trim(F.col(column).cast("string")).alias("cdr3")).na.drop())
-    if not parts:
-        return spark.createDataFrame([], "cdr3 string")
-    return reduce(DataFrame.union, parts).distinct()
+        status = "missing columns" if missing else "read"
+        manifest += [(f, status, n, bad, missing) for f, n, bad in files or [(path, 0, 0)]]
+        if not missing:
+            parts.append(df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns]))
+    return reduce(DataFrame.unionByName, parts) if parts else None, spark.createDataFrame(manifest, MANIFEST)
+
+
+def load_previous(spark: SparkSession, files: list[str], column: str = "cdr3") -> tuple[DataFrame, DataFrame]:
+    """Distinct trimmed CDR3 of many files, and the manifest that tells which files were read, skipped and why."""
+    rows, manifest = read_with_manifest(spark, files, [column])
+    if rows is None:
+        return spark.createDataFrame([], "cdr3 string"), manifest
+    return rows.select(F.trim(F.col(column)).alias("cdr3")).na.drop().distinct(), manifest
 
 
 def load_scored(df: DataFrame, assays: list[str], min_rows: int = 5) -> dict[str, DataFrame]:

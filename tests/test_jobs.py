@@ -34,7 +34,7 @@ def run(folder, verb, *options, source="ab.parquet"):
 def test_train_search_and_score_with_all_models(spark, folder):
     run(folder, "train", "--model", "logistic_l1", "--lm", "kmer")
     run(folder, "train", "--model", "gradient_boosting", "--lm", "lm", "--embeddings", f"{folder}/db.lm.emb.csv", "--early-stopping")
-    found = run(folder, "search", "--space", '{"maxDepth": [2, 3], "numTrees": [5]}', "--draws", "2", "--cutoff", "0.9")
+    found = run(folder, "search", "--space", '{"maxDepth": [2, 3], "numTrees": {"low": 5, "high": 5}, "minInfoGain": {"low": 0.0, "high": 0.01}}', "--draws", "2", "--cutoff", "0.9")
     assert spark.read.parquet(found).count() == 2
     plain = spark.read.parquet(run(folder, "score", "--model", "all"))
     assert {"logistic_l1_kmer_db_score", "random_forest_biophysical_db_label"} <= set(plain.columns) and plain.count() == 160
@@ -55,3 +55,16 @@ def test_expand_modes(spark, folder, options):
     out = run(folder, "expand", *options, source="clones.parquet")
     scored = spark.read.parquet(f"{out}/scored")
     assert scored.count() == 160 and scored.where("score is null").isEmpty()
+    files = spark.read.parquet(f"{out}/previous_files")
+    assert files.count() == 0
+    out = run(folder, "expand", *options, "--previous", f"{folder}/clones.parquet", f"{folder}/absent.csv", source="clones.parquet")
+    files = {r["status"]: r for r in spark.read.parquet(f"{out}/previous_files").collect()}
+    assert set(files) == {"read", "unreadable"} and spark.read.parquet(f"{out}/leads").count() == 0
+
+
+def test_the_other_verbs_write_their_tables(spark, folder):
+    assert spark.read.parquet(run(folder, "annotate") + "/annotated").count() == 160
+    assert spark.read.parquet(run(folder, "split", "--cutoff", "0.9")).count() == 160
+    done = run(folder, "crossval", "--kfold", "2", "--cutoff", "0.9", "--model", "logistic_l1", "--lm", "kmer")
+    assert spark.read.parquet(f"{done}/folds").count() == 160 and spark.read.parquet(f"{done}/metrics").count() == 2
+    assert spark.read.parquet(run(folder, "curve", "--sizes", "80", "--cutoff", "0.9", "--model", "logistic_l1", "--lm", "kmer")).count() == 1
