@@ -15,7 +15,8 @@ from cdrloom.session import local_session
 HEADLINE = [
     "class_property_summary", "annotate_liabilities", "ensure_cdr3", "kmer_frequencies", "cdr3_mutants", "threshold_sweep",
     "curve_areas", "spearman", "correlation_matrix_pearson", "position_entropy", "enrichment_labels", "consolidate_clusters",
-    "position_stats", "threshold_report", "box_stats", "score_kde", "group_stratified_folds",
+    "position_stats", "threshold_report", "box_stats", "score_kde", "group_stratified_folds", "similarity_join", "max_blosum_similarity",
+    "greedy_cluster",
 ]
 WARM = "/root/testdata/sf0.001"
 

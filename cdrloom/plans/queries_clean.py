@@ -233,7 +233,7 @@ IN_RANGE = "min({c}) >= -0.01 AND max({c}) <= 1.01"
 
 
 @query("detect_score_columns", f"""WITH {LABELLED_SQL}, r AS (SELECT {IN_RANGE.format(c='score')} AS plain, {IN_RANGE.format(c='score * 3')} AS wide FROM lab)
-SELECT 'rf_demo_ab_score' AS score_col, 'rf' AS model FROM r WHERE plain UNION ALL SELECT 'xgb_wide_score', 'xgb' FROM r WHERE wide
+SELECT 'rf_demo_ab_score' AS score_col, 'random_forest' AS model FROM r WHERE plain UNION ALL SELECT 'xgb_wide_score', 'xgboost' FROM r WHERE wide
 UNION ALL SELECT 'transformer_lm_demo_score', 'transformer_lm' FROM r WHERE plain""")
 def detect_scores(spark, sf):
     df = labelled(spark, sf).select(

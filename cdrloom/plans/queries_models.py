@@ -377,7 +377,7 @@ def valid_probability(scored, name="prob"):
 
 FOREST = M.ModelConfig("random_forest")
 SEARCH_SPACE = {
-    "maxDepth": M.Whole(2, 12), "numTrees": M.Whole(10, 150), "subsamplingRate": M.Between(0.6, 1.0), "minInstancesPerNode": M.Whole(1, 10),
+    "maxDepth": M.Whole(2, 12), "numTrees": M.Whole(10, 60), "subsamplingRate": M.Between(0.6, 1.0), "minInstancesPerNode": M.Whole(1, 10),
     "featureSubsetStrategy": M.OneOf(["sqrt", "log2", "onethird", "all"]), "minInfoGain": M.Between(0.0, 0.01), "maxBins": M.Whole(16, 64),
 }
 PROPERTIES = FeatureConfig(features=("length", "pi", "charge", "hydrophobicity", "R", "D", "W", "vh_charge", "vh_hydrophobicity"))
