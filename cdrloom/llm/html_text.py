@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 
 from .flat import in_arrow, keyed, text_slices
 
+FOREIGN = frozenset({"svg", "math"})  # where a start tag may end itself
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("head script style template title iframe object audio video canvas svg math datalist".split())
 RAW = frozenset("script style textarea title xmp iframe".split())
@@ -52,6 +54,10 @@ CLOSES = {
 }
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>""")
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"']+)))?""")
+#: Elements that may stand in a head; any other start tag ends it.
+HEAD_CONTENT = frozenset("base basefont bgsound link meta noscript script style template title".split())
+#: Characters up to which cells of a column are padded; longer lines stand as they are.
+PADDED = 120
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 
@@ -63,14 +69,35 @@ class Node:
         self.tag, self.attributes, self.children = tag, attributes, []
 
 
+class Stack(list):
+    """Open elements, with the number of open ones per tag."""
+
+    def __init__(self, root: Node):
+        super().__init__([root])
+        self.open: Counter[str] = Counter()
+
+    def push(self, node: Node) -> None:
+        self.open[node.tag] += 1
+        self.append(node)
+
+    def cut(self, k: int) -> None:
+        self.open.subtract(node.tag for node in self[k:])
+        del self[k:]
+
+    def holds(self, tags: frozenset[str]) -> bool:
+        return any(self.open[t] > 0 for t in tags)
+
+
 def build(page: str) -> Node:
     """Tree of a page; children are nodes and strings with entities resolved."""
     root = Node("", {})
-    stack = [root]
+    stack = Stack(root)
     at, last = 0, page.rfind(">")
 
     def text(raw: str) -> None:
         if raw:
+            if stack[-1].tag == "head" and raw.strip():
+                stack.cut(len(stack) - 1)
             stack[-1].children.append(html.unescape(raw))
 
     while at < len(page):
@@ -96,6 +123,8 @@ def build(page: str) -> Node:
         if end:
             _close(stack, tag)
             continue
+        if stack[-1].tag == "head" and tag not in HEAD_CONTENT:
+            stack.cut(len(stack) - 1)
         _imply(stack, tag)
         node = Node(tag, {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(rest)} if rest.strip(" /") else {})
         stack[-1].children.append(node)
@@ -104,40 +133,42 @@ def build(page: str) -> Node:
             raw = page[at:stop.start() if stop else len(page)]
             node.children.append(html.unescape(raw) if tag in ("textarea", "title") else raw)
             at = len(page) if not stop else page.find(">", stop.start()) + 1 or len(page)
-        elif tag not in VOID:
-            stack.append(node)
+        elif tag not in VOID and not (rest.endswith("/") and (tag in FOREIGN or stack.holds(FOREIGN))):
+            stack.push(node)
     return root
 
 
-def _imply(stack: list[Node], tag: str) -> None:
+def _imply(stack: Stack, tag: str) -> None:
     """Close what the start tag ends; open the row a cell needs."""
-    if tag in CLOSES:
+    if tag in CLOSES and stack.holds(CLOSES[tag][0]):
         ends, stops = CLOSES[tag]
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in stops:
                 break
             if stack[k].tag in ends:
-                del stack[k:]
+                stack.cut(k)
                 if tag not in ("tr", "td", "th", "thead", "tbody", "tfoot", "li", "dt", "dd"):
                     break
             elif stack[k].tag in BLOCKS and tag not in ("li", "dt", "dd", "tr", "td", "th"):
                 break
     if tag in HEADINGS and stack[-1].tag in HEADINGS:
-        stack.pop()
+        stack.cut(len(stack) - 1)
     if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
         row = Node("tr", {})
         stack[-1].children.append(row)
-        stack.append(row)
+        stack.push(row)
 
 
-def _close(stack: list[Node], tag: str) -> None:
+def _close(stack: Stack, tag: str) -> None:
     if tag == "br":
         stack[-1].children.append(Node("br", {}))
         return
+    if stack.open[tag] <= 0:
+        return
     stops = {"table"} if tag in ("tr", "td", "th", "thead", "tbody", "tfoot") else {"td", "th", "caption"} if tag != "table" else set()
     for k in range(len(stack) - 1, 0, -1):
         if stack[k].tag == tag:
-            del stack[k:]
+            stack.cut(k)
             return
         if stack[k].tag in stops:
             return
@@ -221,7 +252,7 @@ def _grid(rows: list[list[tuple[list[str], int]]]) -> list[str]:
         for lines, span in row:
             widths += [0] * (at + span - len(widths))
             if span == 1:
-                widths[at] = max([widths[at], *map(len, lines)])
+                widths[at] = max([widths[at], *(min(PADDED, len(line)) for line in lines)])
             at += span
     out = []
     for row in rows:

@@ -127,3 +127,23 @@ def test_repeated_rows_lose_no_neighbours(spark, vectors):
         own = found[found.query_id == q].sort_values("rank")
         assert own.vec_id.nunique() == 5 and own["rank"].tolist() == [1, 2, 3, 4, 5]
         assert own.vec_id.tolist() == best
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<head><title>t</title><p>text", "text"),
+    ("<head><title>t</title> words <b>on</b>", "words on"),
+    ("<p>a <svg/> b</p>", "a b"),
+    ("<p>a <svg><path d='x'/><g/></svg> b</p>", "a b"),
+])
+def test_text_behind_heads_and_pictures_is_kept(page, text):
+    assert render(page) == text
+
+
+def test_odd_long_pages_take_linear_time_and_space():
+    import time
+
+    start = time.time()
+    assert render("<b>" * 8000 + "x" + "</i>" * 8000) == "x"
+    wide = render("<table><tr><td>" + "w" * 40000 + "<td>b</tr>" + "<tr><td>a<td>b</tr>" * 2000 + "</table>")
+    assert len(wide) < 500_000 and wide.count("\n") == 2000 and "w" * 40000 in wide
+    assert time.time() - start < 5
