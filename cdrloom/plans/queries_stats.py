@@ -16,6 +16,26 @@ def rounded(df, cols, digits=6):
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
 
+TAIL_STEPS = 4000
+
+
+def tail_sql(t: str, dof: str) -> str:
+    """Two-sided Student tail by Simpson's rule over the angle: 2 / B(dof/2, 1/2) times the integral of cos^(dof-1)."""
+    start, width = f"atan(abs({t}) / sqrt({dof}))", f"((pi() / 2 - atan(abs({t}) / sqrt({dof}))) / {TAIL_STEPS})"
+    weight = f"CASE WHEN k = 0 OR k = {TAIL_STEPS} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+    points = f"list_sum(list_transform(range({TAIL_STEPS + 1}), lambda k: ({weight}) * power(greatest(cos({start} + k * {width}), 0), ({dof}) - 1)))"
+    return f"(2 * exp(lgamma((({dof}) + 1) / 2.0) - lgamma(({dof}) / 2.0) - lgamma(0.5)) * {width} / 3 * {points})"
+
+
+def corr_tail_sql(r: str, n: str) -> str:
+    """Two-sided p of a correlation of n pairs."""
+    return f"CASE WHEN abs({r}) >= 1 THEN 0 ELSE {tail_sql(f'({r} * sqrt(({n} - 2) / (1 - {r} * {r})))', f'({n} - 2)')} END"
+
+
+def stars_sql(p: str) -> str:
+    return f"CASE WHEN {p} < 0.001 THEN '***' WHEN {p} < 0.01 THEN '**' WHEN {p} < 0.05 THEN '*' ELSE 'ns' END"
+
+
 # --- ordered primitives ----------------------------------------------------
 
 @query("average_ranks", f"""WITH {LABELLED_SQL}, r AS (SELECT score, rank() OVER (ORDER BY score) AS lo, count(*) OVER (PARTITION BY score) AS n FROM lab)
@@ -180,26 +200,29 @@ def box_stats(spark, sf):
 
 
 @query("welch_ttest", f"""WITH {ASSAYS_SQL}, l AS ({LONG_ASSAY_SQL}), s AS (SELECT assay, count(*) FILTER (quality = 1) AS n1, count(*) FILTER (quality = 0) AS n2,
-  avg(v) FILTER (quality = 1) AS m1, avg(v) FILTER (quality = 0) AS m2, var_samp(v) FILTER (quality = 1) AS v1, var_samp(v) FILTER (quality = 0) AS v2 FROM l GROUP BY 1)
-SELECT assay, n1, n2, round(m1, 6) AS m1, round(m2, 6) AS m2, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 6) AS t,
-  round(power(v1 / n1 + v2 / n2, 2) / (power(v1 / n1, 2) / (n1 - 1) + power(v2 / n2, 2) / (n2 - 1)), 4) AS dof FROM s""")
+  avg(v) FILTER (quality = 1) AS m1, avg(v) FILTER (quality = 0) AS m2, var_samp(v) FILTER (quality = 1) AS v1, var_samp(v) FILTER (quality = 0) AS v2 FROM l GROUP BY 1),
+w AS (SELECT *, (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t, power(v1 / n1 + v2 / n2, 2) / (power(v1 / n1, 2) / (n1 - 1) + power(v2 / n2, 2) / (n2 - 1)) AS dof FROM s),
+p AS (SELECT *, {tail_sql("t", "dof")} AS p FROM w)
+SELECT assay, n1, n2, round(m1, 6) AS m1, round(m2, 6) AS m2, round(t, 6) AS t, round(dof, 4) AS dof, round(p, 6) AS p_value, {stars_sql("p")} AS significance FROM p""")
 def welch_ttest(spark, sf):
     long = assays(spark, sf).select("quality", F.explode(F.array(*[
         F.struct(F.lit(c).alias("assay"), F.col(c).alias("v")) for c in ASSAY_COLS])).alias("p")).select("quality", "p.*")
-    out = S.welch_ttest(long, "v", "quality", 1, 0, ["assay"]).select("assay", "n1", "n2", "m1", "m2", "t", "dof")
-    return rounded(out, ["m1", "m2", "t"]).withColumn("dof", F.round("dof", 4))
+    out = S.welch_ttest(long, "v", "quality", 1, 0, ["assay"]).select("assay", "n1", "n2", "m1", "m2", "t", "dof", "p_value", "significance")
+    return rounded(out, ["m1", "m2", "t", "p_value"]).withColumn("dof", F.round("dof", 4))
 
 
-@query("pearson", f"WITH {ASSAYS_SQL} SELECT count(*) AS n, round(corr(score, psr_norm_avidin), 6) AS pearson FROM assay WHERE psr_norm_avidin IS NOT NULL")
+@query("pearson", f"""WITH {ASSAYS_SQL}, r AS (SELECT count(*) AS n, corr(score, psr_norm_avidin) AS r FROM assay WHERE psr_norm_avidin IS NOT NULL)
+SELECT n, round(r, 6) AS pearson, round({corr_tail_sql("r", "n")}, 6) AS pearson_p FROM r""")
 def pearson(spark, sf):
-    return rounded(R.pearson(assays(spark, sf), "score", "psr_norm_avidin").select("n", "pearson"), ["pearson"])
+    return rounded(R.pearson(assays(spark, sf), "score", "psr_norm_avidin").select("n", "pearson", "pearson_p"), ["pearson", "pearson_p"])
 
 
 @query("spearman", f"""WITH {ASSAYS_SQL}, k AS (SELECT score AS x, psr_norm_avidin AS y FROM assay WHERE psr_norm_avidin IS NOT NULL),
-r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM k)
-SELECT count(*) AS n, round(corr(rx, ry), 6) AS spearman FROM r""")
+r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM k),
+c AS (SELECT count(*) AS n, corr(rx, ry) AS rho FROM r)
+SELECT n, round(rho, 6) AS spearman, round({corr_tail_sql("rho", "n")}, 6) AS spearman_p FROM c""")
 def spearman(spark, sf):
-    return rounded(R.spearman(assays(spark, sf), "score", "psr_norm_avidin").select("n", "spearman"), ["spearman"])
+    return rounded(R.spearman(assays(spark, sf), "score", "psr_norm_avidin").select("n", "spearman", "spearman_p"), ["spearman", "spearman_p"])
 
 
 PAIRS_SQL = " UNION ALL ".join(
@@ -215,11 +238,17 @@ def scored_assays(spark, sf):
     return assays(spark, sf).withColumn("toxic_score", F.col("score") * (1 - F.col("toxic")))
 
 
-@query("score_assay_correlations", CORRELATED_SQL + """
-SELECT score_col, assay_col, count(*) AS n, round(corr(rx, ry), 4) AS spearman_rho, round(corr(x, y), 4) AS pearson_r FROM r GROUP BY 1, 2 HAVING count(*) >= 5""")
+BOTH_TAILS_SQL = (f"n, round(rho, 4) AS spearman_rho, round({corr_tail_sql('rho', 'n')}, 4) AS spearman_p, {stars_sql(corr_tail_sql('rho', 'n'))} AS significance, "
+                  f"round(lin, 4) AS pearson_r, round({corr_tail_sql('lin', 'n')}, 4) AS pearson_p FROM c")
+BOTH_TAILS = ["n", "spearman_rho", "spearman_p", "significance", "pearson_r", "pearson_p"]
+BOTH_FIGURES = ["spearman_rho", "spearman_p", "pearson_r", "pearson_p"]
+
+
+@query("score_assay_correlations", CORRELATED_SQL + f""", c AS (SELECT score_col, assay_col, count(*) AS n, corr(rx, ry) AS rho, corr(x, y) AS lin FROM r GROUP BY 1, 2 HAVING count(*) >= 5)
+SELECT score_col, assay_col, {BOTH_TAILS_SQL}""")
 def score_assay_correlations(spark, sf):
     out = R.score_assay_correlations(scored_assays(spark, sf), ["score", "toxic_score"], list(ASSAY_COLS))
-    return rounded(out.select("score_col", "assay_col", "n", "spearman_rho", "pearson_r"), ["spearman_rho", "pearson_r"], 4)
+    return rounded(out.select("score_col", "assay_col", *BOTH_TAILS), BOTH_FIGURES, 4)
 
 
 @query("correlations_over_files", f"""WITH {ASSAYS_SQL},
@@ -229,13 +258,14 @@ l AS (SELECT 'first.csv' AS file, 'rf_demo_ab_score' AS score_col, 'psr_norm_dna
   UNION ALL SELECT 'second.csv', 'xgb_demo_score', 'psr_norm_dna', toxic_score, psr_norm_dna FROM k
   UNION ALL SELECT 'second.csv', 'xgb_demo_score', 'psr_norm_avidin', toxic_score, psr_norm_avidin FROM k),
 r AS (SELECT *, rank() OVER (PARTITION BY score_col, assay_col ORDER BY x) + (count(*) OVER (PARTITION BY score_col, assay_col, x) - 1) / 2.0 AS rx,
-  rank() OVER (PARTITION BY score_col, assay_col ORDER BY y) + (count(*) OVER (PARTITION BY score_col, assay_col, y) - 1) / 2.0 AS ry FROM l)
-SELECT file, score_col, assay_col, count(*) AS n, round(corr(rx, ry), 4) AS spearman_rho, round(corr(x, y), 4) AS pearson_r FROM r GROUP BY 1, 2, 3""")
+  rank() OVER (PARTITION BY score_col, assay_col ORDER BY y) + (count(*) OVER (PARTITION BY score_col, assay_col, y) - 1) / 2.0 AS ry FROM l),
+c AS (SELECT file, score_col, assay_col, count(*) AS n, corr(rx, ry) AS rho, corr(x, y) AS lin FROM r GROUP BY 1, 2, 3)
+SELECT file, score_col, assay_col, {BOTH_TAILS_SQL}""")
 def correlations_over_files(spark, sf):
     df = scored_assays(spark, sf).withColumnsRenamed({"score": "rf_demo_ab_score", "toxic_score": "xgb_demo_score"})
     first = df.drop("xgb_demo_score")
     out = R.correlations_over_files({"first.csv": first, "second.csv": df}, ["PSR_NORM_DNA", "psr_norm_avidin"])
-    return rounded(out.select("file", "score_col", "assay_col", "n", "spearman_rho", "pearson_r"), ["spearman_rho", "pearson_r"], 4)
+    return rounded(out.select("file", "score_col", "assay_col", *BOTH_TAILS), BOTH_FIGURES, 4)
 
 
 COMPLETE_SQL = f"k AS (SELECT * FROM assay WHERE psr_norm_insulin IS NOT NULL AND psr_norm_dna IS NOT NULL AND psr_norm_smp IS NOT NULL AND psr_norm_avidin IS NOT NULL)"
@@ -325,18 +355,21 @@ def bucket_means(spark, sf):
 
 @query("bucket_ttest", f"""WITH {CURVE_SQL}, b AS (SELECT CASE WHEN sample_size <= 3000 THEN 'low' WHEN sample_size <= 9000 THEN 'mid' ELSE 'high' END AS bucket, auc AS v FROM curve),
 s AS (SELECT count(*) FILTER (bucket = 'low') AS n1, count(*) FILTER (bucket = 'mid') AS n2, avg(v) FILTER (bucket = 'low') AS m1, avg(v) FILTER (bucket = 'mid') AS m2,
-  var_samp(v) FILTER (bucket = 'low') AS v1, var_samp(v) FILTER (bucket = 'mid') AS v2 FROM b)
-SELECT n1, n2, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 6) AS t FROM s""")
+  var_samp(v) FILTER (bucket = 'low') AS v1, var_samp(v) FILTER (bucket = 'mid') AS v2 FROM b),
+w AS (SELECT n1, n2, (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t, power(v1 / n1 + v2 / n2, 2) / (power(v1 / n1, 2) / (n1 - 1) + power(v2 / n2, 2) / (n2 - 1)) AS dof FROM s)
+SELECT n1, n2, round(t, 6) AS t, round(dof, 4) AS dof, round({tail_sql("t", "dof")}, 6) AS p_value, {stars_sql(tail_sql("t", "dof"))} AS significance FROM w""")
 def bucket_ttest(spark, sf):
     df = curve(spark, sf).withColumn("bucket", S.size_bucket(F.col("sample_size"), 3000, 9000))
-    return rounded(S.welch_ttest(df, "auc", "bucket", "low", "mid").select("n1", "n2", "t"), ["t"])
+    out = S.welch_ttest(df, "auc", "bucket", "low", "mid").select("n1", "n2", "t", "dof", "p_value", "significance")
+    return rounded(out, ["t", "p_value"]).withColumn("dof", F.round("dof", 4))
 
 
-@query("scaling_linear", f"""WITH {CURVE_SQL}, l AS (SELECT 'auc' AS metric, sample_size AS x, auc AS y FROM curve UNION ALL SELECT 'recall', sample_size, recall FROM curve)
-SELECT metric, count(*) AS n, round(regr_slope(y, x), 12) AS slope, round(regr_intercept(y, x), 6) AS intercept, round(regr_r2(y, x), 6) AS r_squared FROM l GROUP BY 1""")
+@query("scaling_linear", f"""WITH {CURVE_SQL}, l AS (SELECT 'auc' AS metric, sample_size AS x, auc AS y FROM curve UNION ALL SELECT 'recall', sample_size, recall FROM curve), f AS (SELECT metric, count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS icpt, regr_r2(y, x) AS r2, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy FROM l GROUP BY 1),
+t AS (SELECT *, slope / sqrt((1 - r2) * syy / (n - 2) / sxx) AS t FROM f), p AS (SELECT *, {tail_sql("t", "(n - 2)")} AS p FROM t)
+SELECT metric, n, round(slope, 12) AS slope, round(icpt, 6) AS intercept, round(r2, 6) AS r_squared, round(t, 4) AS t, round(p, 6) AS p_value, slope > 0 AND p < 0.05 AS positive_scaling FROM p""")
 def scaling_linear(spark, sf):
-    out = S.scaling_linear(curve(spark, sf), "sample_size", ["auc", "recall"]).select("metric", "n", "slope", "intercept", "r_squared")
-    return rounded(out, ["intercept", "r_squared"]).withColumn("slope", F.round("slope", 12))
+    out = S.scaling_linear(curve(spark, sf), "sample_size", ["auc", "recall"])
+    return rounded(out, ["intercept", "r_squared", "p_value"]).withColumns({"slope": F.round("slope", 12), "t": F.round("t", 4)})
 
 
 @query("scaling_quadratic", f"""WITH {CURVE_SQL},
