@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -74,13 +75,51 @@ def blosum_distance_same_len(spark, sf):
     return pairs.select("barcode", V.same_length_distance(F.col("a"), F.col("b")).alias("distance"))
 
 
-@query("blosum_global_distance")
+def alignment_sql(source: str, key: str, matrix: str, unknown: int, gap_open: int, gap_extend: int) -> str:
+    """CTE ``aligned`` (key, a, b, score): global alignments with affine gaps of the pairs (key, a, b) of ``source``.
+
+    Cells are filled one anti-diagonal at a time; h0 and h1 are the last two diagonals, f and e the best
+    scores that end in a gap in b or in a, all by the place in b.
+    """
+    cells = K.triangle(matrix)
+    letters = [chr(65 + i) for i in range(26)]
+    score = "[" + ", ".join(str(cells.get((x, y), unknown)) for x in letters for y in letters) + "]"
+    gap = lambda n: f"({gap_open} + ({n} - 1) * ({gap_extend}))"
+    low, i = -1000000, "(d + 1 - j)"
+    match = f"h0[j] + {score}[(ascii(substr(a, {i}, 1)) - 65) * 26 + ascii(substr(b, j, 1)) - 64]"
+    inside = f"{i} >= 1 AND {i} <= length(a)"
+    down = f"CASE WHEN j >= 1 AND {inside} THEN greatest(h1[j + 1] + ({gap_open}), f[j + 1] + ({gap_extend})) ELSE {low} END"
+    right = f"CASE WHEN j >= 1 AND {inside} THEN greatest(h1[j] + ({gap_open}), e[j] + ({gap_extend})) ELSE {low} END"
+    best = (f"CASE WHEN {i} < 0 OR {i} > length(a) THEN {low} WHEN j = 0 THEN {gap(i)} WHEN {i} = 0 THEN {gap('j')} "
+            f"ELSE greatest({match}, {down}, {right}) END")
+    over = lambda x: f"list_transform(range(length(b) + 1), lambda j: {x})"
+    return f"""walk AS (SELECT {key}, a, b, 0::BIGINT AS d, {over(f'{low}')} AS h0, {over(f'CASE WHEN j = 0 THEN 0 ELSE {low} END')} AS h1, {over(f'{low}')} AS f, {over(f'{low}')} AS e FROM {source}
+  UNION ALL SELECT {key}, a, b, d + 1, h1, {over(best)}, {over(down)}, {over(right)} FROM walk WHERE d < length(a) + length(b)),
+aligned AS (SELECT {key}, a, b, h1[length(b) + 1] AS score FROM walk WHERE d = length(a) + length(b))"""
+
+
+@query("blosum_global_distance", f"""WITH RECURSIVE {ANTIBODIES_SQL}, {NEIGHBOUR_SQL}, filled AS (SELECT * FROM pairs WHERE a <> '' AND b <> ''),
+{alignment_sql('filled', 'barcode', K.BLOSUM62, -4, -10, -1)}
+SELECT barcode, round((4 * least(length(a), length(b)) - score) / (4.0::DOUBLE * least(length(a), length(b))), 6) AS distance FROM aligned""")
 def blosum_global_distance(spark, sf):
     pairs = neighbours(spark, sf).where("a <> '' and b <> ''").select("barcode", F.col("a").alias("seq_a"), F.col("b").alias("seq_b"))
     return S.with_global_distance(pairs).select("barcode", r6("distance").alias("distance"))
 
 
-@query("pam30_loop_pairs")
+PAM30_SELF = {x: v for (x, y), v in K.triangle(K.PAM30).items() if x == y}
+PAM30_OWN_SQL = "(" + " + ".join(f"(length(seq) - length(replace(seq, '{x}', ''))) * {v}" for x, v in PAM30_SELF.items()) + ")"
+#: Every edit costs a pair at least this much against the mean of both self scores: a swap, or half a residue and a gap step.
+PAM30_EDIT = min(min((PAM30_SELF[x] + PAM30_SELF[y]) / 2 - v for (x, y), v in K.triangle(K.PAM30).items() if x != y), min(PAM30_SELF.values()) / 2 + 1)
+
+
+@query("pam30_loop_pairs", f"""WITH RECURSIVE {ANTIBODIES_SQL}, {LOOPS_SQL},
+full_loops AS (SELECT id, CASE WHEN length(seq) < 5 THEN repeat('C', 37) ELSE seq END AS seq FROM loops),
+texts AS (SELECT min(id) AS id, substr(seq, 3, length(seq) - 4) AS seq FROM full_loops GROUP BY 2),
+able AS MATERIALIZED (SELECT id, seq, {PAM30_OWN_SQL} AS own FROM texts WHERE {PAM30_OWN_SQL} >= 75),
+near AS MATERIALIZED (SELECT least(x.id, y.id) || '/' || greatest(x.id, y.id) AS pair, least(x.id, y.id) AS ida, greatest(x.id, y.id) AS idb, x.seq AS a, y.seq AS b FROM able x JOIN able y
+  ON x.id < y.id AND levenshtein(x.seq, y.seq) <= ((x.own + y.own) / 2.0 - 75) / {PAM30_EDIT}),
+{alignment_sql('near', 'pair, ida, idb', K.PAM30, -17, -9, -1)}
+SELECT ida AS a, idb AS b, CAST(score AS INTEGER) AS score FROM aligned WHERE score >= 75""")
 def pam30_loop_pairs(spark, sf):
     texts = loops(spark, sf).select("id", S.loop_text(F.col("seq")).alias("seq")).groupBy("seq").agg(F.min("id").alias("id"))
     return S.loop_score_pairs(texts, 75).select("a", "b", "score")
@@ -488,6 +527,20 @@ def linear_contributions(spark, sf):
     return explain.attribution_ranking(parts, "feature", "value", 10)
 
 
+@query("linear_contribution_sums", f"""WITH {LABELLED_SQL} SELECT barcode, 20 AS n_features, 0.0::DOUBLE AS gap FROM lab""")
+def linear_contribution_sums(spark, sf):
+    """Contributions of a row plus the mean margin of all rows against the margin that the model returns."""
+    df = labelled(spark, sf)
+    features = FeatureConfig(kmer=True, biophysical=False, kmer_k=(1,))
+    model = M.DevelopabilityModel(features, M.ModelConfig("logistic_l1")).fit(df, "quality")
+    vectors = cut_lineage(model.builder.transform(df).select("barcode", "features"))
+    parts = explain.linear_contributions(vectors, model.model, model.builder.feature_names, "barcode", model.builder.interpretable)
+    sums = parts.groupBy("barcode").agg(F.count("*").cast("int").alias("n_features"), F.sum("value").alias("total"))
+    margins = cut_lineage(model.model.transform(vectors).select("barcode", F.get(vector_to_array("rawPrediction"), F.lit(1)).alias("margin")))
+    whole = join_small(margins.join(sums, "barcode"), margins.agg(F.avg("margin").alias("base")), [])
+    return whole.select("barcode", "n_features", F.abs(F.round(F.col("total") + F.col("base") - F.col("margin"), 6)).alias("gap"))
+
+
 ATTRIBUTION_SQL = """att AS (SELECT barcode, i AS pos, substr(cdr3, i::BIGINT, 1) AS feature, ((doc_id * 17 + i * 31) % 200 - 100) / 100 AS value
   FROM (SELECT *, unnest(range(1, length(cdr3) + 1)) AS i FROM lab))"""
 

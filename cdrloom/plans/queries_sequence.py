@@ -9,6 +9,7 @@ from ..functions import sequence as S, text as T, vectors as V
 from ..models.embedding import embed_sequences, hashed_kmer_model
 from ..operators import annotation as A, features as X
 from ..operators.statistics import class_density
+from ..session import cut_lineage
 from .catalog import query
 from .inputs import ANTIBODIES_SQL, ASSAYS_SQL, EMBEDDINGS_SQL, LABELLED_SQL, antibodies, assays, embeddings, labelled, r6, table
 
@@ -352,15 +353,35 @@ def two_branch_encoding(spark, sf):
                       size("cdr3_features").alias("cdr3_size"), n("cdr3_features").alias("cdr3_set"))
 
 
-@query("feature_builder")
+BUILT_SQL = f"""bi AS (SELECT ab.*, embedding FROM ab JOIN emb USING (barcode)), txt AS (SELECT barcode, cdr3 AS t FROM bi),
+kw AS ({KMER_SQL.format(k=1)} UNION ALL {KMER_SQL.format(k=2)}),
+parts AS (SELECT barcode, {FIVE_COUNTS} FROM bi WHERE cdr3 <> ''), {sql_halving('parts', FEATURE_PI_SQL, 0, 14, 7, 60)},
+plain AS (SELECT barcode, 'cdr3_length' AS feature, length(cdr3)::DOUBLE AS value FROM bi
+  UNION ALL SELECT barcode, 'cdr3_pi', round(ph, 3) FROM solved
+  UNION ALL SELECT barcode, 'cdr3_charge', round({sql_scale('cdr3', FEATURE_CHARGE)}, 4) FROM bi
+  UNION ALL SELECT barcode, 'cdr3_hydrophobicity', round({sql_mean('cdr3', K.KYTE_DOOLITTLE)}, 4) FROM bi
+  UNION ALL SELECT barcode, 'cdr3_R', {sql_count('cdr3', 'R')} FROM bi UNION ALL SELECT barcode, 'cdr3_D', {sql_count('cdr3', 'D')} FROM bi UNION ALL SELECT barcode, 'cdr3_W', {sql_count('cdr3', 'W')} FROM bi),
+letters_at AS (SELECT barcode, prefix || '_' || i || '_' || substr(s, i::BIGINT, 1) AS feature FROM (
+  SELECT barcode, prefix, s, unnest(range(1, length(s) + 1)) AS i FROM (SELECT barcode, 'oh_vh' AS prefix, hseq AS s FROM bi UNION ALL SELECT barcode, 'oh_vl', lseq FROM bi))),
+built AS (SELECT barcode, 'emb_' || (i - 1) AS feature, x::DOUBLE AS value FROM (SELECT barcode, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM bi)
+  UNION ALL SELECT barcode, k || 'mer_' || kmer, count(*) / any_value(total)::DOUBLE FROM kw GROUP BY barcode, k, kmer
+  UNION ALL SELECT * FROM plain UNION ALL SELECT barcode, feature, 1 FROM letters_at)"""
+
+
+@query("feature_builder", f"""WITH RECURSIVE {ANTIBODIES_SQL}, {EMBEDDINGS_SQL}, {BUILT_SQL}
+SELECT barcode, feature, round(value, 6) AS value FROM built WHERE abs(value) >= 0.0000005""")
 def feature_builder(spark, sf):
+    """All features of a row that are not zero, by the name that the builder gives to their place."""
     df = antibodies(spark, sf).join(embeddings(spark, sf), "barcode")
     config = X.FeatureConfig(embedding=True, kmer=True, biophysical=True, onehot=True, onehot_sequence="VHVL")
     builder = X.FeatureBuilder(config).fit(df)
-    from pyspark.ml.functions import vector_to_array
-
     out = builder.transform(df.select("barcode", "hseq", "lseq", "cdr3", "embedding"))
-    return out.select("barcode", F.size(vector_to_array("features")).alias("size"), F.lit(len(builder.feature_names)).alias("names"))
+    v = F.unwrap_udt("features")
+    names = spark.createDataFrame(list(enumerate(builder.feature_names)), "i int, feature string")  # as many as a vector has places
+    dense = v["type"] == 1
+    pairs = F.arrays_zip(F.when(dense, F.sequence(F.lit(0), F.size(v["values"]) - 1)).otherwise(v["indices"]).alias("i"), v["values"].alias("x"))
+    long = out.select("barcode", F.explode(pairs).alias("p")).select("barcode", "p.i", r6("p.x").alias("value")).where("value <> 0")
+    return long.join(F.broadcast(names), "i").select("barcode", "feature", "value")
 
 
 Z_SQL = "round((({c}) - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () > 0 THEN stddev_pop({c}) OVER () ELSE 1 END, 6)"
@@ -387,6 +408,23 @@ def pca(spark, sf):
     return X.pca_scores(embeddings(spark, sf), "embedding", "barcode", 10)
 
 
+@query("pca_distances", """WITH d AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+z AS (SELECT vec_id, i, (x - avg(x) OVER (PARTITION BY i)) / CASE WHEN stddev_pop(x) OVER (PARTITION BY i) > 0 THEN stddev_pop(x) OVER (PARTITION BY i) ELSE 1 END AS z FROM d)
+SELECT vec_id || '-0' AS barcode, round(sum(z * z), 4) AS square, 0.0::DOUBLE AS largest_covariance, true AS descending FROM z GROUP BY 1""")
+def pca_distances(spark, sf):
+    """All components: they keep the length of each vector, are uncorrelated, and their variances fall."""
+    vectors = embeddings(spark, sf)
+    scores = cut_lineage(X.pca_scores(vectors, "embedding", "barcode", 64))
+    long = scores.select("barcode", F.posexplode("components").alias("i", "x"))
+    size = long.agg(F.max("i") + 1).first()[0]
+    at = lambda i: F.get("components", F.lit(i))
+    spread = scores.agg(*[F.covar_pop(at(i), at(j)).alias(f"c{i}_{j}") for i in range(size) for j in range(i, min(size, i + 2))]).first()
+    aside = max((abs(spread[f"c{i}_{i + 1}"]) for i in range(size - 1)), default=0.0)
+    falls = all(spread[f"c{i}_{i}"] >= spread[f"c{i + 1}_{i + 1}"] - 1e-9 for i in range(size - 1))
+    square = F.aggregate("components", F.lit(0.0), lambda s, x: s + x * x)
+    return scores.select("barcode", F.round(square, 4).alias("square"), F.lit(round(aside, 6)).alias("largest_covariance"), F.lit(falls).alias("descending"))
+
+
 @query("mean_pool", """WITH d AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
 t AS (SELECT vec_id, i // 8 AS token, i % 8 AS dim, x FROM d)
 SELECT vec_id, dim, round(sum(x) / greatest(count(*), 1), 6) AS value FROM t WHERE (vec_id + token) % 3 <> 0 GROUP BY 1, 2""")
