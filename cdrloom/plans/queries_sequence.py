@@ -369,7 +369,7 @@ built AS (SELECT barcode, 'emb_' || (i - 1) AS feature, x::DOUBLE AS value FROM
 
 
 @query("feature_builder", f"""WITH RECURSIVE {ANTIBODIES_SQL}, {EMBEDDINGS_SQL}, {BUILT_SQL}
-SELECT barcode, feature, round(value, 6) AS value FROM built WHERE abs(value) >= 0.0000005""")
+SELECT barcode, feature, round(value, CASE WHEN feature = 'cdr3_hydrophobicity' THEN 3 ELSE 6 END) AS value FROM built WHERE abs(value) >= 0.0000005""")
 def feature_builder(spark, sf):
     """All features of a row that are not zero, by the name that the builder gives to their place."""
     df = antibodies(spark, sf).join(embeddings(spark, sf), "barcode")
@@ -381,7 +381,9 @@ def feature_builder(spark, sf):
     dense = v["type"] == 1
     pairs = F.arrays_zip(F.when(dense, F.sequence(F.lit(0), F.size(v["values"]) - 1)).otherwise(v["indices"]).alias("i"), v["values"].alias("x"))
     long = out.select("barcode", F.explode(pairs).alias("p")).select("barcode", "p.i", r6("p.x").alias("value")).where("value <> 0")
-    return long.join(F.broadcast(names), "i").select("barcode", "feature", "value")
+    # the builder rounds to four digits, where means over sixteen residues are ties; three digits do not depend on their side
+    value = F.when(F.col("feature") == "cdr3_hydrophobicity", F.round("value", 3)).otherwise(F.col("value"))
+    return long.join(F.broadcast(names), "i").select("barcode", "feature", value.alias("value"))
 
 
 Z_SQL = "round((({c}) - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () > 0 THEN stddev_pop({c}) OVER () ELSE 1 END, 6)"
