@@ -10,7 +10,7 @@ from ..functions import vectors as V
 from ..models import anomaly, explain, training as M, tree_shap
 from ..operators import clustering as C, mutants as U, nearest, ngs as N, similarity as S, splits as P
 from ..operators.features import FeatureConfig, kmer_l2_vectors
-from ..operators.ordered import join_small
+from ..operators.ordered import curve_areas, join_small, roc_points
 from ..session import cut_lineage
 from .catalog import query
 from .inputs import ANTIBODIES_SQL, CLONES_SQL, LABELLED_SQL, PREVIOUS_SQL, antibodies, clones, labelled, previous, r6
@@ -406,12 +406,22 @@ def position_stats(spark, sf):
 # --- models --------------------------------------------------------------------
 
 # Values of fitted models have no SQL; what has to hold for every row has.
-VALID_SQL = f"WITH {LABELLED_SQL} SELECT barcode, true AS valid FROM lab"
+VALID_SQL = f"WITH {LABELLED_SQL} SELECT barcode, true AS valid, true AS learned FROM lab"
+#: Area under the curve that a fitted model passes on the rows it learned from; one score for all rows has 0.5.
+LEARNED = 0.6
+
+
+def with_learned(rows, truth, name, least=LEARNED):
+    """Is the area under the ROC curve of all rows at least ``least``?"""
+    rows = cut_lineage(rows)
+    area = curve_areas(roc_points(rows, name, truth)).select((F.col("auc_roc") >= least).alias("learned"))
+    return join_small(rows, area, [])
 
 
 def valid_probability(scored, name="prob"):
-    """One row per antibody: is there a probability?"""
-    return scored.select("barcode", F.coalesce(F.col(name).between(0, 1), F.lit(False)).alias("valid"))
+    """One row per antibody: is there a probability, and do they rank the passing rows in front?"""
+    rows = with_learned(scored.select("barcode", "quality", name), "quality", name)
+    return rows.select("barcode", F.coalesce(F.col(name).between(0, 1), F.lit(False)).alias("valid"), "learned")
 
 
 FOREST = M.ModelConfig("random_forest")
@@ -445,19 +455,26 @@ def train_logistic_l1(spark, sf):
     return valid_probability(model.score(df, "prob"))
 
 
-@query("train_regression", VALID_SQL)
+@query("train_regression", VALID_SQL.replace("AS learned", "AS explains"))
 def train_regression(spark, sf):
     df = labelled(spark, sf).withColumn("target", F.length("lseq") / 10.0)
     scored = M.DevelopabilityModel(PROPERTIES, FOREST).fit(df, "target").score(df, "value")
     span = df.agg(F.min("target").alias("low"), F.max("target").alias("high"))  # means of targets stay within
-    return join_small(scored, span, []).select("barcode", F.col("value").between(F.col("low"), F.col("high")).alias("valid"))
+    rows = cut_lineage(scored.select("barcode", "target", "value"))
+    fit = rows.agg((F.sum(F.pow(F.col("target") - F.col("value"), 2)) < F.count("*") * F.var_pop("target")).alias("explains"))  # better than the mean
+    rows = join_small(join_small(rows, span, []), fit, [])
+    return rows.select("barcode", F.col("value").between(F.col("low"), F.col("high")).alias("valid"), "explains")
 
 
-@query("cross_validate", f"WITH {LABELLED_SQL} SELECT barcode, quality AS true, true AS valid FROM lab")
+@query("cross_validate", f"WITH {LABELLED_SQL} SELECT barcode, quality AS true, true AS valid, 1::BIGINT AS folds_of_cluster, 1::BIGINT AS times FROM lab")
 def cross_validate(spark, sf):
     df = labelled(spark, sf).withColumn("cluster", F.col("doc_id"))
     out = M.cross_validate(df, "quality", PROPERTIES, FOREST)["predictions"]
-    return out.select("barcode", F.col("true").cast("int").alias("true"), (F.col("prob").between(0, 1) & F.col("fold").between(0, 9)).alias("valid"))
+    rows = cut_lineage(out.select("barcode", F.split("barcode", "-")[0].alias("cluster"), "true", "prob", "fold"))
+    folds = rows.groupBy("cluster").agg(F.count_distinct("fold").alias("folds_of_cluster"))  # a cluster is judged by one model
+    times = rows.groupBy("barcode").agg(F.count("*").alias("times"))  # and each row once
+    valid = (F.col("prob").between(0, 1) & F.col("fold").between(0, 9)).alias("valid")
+    return rows.join(folds, "cluster").join(times, "barcode").select("barcode", F.col("true").cast("int").alias("true"), valid, "folds_of_cluster", "times")
 
 
 @query("random_search", """SELECT unnest(range(30)) AS draw, true AS inside, true AS judged, 1::BIGINT AS n_best, true AS stored""")
@@ -560,11 +577,15 @@ def position_attribution(spark, sf):
     return explain.position_attribution(attributions(spark, sf), "pos", "value").withColumn("importance", r6("importance"))
 
 
-@query("isolation_forest", f"WITH {CLONES_SQL} SELECT barcode, true AS valid FROM clones")
+@query("isolation_forest", f"WITH {CLONES_SQL} SELECT barcode, true AS valid, true AS tells, true AS at_quantile FROM clones")
 def isolation_forest(spark, sf):
     df = kmer_l2_vectors(enriched(spark, sf), "cdr3", "v")
     scored = anomaly.one_class_score(df, "v", "barcode", "positive", "train")
-    return scored.select("barcode", (F.col("score").isNotNull() & ~F.isnan("score")).alias("valid"))
+    rows = cut_lineage(scored.select("barcode", "score", (F.col("train") & (F.col("positive") == 1)).alias("known")))
+    share = F.avg(F.when(F.col("known"), (F.col("score") > 0).cast("int")))  # a tenth of the known rows lie above 0, ties left out
+    whole = rows.agg((F.count_distinct(F.round("score", 9)) > 10).alias("tells"), share.between(0.0, 0.1001).alias("at_quantile"))
+    valid = (F.col("score").isNotNull() & ~F.isnan("score")).alias("valid")
+    return join_small(rows, whole, []).select("barcode", valid, "tells", "at_quantile")
 
 
 @query("hit_expansion", f"WITH {CLONES_SQL} SELECT barcode, true AS valid FROM clones")
@@ -576,7 +597,7 @@ def hit_expansion(spark, sf):
     return out.select("barcode", F.coalesce(sound, F.lit(False)).alias("valid"))
 
 
-@query("registered_model", f"WITH {LABELLED_SQL} SELECT barcode, true AS valid, 0.4::DOUBLE AS threshold FROM lab")
+@query("registered_model", f"WITH {LABELLED_SQL} SELECT barcode, true AS valid, true AS learned, 0.4::DOUBLE AS threshold FROM lab")
 def registered_model(spark, sf):
     from ..models.registry import Registry
     from ..session import shared_folder
