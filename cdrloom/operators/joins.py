@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import barcode_key
+from ..session import shared_folder
 
 
 def _keyed(df: DataFrame, key: str) -> DataFrame:
@@ -57,17 +58,21 @@ def multi_model_scores(base: DataFrame, scorers: dict[str, Callable[[], DataFram
                        ) -> tuple[DataFrame, dict[str, str]]:
     """Score and label columns of several models on one base table.
 
-    Each scorer returns (key, score).  A model whose plan cannot be built is
+    Each scorer returns (key, score).  Its scores are written once, so a model
+    that fails while it scores, as well as one whose plan cannot be built, is
     left out and named in the second result.  Scores are stacked and pivoted,
-    so any number of models costs one shuffle plus one join.
+    so any number of models costs one shuffle plus one join; of several scores
+    of a key the highest counts.
     """
     parts, failed = [], {}
+    folder = shared_folder(base.sparkSession, "scores")  # a session without a folder fails here, not as a broken model
     for name, make in scorers.items():
         try:
-            scored = make().select(key, "score")
+            make().select(key, "score").write.parquet(f"{folder}/{len(parts)}-{len(failed)}")
         except Exception as error:  # a broken model must not stop the others
             failed[name] = str(error)
             continue
+        scored = base.sparkSession.read.parquet(f"{folder}/{len(parts)}-{len(failed)}")
         cut = (threshold or {}).get(name, 0.5)
         parts.append(scored.select(key, F.lit(name).alias("model"), "score",
                                    (F.col("score") >= cut).cast("int").alias("label")))
@@ -75,7 +80,7 @@ def multi_model_scores(base: DataFrame, scorers: dict[str, Callable[[], DataFram
         return base, failed
     long = reduce(DataFrame.unionByName, parts)
     names = [n for n in scorers if n not in failed]
-    wide = long.groupBy(key).pivot("model", names).agg(F.first("score").alias("score"), F.first("label").alias("label"))
+    wide = long.groupBy(key).pivot("model", names).agg(F.max("score").alias("score"), F.max("label").alias("label"))
     wide = wide.select(key, *wide.columns[1:], *[F.col(f"{n}_label").alias(f"{n}_optimallabel") for n in names])
     return base.join(wide, key, "left"), failed
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -326,6 +327,26 @@ def kmer_l2_vectors(spark, sf):
     return out.select("barcode", F.size(v["indices"]).cast("long").alias("filled"), r6(total).alias("total"))
 
 
+NEIGHBOUR_CASE = "CASE substr(t, i::BIGINT, 2) " + " ".join(f"WHEN '{x}{y}' THEN {v}" for (x, y), v in K.triangle(K.BLOSUM62).items()) + " ELSE -4 END::DOUBLE"
+
+
+@query("kmer_l2_blosum", f"""WITH {ANTIBODIES_SQL}, txt AS (SELECT barcode, 'C' || cdr3 || 'W' AS t FROM ab WHERE length(cdr3) >= 4),
+w AS ({KMER_SQL.format(k=1)} UNION ALL {KMER_SQL.format(k=2)} UNION ALL {KMER_SQL.format(k=3)}),
+c AS (SELECT barcode, k, kmer, count(*) AS n FROM w GROUP BY ALL),
+u AS (SELECT barcode, sum(n) / sqrt(sum(n * n)) AS words, sum(n) FILTER (k = 1) / sqrt(sum(n * n) FILTER (k = 1)) AS singles, count(*) + count(*) FILTER (k = 1) AS filled FROM c GROUP BY 1),
+b AS (SELECT barcode, avg({NEIGHBOUR_CASE}) AS b FROM (SELECT barcode, t, unnest(range(1, length(t))) AS i FROM txt) GROUP BY 1),
+v AS (SELECT barcode, coalesce(words, 0) AS words, coalesce(singles, 0) AS singles, coalesce(filled, 0) AS filled, coalesce(b, 0) AS b FROM ab LEFT JOIN u USING (barcode) LEFT JOIN b USING (barcode))
+SELECT barcode, filled + CAST(b <> 0 AS INTEGER) AS filled, CASE WHEN filled = 0 THEN 0 ELSE round((words + singles + b) / sqrt(2 + b * b), 6) END AS total,
+  CASE WHEN filled = 0 THEN 0 ELSE round(b / sqrt(2 + b * b), 6) END AS blosum FROM v""")
+def kmer_l2_blosum(spark, sf):
+    """k-mers, residues and the mean score of neighbours, each of unit length, in one vector of unit length."""
+    out = X.kmer_l2_vectors(antibodies(spark, sf).select("barcode", "cdr3"), "cdr3", "v", use_blosum=True)
+    x = vector_to_array("v")
+    total = F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
+    filled = F.aggregate(x, F.lit(0).cast("long"), lambda s, y: s + F.when(y != 0, 1).otherwise(0))
+    return out.select("barcode", filled.alias("filled"), r6(total).alias("total"), r6(F.element_at(x, -1)).alias("blosum"))
+
+
 @query("one_hot", f"""WITH {ANTIBODIES_SQL} SELECT barcode, CAST(i AS INTEGER) AS pos, substr(cdr3, i::BIGINT, 1) AS aa
 FROM (SELECT barcode, cdr3, unnest(range(1, least(length(cdr3), 25) + 1)) AS i FROM ab)""")
 def one_hot(spark, sf):
@@ -343,14 +364,20 @@ def fit_max_lengths(spark, sf):
     return join_small(fitted, cut, [])
 
 
-@query("two_branch_encoding", f"""WITH {ANTIBODIES_SQL} SELECT barcode, 270 * 20 AS chain_size, least(length(hseq), 135) + least(length(lseq), 135) AS chain_set,
-500 AS cdr3_size, least(length(cdr3), 25) AS cdr3_set FROM ab""")
+def sql_places(seq: str, most: int, before: int = 0) -> str:
+    """One-hot places of a sequence's first residues, as a list."""
+    return f"list_transform(range(least(length({seq}), {most})), lambda i: ({before} + i) * 20 + position(substr({seq}, i + 1, 1) IN '{K.AMINO_ACIDS}') - 1)"
+
+
+@query("two_branch_encoding", f"""WITH {ANTIBODIES_SQL}, p AS (SELECT barcode, list_concat({sql_places('hseq', 135)}, {sql_places('lseq', 135, 135)}) AS chain, {sql_places('cdr3', 25)} AS loop FROM ab)
+SELECT barcode, 270 * 20 AS chain_size, len(chain) AS chain_set, md5(array_to_string(chain, ',')) AS chain_places, 500 AS cdr3_size, len(loop) AS cdr3_set, array_to_string(loop, ',') AS cdr3_places FROM p""")
 def two_branch_encoding(spark, sf):
     out = X.two_branch_vectors(antibodies(spark, sf))
     n = lambda c: F.size(F.unwrap_udt(c)["indices"])
     size = lambda c: F.unwrap_udt(c)["size"]
-    return out.select("barcode", size("chain_features").alias("chain_size"), n("chain_features").alias("chain_set"),
-                      size("cdr3_features").alias("cdr3_size"), n("cdr3_features").alias("cdr3_set"))
+    places = lambda c: F.array_join(F.unwrap_udt(c)["indices"].cast("array<string>"), ",")
+    return out.select("barcode", size("chain_features").alias("chain_size"), n("chain_features").alias("chain_set"), F.md5(places("chain_features")).alias("chain_places"),
+                      size("cdr3_features").alias("cdr3_size"), n("cdr3_features").alias("cdr3_set"), places("cdr3_features").alias("cdr3_places"))
 
 
 BUILT_SQL = f"""bi AS (SELECT ab.*, embedding FROM ab JOIN emb USING (barcode)), txt AS (SELECT barcode, cdr3 AS t FROM bi),

@@ -16,7 +16,7 @@ def rounded(df, cols, digits=6):
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
 
-TAIL_STEPS = 4000
+TAIL_STEPS = 8000
 
 
 def tail_sql(t: str, dof: str) -> str:
