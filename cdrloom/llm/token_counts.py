@@ -7,6 +7,8 @@ node's string begins with that many longest matches, and the link leads to the
 node of what is left. Lengths in pieces come from one pass over each word, no
 piece is built. Words of a slice are read in step: one numpy round per byte
 position, transitions found by binary search over sorted (node, byte) keys.
+Words of more than ``LONG_WORD`` bytes leave the round and run through the same
+automaton alone, a lookup per byte, so a long word does not cost a round per byte.
 
 Words are runs of bytes other than space and tab to carriage return; each is
 read with a word-begin byte (a space) before it, as byte-level vocabularies
@@ -30,6 +32,8 @@ from .bpe import byte_letters
 from .flat import flat_bytes, in_arrow, keyed, prefix_hash, span_hash, text_slices, word_spans
 
 NO_NODE = -1
+#: Words of more bytes are read one after the other, not in lockstep with the rest.
+LONG_WORD = 256
 
 
 class Automaton:
@@ -66,10 +70,26 @@ class Automaton:
         self.keys = np.array([k for k, _ in edges], np.int64)
         self.targets = np.array([t for _, t in edges], np.int64)
         self.fail, self.pops = np.array(fail, np.int64), np.array(pops, np.int64)
-        # a byte from the root, found without a search
+        # a byte from the root, found without a search; the same edges for words read alone
         self.root = np.full(256, NO_NODE, np.int64)
         for b, child in children[0].items():
             self.root[b] = child
+        self.children, self.links, self.popped = children, fail, pops
+
+    def _alone(self, word: bytes, node: int) -> int:
+        """Pieces of one word, byte by byte: a byte costs a lookup, however long the word is; 0 if it can't be cut."""
+        children, links, popped, total = self.children, self.links, self.popped, 0
+        for b in word:
+            while node != NO_NODE and b not in children[node]:
+                total += popped[node]
+                node = links[node]
+            if node == NO_NODE:
+                return 0
+            node = children[node][b]
+        while node > 0:
+            total += popped[node]
+            node = links[node]
+        return 0 if node == NO_NODE else total
 
     def _step(self, nodes: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Next node of each (no node: the word can't be cut) and the pieces popped on the way."""
@@ -91,6 +111,13 @@ class Automaton:
 
     def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, begin: int | None) -> np.ndarray:
         """Pieces of each word; 0 for a word that can't be cut. ``begin`` is read before each word."""
+        long = ends - starts > LONG_WORD
+        if long.any():
+            out = np.zeros(len(starts), np.int64)
+            out[~long] = self.counts(data, starts[~long], ends[~long], begin)
+            first = 0 if begin is None else int(self.root[begin])
+            out[long] = [self._alone(data[a:b].tobytes(), first) for a, b in zip(starts[long], ends[long])]
+            return out
         n = len(starts)
         total = np.zeros(n, np.int64)
         nodes = np.zeros(n, np.int64)

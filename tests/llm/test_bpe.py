@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -114,3 +115,26 @@ def test_token_counts(make_docs, corpus):
         expected[i, len(words), sum(max(1, c) for c in counts), counts.count(0)] += 1
     assert Counter(map(tuple, found)) == expected
     assert token_counts.token_counts(make_docs([]), PATH).count() == 0
+
+
+def test_long_words_cost_a_lookup_per_byte():
+    rng = random.Random(8)
+    pieces = [bytes([b]) for b in b" abc"] + [b" a", b"ab", b"abc", b"bca", b"cab", b"aabb", b"ccc"]
+    machine = token_counts.Automaton(pieces)
+    words = [bytes(rng.choice(b"abc") for _ in range(n)) for n in (3, 255, 256, 257, 400, 100_000)]
+    words.insert(3, b"ab" * 200 + b"x")  # a byte that no piece has: the word is unknown
+
+    def greedy(word):
+        at, n = 0, 0
+        while at < len(word):
+            size = max((len(p) for p in pieces if word.startswith(p, at)), default=0)
+            if not size:
+                return 0
+            at, n = at + size, n + 1
+        return n
+
+    offsets = np.cumsum([0] + [len(w) for w in words])
+    begun = time.time()
+    found = machine.counts(np.frombuffer(b"".join(words), np.uint8), offsets[:-1], offsets[1:], 0x20)
+    assert time.time() - begun < 2
+    assert found.tolist() == [greedy(b" " + w) for w in words]
