@@ -48,8 +48,8 @@ def labelled_sample(
     Columns id, text, label (0 or 1). Rows without label, id or text are left
     out. ``where`` may restrict the rows by the column ``id``. Whole texts of
     every length, see ``whole_texts`` (long: more than ``long_bytes``, or else
-    the share ``LONG`` of the bound): a text that does not fit is left out alone. Equal rows of an id count once. It is
-    an error if there are labelled texts of both classes but the sample has none
+    the share ``LONG`` of the bound): a text that does not fit is left out alone. An id counts once, with the text of
+    the least digest if it has several. It is an error if there are labelled texts of both classes but the sample has none
     of one.
     """
     marks = labels.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{label}`").cast("int").alias("label"))
@@ -65,7 +65,9 @@ def labelled_sample(
     texts = documents.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text")).where("text is not null")
     # the chosen ids are bounded by `rows`, so they can be sent to all tasks
     found = texts.join(F.broadcast(chosen), "id").withColumn("size", F.octet_length("text")).withColumn("digest", F.xxhash64("text"))
-    sizes = found.select("id", "label", "place", "digest", "size").distinct()
+    # one text per chosen id, so the driver gets at most ``rows`` lines per class
+    first = found.groupBy("id", "label", "place").agg(F.min(F.struct("digest", "size")).alias("first"))
+    sizes = first.select("id", "label", "place", "first.digest", "first.size")
     kind = sizes.schema
     sizes = sizes.toPandas().sort_values(["label", "place", "digest"]).reset_index(drop=True)
     bounds = text_bytes if isinstance(text_bytes, tuple) else (text_bytes, text_bytes)

@@ -158,3 +158,13 @@ def test_segments_overlap():
     assert list(zip(row, starts, ends)) == [
         (0, 0, 0), (1, 0, 5), (2, 5, 37), (2, 21, 38), (3, 38, 70), (3, 54, 86), (3, 70, 102), (3, 86, 110),
     ]
+
+
+def test_an_id_with_many_texts_counts_once(make_docs, spark):
+    rows, labels = labelled(40)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    many = rows + [(rows[3][0], f"text {k} of the same id") for k in range(200)] + rows[:5]
+    found = sample.labelled_sample(make_docs(many), marks, "quality", 1000, 1 << 20)
+    assert sorted(found.id) == sorted(i for i, _ in rows)
+    again = sample.labelled_sample(make_docs(many[::-1]), marks, "quality", 1000, 1 << 20)
+    assert found.equals(again)
