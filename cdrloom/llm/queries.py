@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 @query("op1_suffix_dedup")
 def op1_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return suffix_dedup.removals(table(spark, sf, "documents"))
+    return suffix_dedup.removals(table(spark, sf, "documents"), passages=suffix_dedup.PASSAGE)
 
 
 @query("op2_quality_rules")

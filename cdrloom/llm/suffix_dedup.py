@@ -52,10 +52,12 @@ from .flat import (
 # A perfect difference cover (every residue is a difference of two members in exactly one way).
 PERIOD = 183
 COVER = (0, 1, 3, 16, 23, 28, 42, 76, 82, 86, 119, 137, 154, 175)
+#: Perfect covers by period. A shorter one samples more places and compares more bytes behind each.
+COVERS = {57: (0, 1, 3, 13, 32, 36, 43, 52), 91: (0, 1, 3, 9, 27, 49, 56, 61, 77, 81), PERIOD: COVER}
 #: Names a task gathers before it deals them out.
-GATHER = 600_000
+GATHER = 300_000
 #: Text bytes that are hashed at a time.
-SLICE = 1 << 19
+SLICE = 1 << 18
 #: Bytes of a sampled name besides its range; false neighbours only cost work.
 SAMPLE_BYTES = 5
 #: Bytes of a text's key that stand for it among sampled names.
@@ -69,22 +71,28 @@ class DedupConfig:
     """Production parameters."""
 
     length: int = 400
+    #: Period of the difference cover, at most half the length or so.
+    period: int = PERIOD
 
     def triple(self) -> int:
         """Bytes of one of three strings behind a sampled position."""
-        return max(1, (self.length - PERIOD + 1) // 3)
+        return max(1, (self.length - self.period + 1) // 3)
+
+
+#: Passages of fifty words of four letters and a blank, or longer.
+PASSAGE = DedupConfig(length=250, period=91)
 
 
 @lru_cache(2)
-def _cover_positions(n: int) -> np.ndarray:
+def _cover_positions(n: int, period: int) -> np.ndarray:
     """Sampled positions up to n, ascending."""
-    rounds = np.arange(-(-(n + 1) // PERIOD))[:, None] * PERIOD
-    return (rounds + np.array(COVER)[None, :]).ravel()
+    rounds = np.arange(-(-(n + 1) // period))[:, None] * period
+    return (rounds + np.array(COVERS[period])[None, :]).ravel()
 
 
-def sampled(sizes: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+def sampled(sizes: np.ndarray, reach: int, period: int = PERIOD) -> tuple[np.ndarray, np.ndarray]:
     """Row and position of each sampled suffix of at least ``reach`` bytes."""
-    every = _cover_positions(1 << int(max(1, sizes.max(initial=1))).bit_length())
+    every = _cover_positions(1 << int(max(1, sizes.max(initial=1))).bit_length(), period)
     counts = np.where(sizes >= reach, np.searchsorted(every, sizes - reach, "right"), 0)
     return np.repeat(np.arange(len(sizes)), counts), every[ragged(np.zeros(len(sizes), np.int64), counts)]
 
@@ -116,6 +124,7 @@ class Dealer:
     def deal(self, share: bool) -> Iterator[pa.RecordBatch]:
         """One row per range. ``share``: names that repeat here go out once, their places as a note per text."""
         names, text, place = (np.concatenate(x) for x in zip(*self.parts)) if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32))
+        self.parts = []
         known, notes = np.zeros(0, np.uint64), []
         if share and len(names):
             order = np.argsort(names, kind="stable")
@@ -192,7 +201,7 @@ def _runs(place: np.ndarray) -> np.ndarray:
     return np.stack([place[begin], place[end]], 1).astype(np.int32)
 
 
-def _repeated(ranges: int, width: int, tag: int):
+def _repeated(slots: int, width: int, tag: int):
     """Runs of the places whose name another place of the range has, dealt out by text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +234,7 @@ def _repeated(ranges: int, width: int, tag: int):
         fresh[1:] = (text[1:] != text[:-1]) | (place[1:] != place[:-1] + 1)
         begin = np.flatnonzero(fresh)
         pairs = np.stack([place[begin], place[np.append(begin[1:], len(place)) - 1]], 1).astype(np.int32) if len(begin) else np.zeros((0, 2), np.int32)
-        yield from _by_slot(list(keys), np.concatenate([text[begin], *note_text]), np.concatenate([pairs, *note_runs]), ranges)
+        yield from _by_slot(list(keys), np.concatenate([text[begin], *note_text]), np.concatenate([pairs, *note_runs]), slots)
 
     return run
 
@@ -293,10 +302,13 @@ def _gathered(tag: int):
     return run
 
 
-def _compare(dealt: DataFrame, ranges: int, width: int, tag: int) -> DataFrame:
-    """Sort each range of names and compare neighbours; per text: key, runs (of places)."""
-    found = in_arrow(dealt.repartitionById(ranges, F.col("range")), _repeated(ranges, width, tag), SLOTS)
-    return in_arrow(found.repartitionById(ranges, F.col("slot")), _gathered(tag), "key binary, runs array<binary>")
+def _compare(dealt: DataFrame, ranges: int, slots: int, width: int, tag: int) -> DataFrame:
+    """Sort each range of names and compare neighbours; per text: key, runs (of places).
+
+    A range gives a row to each slot of texts at most, so more ranges go with fewer slots.
+    """
+    found = in_arrow(dealt.repartitionById(ranges, F.col("range")), _repeated(slots, width, tag), SLOTS)
+    return in_arrow(found.repartitionById(slots, F.col("slot")), _gathered(tag), "key binary, runs array<binary>")
 
 
 def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,9 +347,9 @@ def _places(runs: list[bytes]) -> np.ndarray:
     return np.unique(ragged(pairs[:, 0], pairs[:, 1] - pairs[:, 0] + 1))
 
 
-def candidate_starts(places: np.ndarray, last: int) -> np.ndarray:
+def candidate_starts(places: np.ndarray, last: int, period: int = PERIOD) -> np.ndarray:
     """Starts up to ``last`` that have one of the sampled ``places`` less than a period ahead."""
-    begin, end = np.maximum(0, places - PERIOD + 1), np.minimum(places, last)
+    begin, end = np.maximum(0, places - period + 1), np.minimum(places, last)
     ok = end >= begin
     begin, end = begin[ok], end[ok]
     mark = np.zeros(last + 2, np.int32)
@@ -346,53 +358,71 @@ def candidate_starts(places: np.ndarray, last: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(mark[:-1]) > 0)
 
 
+def lasting(starts: np.ndarray, n: int) -> np.ndarray:
+    """Those of the ascending starts whose next ``n`` places are starts too."""
+    last = max(0, len(starts) - n)
+    return starts[:last][starts[len(starts) - last:] - starts[:last] == n]
+
+
 def shared_texts(texts: DataFrame, config: DedupConfig) -> DataFrame:
     """key, packed text and surviving sampled places (runs) of the texts that share a sampled triple with another place."""
-    ranges, width = shuffle_tasks(texts), config.triple()
+    tasks, more, width = shuffle_tasks(texts), max(1, PERIOD // config.period), config.triple()
+    ranges = tasks * more
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealer = Dealer(ranges, SAMPLE_BYTES, TAG)
         for batch in unseen(batches):
             for part in text_slices(batch, "text", SLICE):
                 data, offsets = flat_bytes(part.column("text"))
-                row, place = sampled(np.diff(offsets), max(config.length - PERIOD + 1, 3 * width))
+                row, place = sampled(np.diff(offsets), max(config.length - config.period + 1, 3 * width), config.period)
                 names = triple_names(prefix_hash(data), offsets[row] + place, width)
                 dealer.add(part.column("key").to_pylist(), names, row, place)
                 if dealer.held >= GATHER:
                     yield from dealer.deal(share=False)
         yield from dealer.deal(share=False)
 
-    spots = _compare(in_arrow(texts, sample, Dealer.SCHEMA), ranges, SAMPLE_BYTES, TAG).withColumnRenamed("key", "tag")
+    spots = _compare(in_arrow(texts, sample, Dealer.SCHEMA), ranges, -(-tasks // more), SAMPLE_BYTES, TAG).withColumnRenamed("key", "tag")
     once = in_arrow(texts, _pack_texts, "key binary, tag binary, packed binary, low bigint")
     return once.join(spots, "tag").hint("rebalance", "low").sortWithinPartitions("low", "key").select("key", "packed", "runs")
 
 
-def repeated_starts(shared: DataFrame, config: DedupConfig) -> DataFrame:
-    """key and runs of the starts of strings that also start elsewhere."""
-    ranges = shuffle_tasks(shared)
+def repeated_starts(shared: DataFrame, config: DedupConfig, *longer: DedupConfig) -> DataFrame:
+    """key, length and runs of the starts of strings that also start elsewhere.
+
+    ``shared`` holds the texts of ``config``, the shortest length. A longer
+    string repeats only where all shorter ones that start inside it do.
+    """
+    lengths = [config.length, *(c.length for c in longer)]
+    tasks = shuffle_tasks(shared)
+    ranges = tasks * len(lengths)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealer, seen = Dealer(ranges, 8, 16), set()
+        dealer, seen = Dealer(ranges, 8, 17), set()
         for batch in batches:
             for part, texts in _unpacked(batch):
                 data, offsets = flat_bytes(pa.array(texts, pa.binary()))
                 prefix = prefix_hash(data)
                 keys = part.column("key").to_pylist()
-                row, place = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                found = []
                 for k, runs in enumerate(part.column("runs").to_pylist()):
                     size = int(offsets[k + 1] - offsets[k])
                     if size >= config.length and keys[k] not in seen:
                         seen.add(keys[k])
-                        place.append(candidate_starts(_places(runs), size - config.length))
-                        row.append(np.full(len(place[-1]), k))
-                row, place = np.concatenate(row), np.concatenate(place)
-                at = offsets[row] + place
-                dealer.add(keys, span_hash(prefix, at, at + config.length), row, place)
-                if dealer.held >= GATHER:
-                    yield from dealer.deal(share=True)
+                        found.append((k, candidate_starts(_places(runs), size - config.length, config.period)))
+                for n, length in enumerate(lengths):
+                    place = [lasting(starts, length - config.length) for _, starts in found]
+                    row = np.repeat(np.array([k for k, _ in found], np.int64), [len(p) for p in place])
+                    place = np.concatenate([np.zeros(0, np.int64), *place])
+                    at = offsets[row] + place
+                    # a text counts as one of its own for each length; hashes of strings depend on their lengths
+                    dealer.add([key + bytes([n]) for key in keys], span_hash(prefix, at, at + length), row, place)
+                    if dealer.held >= GATHER:
+                        yield from dealer.deal(share=True)
         yield from dealer.deal(share=True)
 
-    return _compare(in_arrow(shared, windows, Dealer.SCHEMA), ranges, 8, 16)
+    length = F.element_at(F.array(*map(F.lit, lengths)), F.conv(F.hex(F.substring("key", 17, 1)), 16, 10).cast("int") + 1)
+    found = _compare(in_arrow(shared, windows, Dealer.SCHEMA), ranges, -(-tasks // len(lengths)), 8, 17)
+    return found.select(F.substring("key", 1, 16).alias("key"), length.alias("length"), "runs")
 
 
 def covered(runs: list[bytes], length: int) -> np.ndarray:
@@ -429,37 +459,51 @@ def copies(keys: DataFrame, config: DedupConfig) -> DataFrame:
     return keys.where(F.col("n_bytes") >= config.length).groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("copied"))
 
 
-def removals(documents: DataFrame, config: DedupConfig = DedupConfig(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256."""
+def removals(
+    documents: DataFrame, config: DedupConfig = DedupConfig(), id_column: str = "doc_id", text_column: str = "text", passages: DedupConfig | None = None,
+) -> DataFrame:
+    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    ``passages``, a shorter length, adds passage_removed, passage_spans and
+    passage_kept_sha256: the same of strings of that length.
+    """
+    asked = {"": config} if passages is None else {"": config, "passage_": passages}
+    short = passages or config
+    if short.length > config.length:
+        raise ValueError("passages must not be longer than the strings")
     text = F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))
     keys = documents.select(
         F.col(f"`{id_column}`").alias("id"), text_key(text).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("digest")
     )
     folder = shared_folder(documents.sparkSession, "shared-texts")
-    texts = with_keys(documents, text_column).where(F.octet_length("text") >= config.length)
-    shared_texts(texts, config).write.parquet(folder)
+    texts = with_keys(documents, text_column).where(F.octet_length("text") >= short.length)
+    shared_texts(texts, short).write.parquet(folder)
     shared = documents.sparkSession.read.parquet(folder)
-    starts = repeated_starts(shared, config).select("key", F.col("runs").alias("starts"))
+    starts = repeated_starts(shared, short, *(c for c in asked.values() if c.length > short.length)).withColumnRenamed("runs", "starts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in (x for batch in batches for x in _unpacked(batch)):
             out = []
-            for key, data, runs in zip(part.column("key").to_pylist(), texts, part.column("starts").to_pylist()):
-                spans = covered(runs, config.length)
-                out.append((key, int((spans[:, 1] - spans[:, 0]).sum()), len(spans), hashlib.sha256(without(data, spans)).hexdigest()))
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, kinds)], ["key", "removed", "spans", "kept"])
+            for key, data, length, runs in zip(part.column("key").to_pylist(), texts, part.column("length").to_pylist(), part.column("starts").to_pylist()):
+                spans = covered(runs, length)
+                out.append((key, length, int((spans[:, 1] - spans[:, 0]).sum()), len(spans), hashlib.sha256(without(data, spans)).hexdigest()))
+            kinds = (pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], ["key", "length", "removed", "spans", "kept"])
 
-    changed = in_arrow(shared.select("key", "packed").join(starts, "key"), cut, "key binary, removed long, spans long, kept string").dropDuplicates(["key"])
+    found = in_arrow(shared.select("key", "packed").join(starts, "key"), cut, "key binary, length int, removed long, spans long, kept string")
     # written on their own, so that the joins can split the partition of a text with many copies
-    out = keys.join(cut_lineage(changed), "key", "left").join(cut_lineage(copies(keys, config)), "key", "left")
-    whole, nothing = F.col("copied").isNotNull(), hashlib.sha256(b"").hexdigest()
-    return out.select(
-        F.col("id").alias(id_column), "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
-        F.when(whole, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(whole, nothing).otherwise(F.coalesce("kept", "digest")).alias("kept_sha256"),
-    )
+    changed = cut_lineage(found.dropDuplicates(["key", "length"]))
+    out, columns = keys.join(cut_lineage(copies(keys, short)), "key", "left"), []
+    for name, c in asked.items():
+        part = changed.where(F.col("length") == c.length).select("key", *(F.col(x).alias(f"{name}{x}") for x in ("removed", "spans", "kept")))
+        out = out.join(part, "key", "left")
+        whole, nothing = F.col("copied").isNotNull() & (F.col("n_bytes") >= c.length), hashlib.sha256(b"").hexdigest()
+        columns += [
+            F.when(whole, F.col("n_bytes")).otherwise(F.coalesce(f"{name}removed", F.lit(0))).alias(f"{name or 'n_'}removed"),
+            F.when(whole, 1).otherwise(F.coalesce(f"{name}spans", F.lit(0))).cast("long").alias(f"{name or 'n_'}spans"),
+            F.when(whole, nothing).otherwise(F.coalesce(f"{name}kept", "digest")).alias(f"{name}kept_sha256"),
+        ]
+    return out.select(F.col("id").alias(id_column), "n_bytes", *columns)
 
 
 def remove_repeats(documents: DataFrame, config: DedupConfig = DedupConfig(), text_column: str = "text", size_column: str | None = None) -> DataFrame:

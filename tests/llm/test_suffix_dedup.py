@@ -1,10 +1,11 @@
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from cdrloom.llm import suffix_dedup as sd
+from cdrloom.llm import queries, suffix_dedup as sd
 
 
 def brute(rows, length):
@@ -28,11 +29,42 @@ def test_equals_brute_force(make_docs, corpus, length):
     assert sorted(map(tuple, found), key=str) == brute(corpus, length)
 
 
+def test_passages_below_the_length_are_found_beside_it(make_docs, corpus):
+    rng = random.Random(9)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    passage = prose(51)  # 305 bytes, between the two lengths
+    rows = corpus + [(100, prose(80) + " " + passage + " " + prose(70)), (101, prose(60) + " " + passage), (102, prose(150))]
+    out = sd.removals(make_docs(rows), passages=sd.PASSAGE)
+    found = sorted(map(tuple, out.collect()), key=str)
+    assert out.columns[5:] == ["passage_removed", "passage_spans", "passage_kept_sha256"]
+    assert sorted((r[:5] for r in found), key=str) == brute(rows, 400)
+    assert sorted((r[:2] + r[5:] for r in found), key=str) == brute(rows, 250)
+    by_id = {r[0]: r for r in found}
+    assert [by_id[k][2] for k in (100, 101, 102)] == [0, 0, 0] and [by_id[k][6] for k in (100, 101, 102)] == [1, 1, 0]
+    with pytest.raises(ValueError):
+        sd.removals(make_docs(rows), passages=sd.DedupConfig(401))
+
+
+def test_query_returns_passages(spark, make_docs, tmp_path):
+    rng = random.Random(3)
+    passage, *other = (" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)) for n in (51, 90, 70, 120))
+    make_docs([(1, other[0] + " " + passage), (2, passage + " " + other[1]), (3, other[2])]).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in queries.QUERIES["op1_suffix_dedup"](spark, str(tmp_path)).collect()}
+    assert [rows[k].n_removed for k in (1, 2, 3)] == [0, 0, 0]
+    assert [rows[k].passage_removed >= len(passage) for k in (1, 2, 3)] == [True, True, False]
+
+
 def test_cover_is_perfect():
     differences = Counter((a - b) % sd.PERIOD for a in sd.COVER for b in sd.COVER if a != b)
     assert len(differences) == sd.PERIOD - 1 and set(differences.values()) == {1}
 
 
+@pytest.mark.parametrize("period", sorted(sd.COVERS))
+def test_every_cover_is_perfect(period):
+    differences = Counter((a - b) % period for a in sd.COVERS[period] for b in sd.COVERS[period] if a != b)
+    assert len(differences) == period - 1 and set(differences.values()) == {1}
+
+
 def test_empty_table(make_docs):
     docs = make_docs([])
     assert sd.removals(docs).count() == 0
