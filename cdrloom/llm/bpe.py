@@ -49,9 +49,10 @@ def byte_letters() -> dict[str, int]:
 def point_classes() -> np.ndarray:
     """Class of each code point: letter, number, white space or other."""
     kinds = np.full(0x110000, OTHER, np.uint8)
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    for kind, pattern in ((LETTER, r"\p{L}"), (DIGIT, r"\p{N}")):
-        kinds[np.frombuffer("".join(regex.findall(pattern, every)).encode("utf-32-le"), np.uint32)] = kind
+    for block in range(0, 0x110000, 0x800):  # all at once would be a million strings, whose memory stays with the process
+        every = "" if block == 0xD800 else "".join(map(chr, range(block, block + 0x800)))
+        for kind, pattern in ((LETTER, r"\p{L}"), (DIGIT, r"\p{N}")):
+            kinds[np.frombuffer("".join(regex.findall(pattern, every)).encode("utf-32-le"), np.uint32)] = kind
     # code points that other Unicode versions class differently: as the tokenizers library does
     split = ByteLevel(add_prefix_space=False).pre_tokenize_str
     for point, kind in enumerate(kinds):

@@ -69,7 +69,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         size = max(n + 1, SLICE_BYTES + 2)
         up, down = np.full(size, MULTIPLIER, np.uint64), np.full(size, _INVERSE, np.uint64)
         up[0] = down[0] = 1
-        _POWERS[0] = np.cumprod(up), np.cumprod(down)
+        _POWERS[0] = np.cumprod(up, out=up), np.cumprod(down, out=down)
     return _POWERS[0]
 
 

@@ -24,6 +24,10 @@ from pyspark.sql import DataFrame
 from .flat import flat_bytes, in_arrow, keyed, mix, prefix_hash, span_hash, text_slices, word_spans
 from .sample import held_back, labelled_sample
 
+#: Text bytes whose features are counted at a time in the driver, and entries that are summed at a time there.
+FIT_SLICE = 1 << 17
+STEP = 1 << 16
+
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
@@ -89,7 +93,7 @@ def fit_model(texts: list[str], labels: np.ndarray, config: QualityConfig) -> Qu
     size = 1 << config.bits
     column, row, share = [], [], []
     at = 0
-    for part in text_slices(pa.record_batch([pa.array(texts, pa.string())], ["text"]), "text"):
+    for part in text_slices(pa.record_batch([pa.array(texts, pa.string())], ["text"]), "text", FIT_SLICE):
         keys, rows = features(*flat_bytes(part.column("text")), config)
         pairs, counts = np.unique(rows << config.bits | keys, return_counts=True)
         r = pairs >> config.bits
@@ -106,17 +110,26 @@ def fit_model(texts: list[str], labels: np.ndarray, config: QualityConfig) -> Qu
     w, b = np.zeros(size), 0.0
     first, second, steps = np.zeros(size + 1), np.zeros(size + 1), 0.05
     for k in range(1, config.rounds + 1):
-        z = np.bincount(row, weights=value * w[column], minlength=len(labels)) + b
+        z = _weighted(row, value, w, column, len(labels)) + b
         g = (sigmoid(z) - labels) * weight
-        grad = np.append(np.bincount(column, weights=value * g[row], minlength=size) + config.penalty * w, g.sum())
+        grad = np.append(_weighted(column, value, g, row, size) + config.penalty * w, g.sum())
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad * grad
         move = steps * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.99**k)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    z = np.bincount(row, weights=value * w[column], minlength=len(labels)) + b
+    z = _weighted(row, value, w, column, len(labels)) + b
     slope, shift = platt(z[held], labels[held])
     return QualityModel(w * scale, float(b), slope, shift)
 
 
+def _weighted(into: np.ndarray, value: np.ndarray, table: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``value * table[of]`` by ``into``, added one after the other, without a product as long as the sample."""
+    out = np.zeros(n)
+    for at in range(0, len(into), STEP):
+        some = slice(at, at + STEP)
+        np.add.at(out, into[some], value[some] * table[of[some]])
+    return out
+
+
 def platt(z: np.ndarray, y: np.ndarray, prior: float = 0.5) -> tuple[float, float]:
     """Slope and shift of calibrated probabilities, with smoothed targets; ``prior`` is the share of class 1 they are meant for."""
     if not len(y) or y.min() == y.max():

@@ -34,8 +34,12 @@ from .quality import platt, sigmoid
 from .sample import held_back, labelled_sample
 
 
-#: Text bytes that are cut into subwords at a time.
+#: Text bytes that are cut into subwords at a time, and in the driver, where the sample lies beside them.
 SLICE = 1 << 19
+FIT_SLICE = 1 << 16
+
+#: N-grams that are hashed, and entries that are summed, at a time.
+STEP = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -84,27 +88,33 @@ def subwords(texts: pa.Array, config: ToxicityConfig) -> tuple[np.ndarray, np.nd
     stream[place] = np.where(inside[place], _lower()[points], 0)
     starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
     ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
-    word_of = np.cumsum(np.bincount(starts, minlength=len(inside)) if len(starts) else np.zeros(len(inside), np.int64)) - 1
+    opens = np.zeros(len(inside), bool)
+    opens[starts] = True
+    word_of = np.cumsum(opens, dtype=np.int32) - np.int32(1)
     prefix = prefix_hash(stream)
     hashes = span_hash(prefix, starts, ends)
     first = np.searchsorted(starts, rows + np.arange(n + 1))
     fresh = np.ones(len(hashes), bool)
     fresh[1:] = hashes[1:] != hashes[:-1]
     fresh[first[:-1][first[:-1] < len(fresh)]] = True
-    keys, owner = [hashes], [np.arange(len(starts))]
-    letters = np.concatenate([[0], np.cumsum(inside)])
+    shift = np.uint64(64 - config.bits)
+    keys, owner = [(hashes >> shift).astype(np.int32)], [np.arange(len(starts), dtype=np.int32)]
+    letters = np.zeros(len(inside) + 1, np.int32)
+    np.cumsum(inside, out=letters[1:])
     for size in config.grams:
-        begin = np.arange(max(0, len(stream) - size + 1))
-        begin = begin[letters[begin + size - 1] - letters[begin + 1] == size - 2]
-        keys.append(span_hash(prefix, begin, begin + size) ^ np.uint64(size))
-        owner.append(word_of[begin + 1])
-    keys = (np.concatenate(keys) >> np.uint64(64 - config.bits)).astype(np.int32)
-    owner = np.concatenate(owner)
+        n_begin = max(0, len(stream) - size + 1)
+        begin = np.flatnonzero(letters[size - 1:size - 1 + n_begin] - letters[1:1 + n_begin] == size - 2)
+        for at in range(0, len(begin), STEP):
+            some = begin[at:at + STEP]
+            keys.append(((span_hash(prefix, some, some + size) ^ np.uint64(size)) >> shift).astype(np.int32))
+            owner.append(word_of[some + 1])
+    keys, owner = np.concatenate(keys), np.concatenate(owner)
     if not fresh.all():
-        renamed = np.concatenate([[0], np.cumsum(fresh)])
+        renamed = np.zeros(len(fresh) + 1, np.int32)
+        np.cumsum(fresh, out=renamed[1:])
         stay = fresh[owner]
         keys, owner = keys[stay], renamed[owner[stay]]
-        hashes, first = hashes[fresh], renamed[first]
+        hashes, first = hashes[fresh], renamed[first].astype(np.int64)
     return keys, owner, hashes, first
 
 
@@ -190,9 +200,26 @@ def fit_model(texts: list[str], labels: np.ndarray, config: ToxicityConfig, prio
         loss = -float((weight * (marks * np.log(p) + (1 - marks) * np.log(1 - p))).sum())
         if loss < best[0]:
             best = loss, replace(model, slope=slope, shift=shift)
+        del model  # its dense table would stay through the next rounds
     return best[1]
 
 
+def _changes(values: np.ndarray) -> np.ndarray:
+    """Places where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, values[1:] != values[:-1])[:len(values)])
+
+
+def _groups(cuts: np.ndarray, n: int) -> tuple[list[slice], list[slice]]:
+    """Ranges of whole groups, about ``STEP`` of the n entries each: places in ``cuts`` (where groups begin) and entries."""
+    places, entries, first = [], [], 0
+    while first < len(cuts):
+        last = max(first + 1, int(np.searchsorted(cuts, cuts[first] + STEP)))
+        places.append(slice(first, last))
+        entries.append(slice(int(cuts[first]), int(cuts[last]) if last < len(cuts) else n))
+        first = last
+    return places, entries
+
+
 class Summing:
     """Weighted sums of rows of a table into rows of another, and the gradient's way back."""
 
@@ -205,15 +232,15 @@ class Summing:
     def _sorted(by: np.ndarray, other: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         order = np.argsort(by, kind="stable")
         by = by[order]
-        cuts = np.flatnonzero(np.diff(by, prepend=-1))
-        return by[cuts], cuts, other[order].astype(np.int32), weight[order].astype(np.float32)[:, None]
+        cuts = _changes(by)
+        return by[cuts], cuts, other[order].astype(np.int32, copy=False), weight[order].astype(np.float32, copy=False)[:, None]
 
     @staticmethod
     def _sum(parts, table: np.ndarray, n: int) -> np.ndarray:
         rows, cuts, other, weight = parts
-        out = np.zeros((n, table.shape[1]))
-        if len(cuts):
-            out[rows] = np.add.reduceat(table.astype(np.float32)[other] * weight, cuts, axis=0)
+        out, table = np.zeros((n, table.shape[1])), table.astype(np.float32)
+        for place, some in zip(*_groups(cuts, len(other))):
+            out[rows[place]] = np.add.reduceat(table[other[some]] * weight[some], cuts[place] - some.start, axis=0)
         return out
 
     def forward(self, table: np.ndarray) -> np.ndarray:
@@ -223,41 +250,71 @@ class Summing:
         return self._sum(self.back, gradient, n)
 
 
-def _train(texts: list[str], labels: np.ndarray, config: ToxicityConfig) -> Iterator[ToxicityModel]:
-    """The model after every ``check`` rounds beyond the first ones."""
+def _distinct_words(part: pa.RecordBatch, known: np.ndarray, config: ToxicityConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of all rows, first word of each row (n + 1 values), the new words in order, and feature keys and new word of each entry.
+
+    Features of a word are kept once, so what a slice of the text needs beside them goes with the slice.
+    """
+    hashes, first, new, keys, owner, seen, n_new = [], [np.zeros(1, np.int64)], [], [], [], known, 0
+    for piece in text_slices(part, "text", FIT_SLICE):
+        k, of, h, cuts = subwords(piece.column("text"), config)
+        distinct, where = np.unique(h, return_index=True)
+        fresh = seen[np.minimum(np.searchsorted(seen, distinct), len(seen) - 1)] != distinct if len(seen) else np.ones(len(distinct), bool)
+        number = np.full(len(h), -1, np.int32)
+        number[where[fresh]] = n_new + np.arange(fresh.sum())
+        mine = number[of]
+        keys.append(k[mine >= 0])
+        owner.append(mine[mine >= 0])
+        new.append(distinct[fresh])
+        seen, n_new = np.sort(np.concatenate([seen, distinct[fresh]])), n_new + int(fresh.sum())
+        first.append(cuts[1:] + first[-1][-1])
+        hashes.append(h)
+    new, place = np.unique(np.concatenate([np.zeros(0, np.uint64), *new]), return_inverse=True)
+    pair = np.unique(place[np.concatenate([np.zeros(0, np.int32), *owner])] << 32 | np.concatenate([np.zeros(0, np.int32), *keys]))
+    return np.concatenate([np.zeros(0, np.uint64), *hashes]), np.concatenate(first), new, (pair & 0xFFFFFFFF).astype(np.int32), (pair >> 32).astype(np.int32)
+
+
+def _sums(texts: list[str], config: ToxicityConfig) -> tuple[np.ndarray, np.ndarray, Summing, Summing]:
+    """Features that get a vector, row of each segment, and the ways from vectors to words and from words to segments."""
     keys, owners, new_words, words, seg_start, seg_row, at, rows, n_known = [], [], [], [], [], [], 0, 0, 0
     known = np.zeros(0, np.uint64)
     for part in text_slices(pa.record_batch([pa.array(texts, pa.string())], ["text"]), "text", SLICE):
-        k, owner, hashes, first = subwords(part.column("text"), config)
+        hashes, first, new, k, owner = _distinct_words(part, known, config)
         cuts, row = segments(first, config.segment)
         # features of each distinct word once
-        distinct, where = np.unique(hashes, return_index=True)
-        fresh = known[np.minimum(np.searchsorted(known, distinct), len(known) - 1)] != distinct if len(known) else np.ones(len(distinct), bool)
-        number = np.full(len(hashes), -1, np.int64)
-        number[where[fresh]] = n_known + np.arange(fresh.sum())
-        pick = number[owner] >= 0
-        pair = np.unique(number[owner[pick]] << 32 | k[pick])
-        keys.append((pair & 0xFFFFFFFF).astype(np.int32))
-        owners.append((pair >> 32).astype(np.int32))
-        new_words.append(distinct[fresh])
-        known, n_known = np.sort(np.concatenate([known, distinct[fresh]])), n_known + int(fresh.sum())
+        keys.append(k)
+        owners.append(owner + np.int32(n_known))
+        new_words.append(new)
+        known, n_known = np.sort(np.concatenate([known, new])), n_known + len(new)
         words.append(hashes)
         seg_start.append(cuts[:-1] + at)
         seg_row.append(row + rows)
         at, rows = at + len(hashes), rows + part.num_rows
-    words, seg_row = np.concatenate(words), np.concatenate(seg_row)
-    seg_size = np.diff(np.append(np.concatenate(seg_start), len(words)))
+    seg_row = np.concatenate(seg_row)
+    seg_size = np.diff(np.append(np.concatenate(seg_start), at))
     distinct, place = np.unique(np.concatenate(new_words), return_inverse=True)
-    word = np.searchsorted(distinct, words)
-    seg = np.repeat(np.arange(len(seg_row)), seg_size)
+    word = np.concatenate([np.searchsorted(distinct, x).astype(np.int32) for x in words])
+    del hashes, words, new_words, known
     keys, owner = np.concatenate(keys), place[np.concatenate(owners)].astype(np.int32)
+    del owners, place
     width = np.bincount(owner, minlength=len(distinct))
-    pair, count = np.unique(seg.astype(np.int64) << 32 | word, return_counts=True)
-    seg, word = pair >> 32, pair & 0xFFFFFFFF
-    share = count / config.segment
-    kept, keys, owner = _frequent(keys, owner, word, seg_row[seg], len(distinct), max(3, round(config.min_share * len(labels))))
-    size, n_seg = len(kept), len(seg_row)
-    part_of = 1 / width[owner]
+    pair = np.repeat(np.arange(len(seg_row)) << 32, seg_size)
+    pair |= word
+    pair, count = np.unique(pair, return_counts=True)
+    seg, word = (pair >> 32).astype(np.int32), (pair & 0xFFFFFFFF).astype(np.int32)
+    del pair
+    to_segment = Summing(seg, word, (count / config.segment).astype(np.float32), len(seg_row))
+    del count
+    kept, keys, owner = _frequent(keys, owner, word, seg_row[seg].astype(np.int32), len(distinct), max(3, round(config.min_share * len(texts))))
+    del seg, word
+    part_of = (1 / width).astype(np.float32)[owner]
+    return kept, seg_row, Summing(owner, keys, part_of, len(distinct)), to_segment
+
+
+def _train(texts: list[str], labels: np.ndarray, config: ToxicityConfig) -> Iterator[ToxicityModel]:
+    """The model after every ``check`` rounds beyond the first ones."""
+    kept, seg_row, to_word, to_segment = _sums(texts, config)
+    size = len(kept)
     rng = np.random.default_rng(config.seed)
     table = rng.normal(0, 0.1, (size, config.dims))
     out, bias = rng.normal(0, config.gain, (config.dims, 2)), np.zeros(2)
@@ -265,8 +322,6 @@ def _train(texts: list[str], labels: np.ndarray, config: ToxicityConfig) -> Iter
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     y = labels[seg_row]
     toxic_rows = np.flatnonzero(labels == 1)
-    to_word = Summing(owner, keys, part_of, len(distinct))
-    to_segment = Summing(seg, word, share, n_seg)
     for k in range(1, config.rounds + 1):
         mean = to_segment.forward(to_word.forward(table))
         z = mean @ out + bias
@@ -282,7 +337,7 @@ def _train(texts: list[str], labels: np.ndarray, config: ToxicityConfig) -> Iter
             clean = top[y[top] == 0]
             weight[clean] += 0.5 / max(1, len(clean))
         g = (p - np.stack([1 - y, y], 1)) * weight[:, None]
-        g_table = to_word.backward(to_segment.backward(g @ out.T, len(distinct)), size)
+        g_table = to_word.backward(to_segment.backward(g @ out.T, to_word.n), size)
         grads = [g_table + config.penalty / max(1, size) * table, mean.T @ g, g.sum(0)]
         for x, gx, (a, b) in zip(params, grads, moments):
             a[...] = 0.9 * a + 0.1 * gx
@@ -293,13 +348,19 @@ def _train(texts: list[str], labels: np.ndarray, config: ToxicityConfig) -> Iter
 
 
 def _frequent(keys, owner, word, row, n_words: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features with at least ``least`` pairs of word and row, and the entries that use them, renumbered."""
-    pair = np.unique(word.astype(np.int64) << 32 | row)
-    rows_of_word = np.bincount(pair >> 32, minlength=n_words)
-    distinct, number = np.unique(keys, return_inverse=True)
-    enough = np.bincount(number, weights=rows_of_word[owner], minlength=len(distinct)) >= least
-    stay = enough[number]
-    return distinct[enough], (np.cumsum(enough) - 1)[number[stay]], owner[stay]
+    """Features with at least ``least`` pairs of word and row, and the entries that use them, renumbered; ``row`` rises."""
+    rows_of_word = np.zeros(n_words, np.int32)
+    for some in _groups(_changes(row), len(row))[1]:
+        pair = np.unique(word[some].astype(np.int64) << 32 | row[some])
+        np.add.at(rows_of_word, pair >> 32, 1)
+    counts = np.zeros(int(keys.max(initial=-1)) + 1, np.int32)
+    for at in range(0, len(keys), STEP):
+        np.add.at(counts, keys[at:at + STEP], rows_of_word[owner[at:at + STEP]])
+    enough = counts >= least
+    del counts
+    stay = enough[keys]
+    kept = np.flatnonzero(enough).astype(np.int32)
+    return kept, np.searchsorted(kept, keys[stay]).astype(np.int32), owner[stay]
 
 
 def held_out(id_column: Column) -> Column:
