@@ -34,7 +34,7 @@ repeated rows are copies; extra columns are dropped before the work.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -64,6 +64,12 @@ SAMPLE_BYTES = 5
 TAG = 8
 #: Bytes whose least hash places a text next to near copies of it.
 SHARED = 32
+#: Rows of a batch that are turned into Python values at a time.
+ROWS = 128
+#: Names that are sorted at a time, about; all of a range stay in 16 bytes each.
+SORTED = 1 << 17
+#: Stands for the place of a name that is known to repeat.
+KNOWN = np.uint64(2**64 - 1)
 
 
 @dataclass(frozen=True)
@@ -105,6 +111,17 @@ def triple_names(prefix: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return name
 
 
+def _in_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``in_arrow`` whose workers give memory back at the end of a task; Spark keeps several of them for later tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+            pool.release_unused()
+
+    return in_arrow(df, run, schema)
+
+
 class Dealer:
     """Gathers (name, text, position) of a task and deals them out by name range."""
 
@@ -206,56 +223,71 @@ def _repeated(slots: int, width: int, tag: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: dict[bytes, int] = {}
-        seen, names, texts, places, known = set(), [], [], [], []
+        seen, names, spots = set(), [], []
         note_text, note_runs = [], []
-        for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(7))):
-                if row[6] is not None:
-                    pairs = np.frombuffer(row[6][tag:], np.int32).reshape(-1, 2)
-                    note_text.append(np.full(len(pairs), keys.setdefault(row[6][:tag], len(keys)), np.int32))
-                    note_runs.append(pairs)
-                    continue
-                own = np.array([keys.setdefault(row[1][k:k + tag], len(keys)) for k in range(0, len(row[1]), tag)], np.int32)
-                found = _unpack(row[4], width)
-                names.append(found)
-                seen.add(row[0])
-                text, place = unpack_places(row[2], row[3])
-                texts.append(own[text])
-                places.append(place)
-                known.append(_unpack(row[5], width))
+        for row in _rows(batches):
+            if row[6] is not None:
+                pairs = np.frombuffer(row[6][tag:], np.int32).reshape(-1, 2)
+                note_text.append(np.full(len(pairs), keys.setdefault(row[6][:tag], len(keys)), np.int32))
+                note_runs.append(pairs)
+                continue
+            own = np.array([keys.setdefault(row[1][k:k + tag], len(keys)) for k in range(0, len(row[1]), tag)], np.uint64)
+            seen.add(row[0])
+            text, place = unpack_places(row[2], row[3])
+            known = _unpack(row[5], width)
+            names += [_unpack(row[4], width), known]
+            spots += [own[text] << np.uint64(32) | place, np.full(len(known), KNOWN)]
         if width < 8 and len(seen) > 1:
             raise ValueError("names are only comparable within one range")
         if not keys:
             return
-        text, place = _matching(names, texts, places, known)
-        order = np.lexsort((place, text))
-        text, place = text[order], place[order].astype(np.int64)
-        fresh = np.ones(len(text), bool)
-        fresh[1:] = (text[1:] != text[:-1]) | (place[1:] != place[:-1] + 1)
+        spot = _matching(names, spots, width)
+        fresh = np.diff(spot, prepend=np.uint64(0)) != 1
+        fresh[:1] = True
         begin = np.flatnonzero(fresh)
-        pairs = np.stack([place[begin], place[np.append(begin[1:], len(place)) - 1]], 1).astype(np.int32) if len(begin) else np.zeros((0, 2), np.int32)
-        yield from _by_slot(list(keys), np.concatenate([text[begin], *note_text]), np.concatenate([pairs, *note_runs]), slots)
+        pairs = np.stack([spot[begin], spot[np.append(begin[1:], len(spot)) - 1]], 1) if len(begin) else np.zeros((0, 2), np.uint64)
+        text = (pairs[:, 0] >> np.uint64(32)).astype(np.int32)
+        yield from _by_slot(list(keys), np.concatenate([text, *note_text]), np.concatenate([pairs.astype(np.uint32).view(np.int32), *note_runs]), slots)
 
     return run
 
 
-def _matching(names: list, texts: list, places: list, known: list) -> tuple[np.ndarray, np.ndarray]:
-    """Sort names and compare neighbours: text and place of those that are known to repeat or stand at two places."""
-    if not names:
-        return np.zeros(0, np.int32), np.zeros(0, np.uint32)
-    name = np.concatenate([*names, *known])
-    more = len(name) - sum(map(len, names))
-    text = np.concatenate([*texts, np.full(more, -1, np.int32)])
-    place = np.concatenate([*places, np.zeros(more, np.uint32)])
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows as tuples, a few turned into Python values at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield from zip(*(column.to_pylist() for column in batch.slice(at, ROWS).columns))
+
+
+def _matching(names: list[np.ndarray], spots: list[np.ndarray], width: int) -> np.ndarray:
+    """Spots (text above 32 bits of place), ascending, whose name is known to repeat or stands at two spots.
+
+    Empties the lists. Names with the same highest bits are sorted together,
+    one such share after the other.
+    """
+    bits = (sum(map(len, names)) // SORTED).bit_length()
+    name = np.concatenate(names or [np.zeros(0, np.uint64)])
+    names.clear()
+    spot = np.concatenate(spots or [np.zeros(0, np.uint64)])
+    spots.clear()
+    share = (name >> np.uint64(8 * width - bits)).astype(np.uint16) if bits else np.zeros(len(name), np.uint16)
+    found = [_repeating(name[own], spot[own]) for own in (np.flatnonzero(share == k) for k in range(1 << bits))]
+    del name, spot, share
+    out = np.concatenate(found)
+    out.sort()
+    return out[np.diff(out, prepend=KNOWN) != 0]
+
+
+def _repeating(name: np.ndarray, spot: np.ndarray) -> np.ndarray:
+    """Sort names and compare neighbours: spots of those that are known to repeat or stand at two spots."""
     order = np.argsort(name, kind="stable")
-    name, text, place = name[order], text[order], place[order]
-    del order
+    name, spot = name[order], spot[order]
     begin = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.zeros(0, np.int64)
+    if not len(begin):
+        return spot
     size = np.diff(np.append(begin, len(name)))
-    first = np.repeat(begin, size)
-    other = (text != text[first]) | (place != place[first]) | (text < 0)
-    hit = np.repeat(np.add.reduceat(other.astype(np.int64), begin) > 0, size) & (text >= 0) if len(begin) else np.zeros(0, bool)
-    return text[hit], place[hit]
+    other = (spot != np.repeat(spot[begin], size)) | (spot == KNOWN)
+    return spot[np.repeat(np.logical_or.reduceat(other, begin), size) & (spot != KNOWN)]
 
 
 SLOTS = "slot int, keys binary, counts binary, runs binary"
@@ -307,33 +339,37 @@ def _compare(dealt: DataFrame, ranges: int, slots: int, width: int, tag: int) ->
 
     A range gives a row to each slot of texts at most, so more ranges go with fewer slots.
     """
-    found = in_arrow(dealt.repartitionById(ranges, F.col("range")), _repeated(slots, width, tag), SLOTS)
-    return in_arrow(found.repartitionById(slots, F.col("slot")), _gathered(tag), "key binary, runs array<binary>")
+    found = _in_arrow(dealt.repartitionById(ranges, F.col("range")), _repeated(slots, width, tag), SLOTS)
+    return _in_arrow(found.repartitionById(slots, F.col("slot")), _gathered(tag), "key binary, runs array<binary>")
+
+
+def _unseen_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of texts that the task has not met before; only a slice is ever copied."""
+    return (part for part in unseen(s for batch in batches for s in text_slices(batch, "text", SLICE)) if part.num_rows)
 
 
 def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """key, tag, packed (compressed text) and low (least hash of its strings of SHARED bytes), once per task."""
     pack = zstandard.ZstdCompressor(level=1).compress
-    for batch in unseen(batches):
-        for part in text_slices(batch, "text", SLICE):
-            data, offsets = flat_bytes(part.column("text"))
-            prefix, at = prefix_hash(data), np.arange(max(0, len(data) - SHARED + 1))
-            hashes, raw = span_hash(prefix, at, at + SHARED), data.tobytes()
-            lows = [int(hashes[a:max(a + 1, b - SHARED + 1)].min()) if a < len(hashes) else 0 for a, b in zip(offsets[:-1], offsets[1:])]
-            keys = part.column("key").to_pylist()
-            yield pa.RecordBatch.from_arrays([
-                part.column("key"), pa.array([k[:TAG] for k in keys], pa.binary()),
-                pa.array([pack(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.binary()),
-                pa.array(np.array(lows, np.uint64).view(np.int64)),
-            ], ["key", "tag", "packed", "low"])
+    for part in _unseen_slices(batches):
+        data, offsets = flat_bytes(part.column("text"))
+        prefix, at = prefix_hash(data), np.arange(max(0, len(data) - SHARED + 1))
+        hashes, raw = span_hash(prefix, at, at + SHARED), data.tobytes()
+        lows = [int(hashes[a:max(a + 1, b - SHARED + 1)].min()) if a < len(hashes) else 0 for a, b in zip(offsets[:-1], offsets[1:])]
+        keys = part.column("key").to_pylist()
+        yield pa.RecordBatch.from_arrays([
+            part.column("key"), pa.array([k[:TAG] for k in keys], pa.binary()),
+            pa.array([pack(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.binary()),
+            pa.array(np.array(lows, np.uint64).view(np.int64)),
+        ], ["key", "tag", "packed", "low"])
 
 
 def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Row ranges of about SLICE bytes of text, with their texts."""
     unpack = zstandard.ZstdDecompressor().decompress
     begin, held, texts = 0, 0, []
-    for k, blob in enumerate(batch.column("packed").to_pylist()):
-        texts.append(unpack(blob) if blob else b"")
+    for k, blob in enumerate(batch.column("packed")):
+        texts.append(unpack(blob.as_buffer()) if blob.is_valid and len(blob.as_buffer()) else b"")
         held += len(texts[-1])
         if held >= SLICE:
             yield batch.slice(begin, k + 1 - begin), texts
@@ -371,18 +407,17 @@ def shared_texts(texts: DataFrame, config: DedupConfig) -> DataFrame:
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealer = Dealer(ranges, SAMPLE_BYTES, TAG)
-        for batch in unseen(batches):
-            for part in text_slices(batch, "text", SLICE):
-                data, offsets = flat_bytes(part.column("text"))
-                row, place = sampled(np.diff(offsets), max(config.length - config.period + 1, 3 * width), config.period)
-                names = triple_names(prefix_hash(data), offsets[row] + place, width)
-                dealer.add(part.column("key").to_pylist(), names, row, place)
-                if dealer.held >= GATHER:
-                    yield from dealer.deal(share=False)
+        for part in _unseen_slices(batches):
+            data, offsets = flat_bytes(part.column("text"))
+            row, place = sampled(np.diff(offsets), max(config.length - config.period + 1, 3 * width), config.period)
+            names = triple_names(prefix_hash(data), offsets[row] + place, width)
+            dealer.add(part.column("key").to_pylist(), names, row, place)
+            if dealer.held >= GATHER:
+                yield from dealer.deal(share=False)
         yield from dealer.deal(share=False)
 
-    spots = _compare(in_arrow(texts, sample, Dealer.SCHEMA), ranges, -(-tasks // more), SAMPLE_BYTES, TAG).withColumnRenamed("key", "tag")
-    once = in_arrow(texts, _pack_texts, "key binary, tag binary, packed binary, low bigint")
+    spots = _compare(_in_arrow(texts, sample, Dealer.SCHEMA), ranges, -(-tasks // more), SAMPLE_BYTES, TAG).withColumnRenamed("key", "tag")
+    once = _in_arrow(texts, _pack_texts, "key binary, tag binary, packed binary, low bigint")
     return once.join(spots, "tag").hint("rebalance", "low").sortWithinPartitions("low", "key").select("key", "packed", "runs")
 
 
@@ -421,7 +456,7 @@ def repeated_starts(shared: DataFrame, config: DedupConfig, *longer: DedupConfig
         yield from dealer.deal(share=True)
 
     length = F.element_at(F.array(*map(F.lit, lengths)), F.conv(F.hex(F.substring("key", 17, 1)), 16, 10).cast("int") + 1)
-    found = _compare(in_arrow(shared, windows, Dealer.SCHEMA), ranges, -(-tasks // len(lengths)), 8, 17)
+    found = _compare(_in_arrow(shared, windows, Dealer.SCHEMA), ranges, -(-tasks // len(lengths)), 8, 17)
     return found.select(F.substring("key", 1, 16).alias("key"), length.alias("length"), "runs")
 
 
@@ -490,7 +525,7 @@ def removals(
             kinds = (pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], ["key", "length", "removed", "spans", "kept"])
 
-    found = in_arrow(shared.select("key", "packed").join(starts, "key"), cut, "key binary, length int, removed long, spans long, kept string")
+    found = _in_arrow(shared.select("key", "packed").join(starts, "key"), cut, "key binary, length int, removed long, spans long, kept string")
     # written on their own, so that the joins can split the partition of a text with many copies
     changed = cut_lineage(found.dropDuplicates(["key", "length"]))
     out, columns = keys.join(cut_lineage(copies(keys, short)), "key", "left"), []
@@ -538,7 +573,7 @@ def remove_repeats(documents: DataFrame, config: DedupConfig = DedupConfig(), te
                 columns[place] = pa.array(out, pa.binary()).cast(columns[place].type)
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    out = in_arrow(rows, cut, documents.schema)
+    out = _in_arrow(rows, cut, documents.schema)
     if size_column is not None:
         out = out.withColumn(size_column, F.char_length(f"`{text_column}`").cast(documents.schema[size_column].dataType))
     return out

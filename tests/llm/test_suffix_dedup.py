@@ -1,8 +1,10 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cdrloom.llm import queries, suffix_dedup as sd
@@ -65,6 +67,39 @@ def test_every_cover_is_perfect(period):
     assert len(differences) == period - 1 and set(differences.values()) == {1}
 
 
+@pytest.mark.parametrize("width", [8, sd.SAMPLE_BYTES])
+def test_a_range_is_compared_in_little_memory(width):
+    rng, dealer, batches = np.random.default_rng(7), sd.Dealer(1, width, 2), []
+    common = rng.integers(0, 1 << 8 * width - 1, 500, np.uint64) * np.uint64(2)
+    for k in range(8):
+        names = rng.integers(0, 1 << 8 * width - 1, 120_000, np.uint64) * np.uint64(2)
+        names[::2400] = rng.choice(common, 50, replace=False)
+        dealer.add([bytes([k, 0])], names, np.zeros(len(names), np.int64), np.arange(len(names)))
+        batches += [(names, b) for b in dealer.deal(share=False)]
+    tracemalloc.start()
+    out = list(sd._repeated(1, width, 2)(b for _, b in batches))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * 8 * 120_000
+    rows = pa.Table.from_batches(out).to_pylist()
+    found = set()
+    for row in rows:
+        text = np.repeat(np.frombuffer(row["keys"], np.uint8)[::2], np.frombuffer(row["counts"], np.uint32)).tolist()
+        runs = np.frombuffer(row["runs"], np.int32).reshape(-1, 2).tolist()
+        found.update((t, p) for t, (first, last) in zip(text, runs) for p in range(first, last + 1))
+    name, n = np.unique(np.concatenate([names for names, _ in batches]), return_counts=True)
+    assert found == {(k, p) for k, (names, _) in enumerate(batches) for p in np.flatnonzero(np.isin(names, name[n > 1])).tolist()} and found
+
+
+def test_no_batch_of_texts_is_copied_whole():
+    texts = [f"{k} " * 2000 for k in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([b"%016d" % (k // 2 * 2) for k in range(2000)], pa.binary()), pa.array(texts)], ["key", "text"])
+    before, most, found = pa.total_allocated_bytes(), 0, 0
+    for out in sd._pack_texts(iter([batch])):
+        most, found = max(most, pa.total_allocated_bytes() - before), found + out.num_rows
+    assert found == 1000 and most < batch.nbytes / 4
+
+
 def test_empty_table(make_docs):
     docs = make_docs([])
     assert sd.removals(docs).count() == 0
