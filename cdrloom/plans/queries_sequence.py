@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -341,10 +340,13 @@ SELECT barcode, filled + CAST(b <> 0 AS INTEGER) AS filled, CASE WHEN filled = 0
 def kmer_l2_blosum(spark, sf):
     """k-mers, residues and the mean score of neighbours, each of unit length, in one vector of unit length."""
     out = X.kmer_l2_vectors(antibodies(spark, sf).select("barcode", "cdr3"), "cdr3", "v", use_blosum=True)
-    x = vector_to_array("v")
+    # only the places that are stored: of 8,441 a loop fills a few dozen
+    out = out.select("barcode", F.unwrap_udt("v").alias("v"))
+    x, size = F.col("v")["values"], F.size(F.col("v")["values"])
+    ends = (F.col("v")["type"] == 1) | (F.get(F.col("v")["indices"], size - 1) == F.col("v")["size"] - 1)
     total = F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
-    filled = F.aggregate(x, F.lit(0).cast("long"), lambda s, y: s + F.when(y != 0, 1).otherwise(0))
-    return out.select("barcode", filled.alias("filled"), r6(total).alias("total"), r6(F.element_at(x, -1)).alias("blosum"))
+    filled = F.size(F.filter(x, lambda y: y != 0)).cast("long")
+    return out.select("barcode", filled.alias("filled"), r6(total).alias("total"), r6(F.when(ends, F.get(x, size - 1)).otherwise(0.0)).alias("blosum"))
 
 
 @query("one_hot", f"""WITH {ANTIBODIES_SQL} SELECT barcode, CAST(i AS INTEGER) AS pos, substr(cdr3, i::BIGINT, 1) AS aa
