@@ -272,9 +272,9 @@ def feature_share(seq: Column, letters: str, digits: int | None = 4) -> Column:
     return _rounded(residues(seq, letters) / F.length(seq), digits)
 
 
-def biophysical_feature(name: str, cdr3: Column, heavy: Column, rounded: bool = True) -> Column:
-    """One named model feature; an empty CDR3 makes every feature 0."""
-    loop, vh = feature_text(cdr3), feature_text(heavy)
+def biophysical_feature(name: str, cdr3: Column, heavy: Column, rounded: bool = True, cleaned: bool = False) -> Column:
+    """One named model feature; an empty CDR3 makes every feature 0. ``cleaned``: both are ``feature_text`` already."""
+    loop, vh = (cdr3, heavy) if cleaned else (feature_text(cdr3), feature_text(heavy))
     four, three = (4, 3) if rounded else (None, None)
     n = F.length(loop)
     square = feature_charge(loop, four)

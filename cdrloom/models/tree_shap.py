@@ -7,7 +7,8 @@ its path a leaf is a product: a known feature counts 1 if the row's value lies i
 the interval and 0 if not, an unknown one counts its share.  So the Shapley value of
 a feature is the leaf's value times (known - share) times a weighted sum of the
 coefficients of a small polynomial, and rows that lie inside the same intervals of a
-leaf share all of it: each distinct pattern is solved once per batch.
+leaf share all of it: the patterns of a path are solved once, rows look theirs up;
+those of a path of many features are solved as they occur.
 
 Only features that some node splits on leave the vector, and they do so in the JVM.
 Zeros need no special care: they are values like any other.
@@ -30,6 +31,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import shared_folder
 
 
+LONGEST_PATH = 8  # features; all 2 ** 8 patterns of such a path are solved at once
+
+
 @dataclass(frozen=True)
 class Leaf:
     """Value of a leaf and, per feature on its path, interval (low, high] and share of training weight."""
@@ -126,6 +130,79 @@ def contributions(leaves: list[Leaf], points: np.ndarray, slot: dict[int, int])
     return out
 
 
+def solved_patterns(leaves: list[Leaf]) -> list[np.ndarray]:
+    """Per leaf the Shapley values of every pattern (path features x 2 ** path features), leaves of equal size solved together."""
+    out: list[np.ndarray] = [np.zeros((0, 1))] * len(leaves)
+    for d in sorted({len(leaf.features) for leaf in leaves if len(leaf.features)}):
+        some = [k for k, leaf in enumerate(leaves) if len(leaf.features) == d]
+        known = ((np.arange(1 << d)[:, None] >> np.arange(d)) & 1).astype(np.float64)
+        weights = np.array([factorial(k) * factorial(d - 1 - k) / factorial(d) for k in range(d)])
+        for at in range(0, len(some), 256):
+            part = some[at:at + 256]
+            value = np.array([leaves[k].value for k in part])[:, None]
+            share = np.array([leaves[k].share for k in part])
+            solved = np.empty((len(part), d, 1 << d))
+            for i in range(d):
+                poly = np.ones((len(part), 1 << d, 1))
+                for j in range(d):
+                    if j != i:
+                        grown = np.zeros((len(part), 1 << d, poly.shape[2] + 1))
+                        grown[:, :, :-1] += poly * share[:, j, None, None]
+                        grown[:, :, 1:] += poly * known[None, :, j, None]
+                        poly = grown
+                solved[:, i] = value * (known[None, :, i] - share[:, i, None]) * (poly @ weights)
+            for k, one in zip(part, solved):
+                out[k] = one
+    return out
+
+
+class Explainer:
+    """Shapley values of many rows: every pattern of a short path is solved once, rows only look theirs up.
+
+    A row's value becomes the number of the cell between two cuts of its feature,
+    so that whether an interval holds it is a comparison of small whole numbers.
+    """
+
+    def __init__(self, leaves: list[Leaf], slot: dict[int, int]):
+        self.cuts: list[np.ndarray] = [np.zeros(0)] * len(slot)
+        for f, k in slot.items():
+            ends = [x for leaf in leaves for j in np.flatnonzero(leaf.features == f) for x in (leaf.low[j], leaf.high[j])]
+            self.cuts[k] = np.unique([x for x in ends if np.isfinite(x)])
+        small = [leaf for leaf in leaves if 0 < len(leaf.features) <= LONGEST_PATH]
+        self.rest = [leaf for leaf in leaves if len(leaf.features) > LONGEST_PATH]
+        self.slot, self.paths = slot, []
+        for leaf, solved in zip(small, solved_patterns(small)):
+            columns = [slot[int(f)] for f in leaf.features]
+            cells = []
+            for c, low, high in zip(columns, leaf.low, leaf.high):
+                first = 0 if low == -np.inf else int(np.searchsorted(self.cuts[c], low)) + 1
+                last = len(self.cuts[c]) if high == np.inf else int(np.searchsorted(self.cuts[c], high))
+                cells.append((c, first, last))
+            self.paths.append((cells, solved))
+
+    def __call__(self, points: np.ndarray) -> np.ndarray:
+        """Shapley values of all rows of ``points``, whose columns hold the features of the slots."""
+        n = len(points)
+        size = max((len(c) for c in self.cuts), default=0) + 2
+        kind = np.uint8 if size <= 255 else np.int32
+        cells = []
+        for k, cuts in enumerate(self.cuts):
+            x = points[:, k]
+            # a value that is no number lies in no interval
+            cells.append(np.where(np.isnan(x), size, np.searchsorted(cuts, x)).astype(kind))
+        out, found = np.zeros((points.shape[1], n)), np.empty(n)
+        for path, solved in self.paths:
+            packed = np.zeros(n, np.uint16)
+            for j, (c, first, last) in enumerate(path):
+                inside = cells[c] <= last if first == 0 else (cells[c] >= first) & (cells[c] <= last)
+                packed |= inside.astype(np.uint16) << np.uint16(j)
+            at = packed.astype(np.intp)
+            for (c, _, _), values in zip(path, solved):
+                np.take(values, at, out=found, mode="clip")
+                out[c] += found
+        return np.ascontiguousarray(out.T) + (contributions(self.rest, points, self.slot) if self.rest else 0.0)
+
+
 def margin(model: Model, df: DataFrame, name: str = "margin") -> DataFrame:
     """What the contributions add up to: probability of class 1 of a forest, log-odds half of boosting, or the predicted value."""
     kind = _kind(model)
@@ -152,10 +229,14 @@ def tree_contributions(df: DataFrame, model: Model, names: list[str], key: str,
     kind = rows.schema[key].dataType.simpleString()
 
     def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values_of = None
         for batch in batches:
+            values_of = values_of or Explainer(leaves, slot)
             points = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(used))
-            values = contributions(leaves, points, slot)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(values), pa.list_(pa.float64()))], [key, "values"])
+            values = values_of(points)
+            ends = pa.array(np.arange(0, values.size + 1, len(used), dtype=np.int32))
+            lists = pa.ListArray.from_arrays(ends, pa.array(values.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], [key, "values"])
 
     found = rows.mapInArrow(explain, f"`{key}` {kind}, `values` array<double>")
     parts = F.transform("values", lambda v, k: F.struct(F.get(F.array(*[F.lit(x) for x in labels]), k).alias("feature"), v.alias("value")))

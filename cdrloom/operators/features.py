@@ -192,6 +192,11 @@ class FeatureConfig:
         if self.onehot_sequence not in ("HCDR3", "VH", "VHVL"):
             raise ValueError(f"unknown one-hot sequence: {self.onehot_sequence}")
 
+    @property
+    def learns(self) -> bool:
+        """Do vectors depend on the rows that the builder was fitted on?"""
+        return self.embedding or self.onehot
+
 
 class FeatureBuilder:
     """Fits lengths and dimensions on one table, builds vectors on any other."""
@@ -250,8 +255,11 @@ class FeatureBuilder:
             out = kmer_vectors(out, source, list(cfg.kmer_k), "_kmer", cfg.kmer_normalize)
             blocks.append("_kmer")
         if cfg.biophysical:
-            cols = {f"_bp{i}": biophysical_feature(f, F.col("cdr3"), F.col("hseq")) for i, f in enumerate(cfg.features)}
-            out = out.withColumns(cols)
+            # texts are columns of their own: features refer to them dozens of times
+            sources = {"_bp_loop": "cdr3"} | ({"_bp_vh": "hseq"} if any(f.startswith("vh_") for f in cfg.features) else {})
+            out = out.withColumns({name: feature_text(F.col(c)) for name, c in sources.items()})
+            cols = {f"_bp{i}": biophysical_feature(f, F.col("_bp_loop"), F.col("_bp_vh"), cleaned=True) for i, f in enumerate(cfg.features)}
+            out = out.withColumns(cols).drop(*sources)
             blocks += list(cols)
         if cfg.onehot:
             segments = [(F.col(c), self.lengths[c], p) for c, p in self.SEGMENTS[cfg.onehot_sequence]]

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import AMINO_ACIDS
+from ..session import dealt
 
 
 def mutants(df: DataFrame, key: str = "barcode", cdr3: str = "cdr3", hseq: str = "hseq") -> DataFrame:
@@ -44,15 +45,11 @@ def scan(df: DataFrame, score: Callable[[DataFrame], DataFrame], key: str = "bar
     ``score`` adds a ``score`` column and keeps the others.  The wild type rows
     of an antibody are its parent; a mutant that cannot be scored takes the
     parent's score.  Parents are scored first and joined to the antibodies, so
-    that no mutant is shuffled; the antibodies are dealt in a fixed number of
-    parts, as a plan that sees only them would join parts that open to a
-    hundredfold.
+    that no mutant is shuffled.
     """
-    context, conf = df.sparkSession.sparkContext, df.sparkSession.conf
-    parts = max(4 * context.defaultParallelism, int(conf.get("spark.sql.shuffle.partitions")))
     wild = _substituted(df, F.array(F.substring(F.col("_loop"), F.col("pos"), F.lit(1)))).where(F.col("mut").isin(*AMINO_ACIDS))
     parent = score(wild).groupBy(key).agg(F.max("score").alias("_parent"))
-    scored = score(mutants(df.repartition(parts, key).join(parent, key, "left"), key))
+    scored = score(mutants(dealt(df, key).join(parent, key, "left"), key))
     # out of an explode again, or each use of the score would compute it
     once = F.explode_outer(F.array(F.coalesce("score", "_parent"))).alias("score")
     scored = scored.select(key, "pos", "wt", "mut", once, "_parent")

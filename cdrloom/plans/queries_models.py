@@ -11,7 +11,7 @@ from ..models import anomaly, explain, training as M, tree_shap
 from ..operators import clustering as C, mutants as U, nearest, ngs as N, similarity as S, splits as P
 from ..operators.features import FeatureConfig, kmer_l2_vectors
 from ..operators.ordered import curve_areas, join_small, roc_points
-from ..session import cut_lineage
+from ..session import cut_lineage, dealt
 from .catalog import query
 from .inputs import ANTIBODIES_SQL, CLONES_SQL, LABELLED_SQL, PREVIOUS_SQL, antibodies, clones, labelled, previous, r6
 
@@ -521,11 +521,11 @@ def permutation_importance(spark, sf):
 @query("tree_contributions", f"""WITH {LABELLED_SQL} SELECT barcode, kind, 0.0::DOUBLE AS gap, 9 AS most_features FROM lab, (SELECT unnest(['random_forest', 'gradient_boosting']) AS kind)""")
 def tree_contributions(spark, sf):
     """Base value plus all contributions of a row against what the model itself returns."""
-    df = labelled(spark, sf).withColumn("held", F.col("fold") == 0)
+    df = dealt(labelled(spark, sf), "barcode", 1).withColumn("held", F.col("fold") == 0)
     parts = []
     for config, validation in ((FOREST, None), (M.ModelConfig("gradient_boosting"), "held")):
         model = M.DevelopabilityModel(PROPERTIES, config).fit(df, "quality", validation=validation)
-        vectors = model.builder.transform(df).select("barcode", "features")
+        vectors = cut_lineage(model.builder.transform(df).select("barcode", "features"))  # read for the parts and for the margin
         found = tree_shap.tree_contributions(vectors, model.model, model.builder.feature_names, "barcode")
         total = F.aggregate("parts", F.col("base"), lambda s, p: s + p["value"])
         fit = F.greatest(F.lit(9), F.size("parts"))

@@ -52,3 +52,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """Fresh folder path every executor can reach, next to the checkpoints."""
     base = _named_folder(spark) or _scratch(spark, "cdrloom-work-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def dealt(df: DataFrame, key: str, waves: int = 4) -> DataFrame:
+    """Rows dealt by a key to a fixed number of parts, ahead of much work per row.
+
+    An adaptive plan joins parts by their bytes, so a few MB of short rows would
+    end up in one task, whatever is done with each of them.  ``waves``: parts per
+    core, at least; 1 where many short jobs read them.
+    """
+    context = df.sparkSession.sparkContext
+    parts = max(waves * context.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, key)
