@@ -17,7 +17,7 @@ from .. import constants as K
 
 def residues(seq: Column, letters: str) -> Column:
     """How many residues of ``seq`` are one of ``letters``."""
-    # replacing a letter at a time takes a quarter of the time of one translate
+    # faster than one translate, which looks every letter up as a string
     return F.length(seq) - F.length(reduce(lambda rest, x: F.replace(rest, F.lit(x), F.lit("")), letters, seq))
 
 
